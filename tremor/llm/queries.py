@@ -1,6 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL, for ``__spark_entry__``."""
 
+from tremor.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tremor.llm.near_dedup import OP2_SQL, op2_near_dedup
 
-QUERIES = {"op2_near_dedup": op2_near_dedup}
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_near_dedup": op2_near_dedup}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_near_dedup": OP2_SQL}
