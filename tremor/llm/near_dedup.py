@@ -10,10 +10,10 @@ symbol, so the index holds each chunk under its 4 one-symbol wildcards, and a ke
 for 3 agreeing symbols. Every link is then confirmed on the full texts.
 
 Copies and dense groups are never expanded into pairs: equal sets collapse first; each
-set is then tried against the nearest hub (smallest id of a bucket); pairs inside a bucket
-come up only between different components, and buckets over ``BUCKET`` members are
-split again by a further chunk (at most floor(27 / 13) = 2 errors: 6 wildcards) before any
-pair is formed, which loses no pair under the threshold.
+set is then tried against the hub (smallest id) of each of its buckets; pairs inside a
+bucket come up only between components that are still apart. Members of such buckets of
+over ``BUCKET`` sets are not paired at all but meet over their rarest shingles
+(``prefix_pairs``), a filter that loses no pair of the wanted similarity.
 
 Edge cases: null and wordless texts have 0 shingles and link with nothing; rows with a
 null doc_id link with nothing, have a null component_id and are kept; rows that repeat a
@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents, stored
 
-SYMBOLS, CHUNKS, MAX_DISTANCE, BUCKET, SALT = 56, 14, 27, 64, 64
+SYMBOLS, CHUNKS, MAX_DISTANCE, BUCKET, SALT, ORDER_BITS = 56, 14, 27, 64, 64, 20
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * T.U64(2) + T.U64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 ONE_WILD = [~(0xFFFF << 16 * j) for j in range(4)]
-TWO_WILD = [~((0xFFFF << 16 * i) | (0xFFFF << 16 * j)) for i in range(4) for j in range(i)]
 
 
 def _long(x: int) -> int:
@@ -84,8 +83,14 @@ def distance(a: Column, b: Column) -> Column:
     return out
 
 
-def _keys(sig: Column, masks: list[int], *more: Column) -> Column:
-    return F.explode(F.array(*[F.xxhash64(F.lit(i * 8 + j), sig[i].bitwiseAND(F.lit(_long(m))), *more) for i in range(CHUNKS) for j, m in enumerate(masks)]))
+def _keys(sig: Column) -> Column:
+    return F.explode(F.array(*[F.xxhash64(F.lit(i * 4 + j), sig[i].bitwiseAND(F.lit(_long(m)))) for i in range(CHUNKS) for j, m in enumerate(ONE_WILD)]))
+
+
+def _close(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures are near enough."""
+    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+    return stored(both.where(distance(F.col("sa"), F.col("sb")) <= MAX_DISTANCE).select("a", "b"), "close")
 
 
 def _verify(batches):
@@ -127,6 +132,55 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(dealt.mapInArrow(_verify, "a long, b long"), "links")
 
 
+def _sets(batches):
+    for batch in batches:
+        sets = [T.shingles(T.words(T.LOWER[u8], T.SPACED)).view(np.int64) for u8 in T.texts(batch)]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["rep", "comp", "s"])
+
+
+def _prefixes(order):
+    """The rarest shingles of each set: of a set of size n, any partner as large or larger shares
+    one of the first n - ceil(6n/7) + 1, any smaller partner one of the first n - ceil(3n/4) + 1."""
+
+    def run(batches):
+        freq = order.value
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for rep, comp, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.asarray(s.values)
+                n = len(h)
+                k = n - -(-3 * n // 4) + 1
+                rank = np.lexsort((h, freq[(h.view(np.uint64) >> T.U64(64 - ORDER_BITS)).astype(np.int64)]))[:k]
+                for c, x in zip(cols, (h[rank], np.full(k, rep), np.full(k, comp), np.full(k, n), np.arange(k)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in cols], names=["token", "rep", "comp", "n", "pos"])
+
+    return run
+
+
+def prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of ``members(rep, comp)`` of different components that can reach the similarity,
+    for buckets too large to be paired: an exact prefix and position filter on the shingle
+    sets, rarest first. The order is by counts in ``2 ** ORDER_BITS`` cells, whatever the input."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text")
+    sets = stored(rows.mapInArrow(_sets, "rep long, comp long, s array<long>"), "sets")
+    cell = F.shiftrightunsigned(F.explode("s"), 64 - ORDER_BITS).cast("int").alias("cell")
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for r in sets.select(cell).groupBy("cell").count().toLocalIterator():
+        counts[r[0]] = r[1]
+    order = spark.sparkContext.broadcast(counts)
+    rare = stored(sets.mapInArrow(_prefixes(order), "token long, rep long, comp long, n long, pos long"), "prefixes")
+    x = rare.where(F.expr("pos <= n - ceil(6 * n / 7)"))
+    y = rare.toDF("token", "rep2", "comp2", "n2", "pos2")
+    return (
+        x.join(y, "token").where("comp <> comp2 and (n < n2 or (n = n2 and rep < rep2)) and 100 * n >= 75 * n2 and 175 * least(n - pos, n2 - pos2) >= 75 * (n + n2)")
+        .select("rep", "rep2").distinct()
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable, by min-label steps with pointer jumps.
     Every step is a stored table; hot nodes meet partial aggregates and skew joins only."""
@@ -157,36 +211,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_id = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     same_id = same_id.where("lo <> hi or lo <> doc_id").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
-    # buckets of the index, hubs, and the nearest hub of each set
-    keys = reps.select("rep", _keys(F.col("sig"), ONE_WILD).alias("key"))
+    # buckets of the index; every set against the hub of each of its buckets
+    keys = reps.select("rep", _keys(F.col("sig")).alias("key"))
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = stored(keys.join(hubs, "key"), "shared")
     sig = reps.select(F.col("rep").alias("id"), "sig")
-    star = shared.where("rep <> hub").select("rep", "hub").distinct()
-    near = star.join(sig.toDF("rep", "sa"), "rep").join(sig.toDF("hub", "sb"), "hub").select("rep", "hub", distance(F.col("sa"), F.col("sb")).alias("d"))
-    near = near.where(F.col("d") <= MAX_DISTANCE).groupBy("rep").agg(F.min(F.struct("d", "hub")).alias("m"))
-    first = verified(docs, stored(near.select(F.col("rep").alias("a"), F.col("m.hub").alias("b")), "near"))
+    star = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    first = verified(docs, _close(star, sig))
     comp = components(first.unionByName(same_id))
 
-    # buckets that still hold several components: every pair across them
+    # buckets that still hold several components
     known = shared.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    known = stored(known, "known")
-    pairs, masks = None, TWO_WILD
-    for level in range(4):
-        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-        mixed = stored(known.join(mixed, "key"), "mixed")
-        small = mixed if level == 3 else mixed.where(F.col("n") <= BUCKET)
-        left, right = small.select("key", "rep", "comp"), small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-        found = left.join(right, "key").where("comp < comp2").select("rep", "rep2")
-        pairs = found if pairs is None else pairs.union(found)
-        large = mixed.where(F.col("n") > BUCKET)
-        if level == 3 or large.isEmpty():
-            break
-        again = large.join(sig.toDF("rep", "sig"), "rep")
-        known = stored(again.select("rep", "comp", _keys(F.col("sig"), masks, F.col("key")).alias("key")), "known")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+    mixed = stored(known.join(mixed, "key"), "mixed")
+    small = mixed.where(F.col("n") <= BUCKET)
+    right = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
+    pairs = small.join(right, "key").where("comp < comp2").select("rep", "rep2")
+    large = stored(mixed.where(F.col("n") > BUCKET).select("rep", "comp").distinct(), "large")
+    if not large.isEmpty():
+        pairs = pairs.union(prefix_pairs(docs, large))
     pairs = pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
-    close = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(distance(F.col("sa"), F.col("sb")) <= MAX_DISTANCE).select("a", "b")
-    more = verified(docs, stored(close, "close"))
+    more = verified(docs, _close(pairs, sig))
     if not more.isEmpty():
         comp = components(first.unionByName(same_id).unionByName(more))
 
