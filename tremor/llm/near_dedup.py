@@ -167,7 +167,7 @@ def prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text")
     sets = stored(rows.mapInArrow(_sets, "rep long, comp long, s array<long>"), "sets")
-    cell = F.shiftrightunsigned(F.explode("s"), 64 - ORDER_BITS).cast("int").alias("cell")
+    cell = F.explode(F.transform("s", lambda h: F.shiftrightunsigned(h, 64 - ORDER_BITS).cast("int"))).alias("cell")
     counts = np.zeros(1 << ORDER_BITS, np.int64)
     for r in sets.select(cell).groupBy("cell").count().toLocalIterator():
         counts[r[0]] = r[1]
