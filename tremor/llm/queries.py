@@ -1,7 +1,18 @@
 """The queries of this subpackage and their DuckDB SQL, for ``__spark_entry__``."""
 
 from tremor.llm.decontaminate import OP1_SQL, op1_decontaminate
+from tremor.llm.language_crf import op3_language_id
 from tremor.llm.near_dedup import OP2_SQL, op2_near_dedup
+from tremor.llm.pii import op4_pii
+from tremor.llm.quality_fm import op10_quality_classifier
+from tremor.llm.quality_rules import op9_quality_rules
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_near_dedup": op2_near_dedup}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_near_dedup": OP2_SQL}
