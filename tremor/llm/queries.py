@@ -3,6 +3,8 @@
 from tremor.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tremor.llm.language_crf import op3_language_id
 from tremor.llm.near_dedup import OP2_SQL, op2_near_dedup
+from tremor.llm.html_text import op5_html_text
+from tremor.llm.packing import op6_packing
 from tremor.llm.pii import op4_pii
 from tremor.llm.quality_fm import op10_quality_classifier
 from tremor.llm.quality_rules import op9_quality_rules
@@ -12,6 +14,8 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
+    "op5_html_text": op5_html_text,
+    "op6_packing": op6_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
