@@ -22,6 +22,8 @@ doc_id are one node that has the links of all of them; extra columns are ignored
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,11 +90,27 @@ def _keys(sig: Column) -> Column:
 
 
 def _close(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are near enough."""
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+    """Of ``pairs(a, bs)``, the single pairs (a, b) whose signatures are near enough."""
+    both = pairs.join(sig.toDF("a", "sa"), "a").select("a", "sa", F.explode("bs").alias("b")).join(sig.toDF("b", "sb"), "b")
     return stored(both.where(distance(F.col("sa"), F.col("sb")) <= MAX_DISTANCE).select("a", "b"), "close")
 
 
+@contextlib.contextmanager
+def _runtime_filter(spark):
+    """Let Spark drop texts that no pair needs before they are shuffled: a Bloom filter of bounded
+    size that it builds from the ids, where those are few."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "16MB")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 def _verify(batches):
     """Rows come sorted by (hub, salt, member first as null): exact Jaccard on full sets."""
     at, hubs = None, []
@@ -126,10 +144,11 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     members = pairs.join(hubs, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("member"))
     owners = hubs.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
     wanted = stored(members.unionByName(owners), "wanted")
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("hub", "salt", "member", "text")
+    rows = docs.select("doc_id", "text").join(wanted.where("salt >= 0"), "doc_id").select("hub", "salt", "member", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-    return stored(dealt.mapInArrow(_verify, "a long, b long"), "links")
+    with _runtime_filter(docs.sparkSession):
+        return stored(dealt.mapInArrow(_verify, "a long, b long"), "links")
 
 
 def _sets(batches):
@@ -140,6 +159,17 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["rep", "comp", "s"])
 
 
+def _common(batches):
+    """Counts of the cells that a task meets more than once. They only set an order, and the
+    filter is exact under any; what is rare everywhere may count as 0."""
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in batches:
+        h = np.asarray(batch.column(2).flatten()).view(np.uint64)
+        counts += np.bincount((h >> T.U64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
+    cell = np.flatnonzero(counts > 1)
+    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(counts[cell], pa.int64())], names=["cell", "n"])
+
+
 def _prefixes(order):
     """The rarest shingles of each set: of a set of size n, any partner as large or larger shares
     one of the first n - ceil(6n/7) + 1, any smaller partner one of the first n - ceil(3n/4) + 1."""
@@ -167,9 +197,8 @@ def prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text")
     sets = stored(rows.mapInArrow(_sets, "rep long, comp long, s array<long>"), "sets")
-    cell = F.explode(F.transform("s", lambda h: F.shiftrightunsigned(h, 64 - ORDER_BITS).cast("int"))).alias("cell")
     counts = np.zeros(1 << ORDER_BITS, np.int64)
-    for r in sets.select(cell).groupBy("cell").count().toLocalIterator():
+    for r in sets.mapInArrow(_common, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r[0]] = r[1]
     order = spark.sparkContext.broadcast(counts)
     rare = stored(sets.mapInArrow(_prefixes(order), "token long, rep long, comp long, n long, pos long"), "prefixes")
@@ -182,17 +211,19 @@ def prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable, by min-label steps with pointer jumps.
-    Every step is a stored table; hot nodes meet partial aggregates and skew joins only."""
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = stored(edges.union(edges.select("b", "a")).toDF("src", "dst"), "edges")
-    lab = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("comp")).withColumnRenamed("src", "id")
-    lab = stored(lab, "labels")
+    """(id, comp): the smallest id reachable, by min-label steps with two pointer jumps each.
+    Every step is a stored table; hot nodes meet partial aggregates and skew joins only.
+    ``edges(a, b)`` should be stored, as every step reads it."""
+    both = edges.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    both = both.union(both.select("dst", "src"))
+    lab = stored(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("comp")).withColumnRenamed("src", "id"), "labels")
     while True:
         near = both.join(lab, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("comp").alias("m"))
         step = lab.join(near, F.col("id") == F.col("src")).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = lab.select(F.col("id").alias("at"), F.col("comp").alias("root"))
-        new = stored(step.join(jump, F.col("comp") == F.col("at"), "left").select("id", "old", F.least("comp", "root").alias("comp")), "labels")
+        one = lab.select(F.col("id").alias("at"), F.col("comp").alias("root"))
+        two = lab.select(F.col("id").alias("at2"), F.col("comp").alias("root2"))
+        jump = step.join(one, F.col("comp") == F.col("at"), "left").join(two, F.col("root") == F.col("at2"), "left")
+        new = stored(jump.select("id", "old", F.least("comp", "root", "root2").alias("comp")), "labels")
         done = new.where("old <> comp").isEmpty()
         lab = new.select("id", "comp")
         if done:
@@ -216,9 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = stored(keys.join(hubs, "key"), "shared")
     sig = reps.select(F.col("rep").alias("id"), "sig")
-    star = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    first = verified(docs, _close(star, sig))
-    comp = components(first.unionByName(same_id))
+    hubs_of = shared.where("rep <> hub").groupBy("rep").agg(F.collect_set("hub").alias("hubs"))  # one hub a key at most
+    first = verified(docs, _close(hubs_of.select(F.col("rep").alias("a"), F.col("hubs").alias("bs")), sig))
+    comp = components(first.unionByName(stored(same_id, "same")))
 
     # buckets that still hold several components
     known = shared.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -230,12 +261,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = stored(mixed.where(F.col("n") > BUCKET).select("rep", "comp").distinct(), "large")
     if not large.isEmpty():
         pairs = pairs.union(prefix_pairs(docs, large))
-    pairs = pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
-    more = verified(docs, _close(pairs, sig))
-    if not more.isEmpty():
-        comp = components(first.unionByName(same_id).unionByName(more))
-
+    pairs = pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
+    more = verified(docs, _close(pairs.groupBy("a").agg(F.collect_set("b").alias("bs")), sig))
     named = reps.select("rep").distinct().join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+    if not more.isEmpty():  # links between components
+        named = stored(named, "named")
+        ends = more.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b")
+        joint = components(stored(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "joint"))
+        named = named.join(joint.select(F.col("id").alias("comp"), F.col("comp").alias("least")), "comp", "left").select("rep", F.coalesce("least", "comp").alias("comp"))
+
     out = rows.join(named, "rep", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id")).alias("component_id")
     )
