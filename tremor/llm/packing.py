@@ -33,19 +33,27 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[97:123] = 1
 _CLASS[48:58] = 2
+_CLASS[128:] = 1  # in words that are cut, letters of U+00C0 to U+017F only
+_ODD = np.zeros(256, bool)
+_ODD[0xC0:] = True
+_ODD[0xC3:0xC6] = False
+_ODD[0x27] = True
 
 
 class Encoder:
     """Ids of whole texts, word by word with a cache. The tokenizer drops white space and never
-    joins across it, so the ids of a text are those of its parts; ASCII words are cut further where
-    the tokenizer cuts, between letters, digits and signs, unless an apostrophe or a special token
-    is near."""
+    joins across it, so the ids of a text are those of its parts; words of ASCII and Latin letters
+    up to U+017F are cut further where the tokenizer cuts, between letters, digits and signs, unless
+    an apostrophe or a special token is near. New parts go to the tokenizer in long strings."""
 
     def __init__(self, path: str, end: int = 1):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -53,8 +61,8 @@ class Encoder:
 
     def _units(self, u8: np.ndarray):
         starts, ends = T.spans(u8, T.SPACED)
-        odd = (u8 >= 0x80) | (u8 == 0x27)
-        odd[:-1] |= (u8[:-1] == 0x3C) & (u8[1:] == 0x7C)
+        odd = _ODD[u8]
+        odd[:-1] |= (u8[:-1] == 0x3C) & (u8[1:] == 0x7C) | (u8[:-1] == 0xC3) & ((u8[1:] == 0x97) | (u8[1:] == 0xB7)) | (u8[:-1] == 0xC4) & (u8[1:] == 0xB0)
         seen = np.concatenate([[0], np.cumsum(odd)])
         whole = seen[ends] > seen[starts]
         low, size = T.LOWER[u8], ends - starts
@@ -68,14 +76,34 @@ class Encoder:
         at = np.flatnonzero(cut)
         first = place[at]
         last = place[np.append(at[1:], len(place)) - 1] + 1 if len(at) else first
-        return low, first, last
+        return low, first, last, whole[owner[at]]
+
+    def _fresh(self, units: list[bytes], whole: np.ndarray):
+        """Ids of new units, one after the other, how many each has, and their order."""
+        plain = np.flatnonzero(~whole)
+        ids, many = [np.empty(0, np.uint32)], np.zeros(len(units), np.int64)
+        order = []
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            got = np.array(self.tokenizer.encode_batch_fast([b" ".join(units[i] for i in part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.closes[got]) + 1
+            assert len(stops) == len(part), "a unit is not one word of the tokenizer"
+            ids.append(got)
+            many[part] = np.diff(stops, prepend=0)
+            order.append(part)
+        rest = np.flatnonzero(whole)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, np.uint32))
+            many[i] = len(ids[-1])
+        order.append(rest)
+        return np.concatenate(ids), many, np.concatenate(order)
 
     def encode(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The ids of each text, with the closing id."""
         gap = np.array([32], np.uint8)
         u8 = np.concatenate([x for t in texts for x in (t, gap)]) if texts else np.empty(0, np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
-        low, a, b = self._units(u8)
+        low, a, b, whole = self._units(u8)
         uniq, first, back = np.unique(T.hashes(low, a, b), return_index=True, return_inverse=True)
         if len(self.known) > CACHE:
             self.clear()
@@ -83,11 +111,11 @@ class Encoder:
         new = self.known[at] != uniq if len(self.known) else np.ones(len(uniq), bool)
         if new.any():
             raw = low.tobytes()
-            fresh = self.tokenizer.encode_batch([raw[a[i] : b[i]].decode() for i in first[new]], add_special_tokens=False)
-            got = [np.array(e.ids, np.uint32) for e in fresh]
-            many = np.array([len(g) for g in got], np.int64)
-            base = len(self.ids) + np.cumsum(many) - many
-            self.ids = np.concatenate([self.ids, *got])
+            at = first[new]
+            got, many, turn = self._fresh([raw[i:j] for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)], whole[at])
+            base = np.empty(len(many), np.int64)
+            base[turn] = len(self.ids) + np.cumsum(many[turn]) - many[turn]
+            self.ids = np.concatenate([self.ids, got])
             order = np.argsort(np.concatenate([self.known, uniq[new]]), kind="stable")
             self.known, self.first, self.many = (np.concatenate(x)[order] for x in ((self.known, uniq[new]), (self.first, base), (self.many, many)))
             at = np.searchsorted(self.known, uniq)

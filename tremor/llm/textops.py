@@ -37,7 +37,7 @@ def _powers(sign: int, n: int) -> np.ndarray:
         seq[0] = 1
         _POW[sign] = np.cumprod(seq, dtype=U64)
     out = _POW[sign][:n]
-    if len(_POW[sign]) > 1 << 20:  # after a very long text, let the table go again
+    if len(_POW[sign]) > 1 << 21:  # after a very long text, let the table go again
         _POW[sign] = _POW[sign][: 1 << 15].copy()
     return out
 
