@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents
@@ -136,8 +137,7 @@ def _scored(model):
                 s1 = vx.sum(axis=0)
                 out.append(w0 + (w[ids] * x).sum() + 0.5 * (s1 @ s1 - (vx * vx).sum()))
             score = 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(score, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
     return run
 
@@ -145,8 +145,7 @@ def _scored(model):
 def scored(docs: DataFrame, model) -> DataFrame:
     """``docs`` and the score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("score", "double")
-    return docs.mapInArrow(_scored(shared), schema)
+    return docs.mapInArrow(_scored(shared), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from tremor.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tremor.llm.language_crf import op3_language_id
+from tremor.llm.license_scan import op8_license_scan
+from tremor.llm.lm_score import op7_lm_score
 from tremor.llm.near_dedup import OP2_SQL, op2_near_dedup
 from tremor.llm.html_text import op5_html_text
 from tremor.llm.packing import op6_packing
@@ -16,6 +18,8 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_html_text": op5_html_text,
     "op6_packing": op6_packing,
+    "op7_lm_score": op7_lm_score,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
