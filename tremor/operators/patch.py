@@ -75,6 +75,13 @@ def as_lines(text: str) -> list[str]:
     return ['"""' + first, *rest, '"""']
 
 
+def file_diff(old: str, new: str, path: str) -> str:
+    """A unified diff that git applies; a last line without its end is marked."""
+    a, b = (re.findall(r"[^\n]*\n|[^\n]+", "\n".join(_LINE.split(t))) for t in (old, new))
+    out = [x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in difflib.unified_diff(a, b, f"a/{path}", f"b/{path}")]
+    return "".join(out).rstrip("\n")
+
+
 PATCH_SCHEMA = "commit string, path string, qualname string, status string, new_source string, diff string"
 
 
@@ -91,8 +98,7 @@ def apply_patches(files: DataFrame, edits: DataFrame, overwrite: bool = False) -
         text, done = source, {}
         for q, doc in sorted(zip(rows["qualname"], rows["docstring_lines"], strict=True), key=lambda x: (at(x[0]), x[0])):
             text, done[q] = put_docstring(text, q, module, list(doc), overwrite)
-        old, new = _LINE.split(source), _LINE.split(text)
-        diff = "\n".join(difflib.unified_diff(old, new, f"a/{path}", f"b/{path}", lineterm=""))
+        diff = file_diff(source, text, path)
         return pd.DataFrame({"commit": rows["commit"], "path": path, "qualname": rows["qualname"], "status": [done[q] for q in rows["qualname"]], "new_source": text, "diff": diff})
 
     joined = edits.join(files.where("source is not null"), ["commit", "path"])

@@ -40,7 +40,7 @@ def preset(name: str) -> Config:
     raise ValueError(f"unknown preset {name}")
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str = "callers", every: int = 2) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str = "callers", every: int = 1) -> DataFrame:
     """(qualname, hop, source, reason): nodes that reach a seed in at most ``max_hops`` calls.
 
     ``edges(caller, callee)``, ``seeds(qualname)``. ``source`` is the least node of the hop before that
@@ -61,7 +61,7 @@ def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str
     return found
 
 
-def _typed(edges: DataFrame, seeds: DataFrame, configs: dict[str, Config], every: int = 2) -> DataFrame:
+def _typed(edges: DataFrame, seeds: DataFrame, configs: dict[str, Config], every: int = 1) -> DataFrame:
     """All presets in one loop, keyed by (preset, qualname)."""
     kind = F.col("edge_type") if "edge_type" in edges.columns else F.lit("CALLED_BY")
     step = cut(edges.select(F.col("callee").alias("at"), F.col("caller").alias("next"), kind.alias("etype")))
@@ -90,7 +90,7 @@ def _typed(edges: DataFrame, seeds: DataFrame, configs: dict[str, Config], every
     return best
 
 
-def impact_typed(edges: DataFrame, seeds: DataFrame, config: Config = Config(), every: int = 2) -> DataFrame:
+def impact_typed(edges: DataFrame, seeds: DataFrame, config: Config = Config(), every: int = 1) -> DataFrame:
     """(qualname, score, hop, source, best_path, edge_types_on_path): the best product of weight and decay
     over the paths to a seed. Edges may have ``edge_type``; without one they count as CALLED_BY.
 

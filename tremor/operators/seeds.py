@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import names as N
+from tremor.functions.checkpoints import cut
 from tremor.operators.diff import changed_lines, parse_hunks
 from tremor.operators.parse import parse_defs
 from tremor.operators.spans import first_by, innermost, last_by
@@ -17,10 +18,11 @@ def extract_seeds(diffs: DataFrame, new_files: DataFrame, old_files: DataFrame,
 
     A changed line outside every definition gives a ``module`` seed. Deleted lines give seeds too; with
     ``legacy_old_side`` only where the file has no new lines or no new version."""
-    lines = changed_lines(parse_hunks(diffs, ["commit"], naive_headers), ["commit"]).where(N.is_python(F.col("path")))
+    parsed = {"new": cut(parse_defs(new_files)), "old": cut(parse_defs(old_files))}  # each text is parsed once
+    lines = cut(changed_lines(parse_hunks(diffs, ["commit"], naive_headers), ["commit"]).where(N.is_python(F.col("path"))))
     sides = []
     for side, files in (("new", new_files), ("old", old_files)):
-        defs = parse_defs(files).select("commit", "path", F.col("lineno").alias("lo"), F.col("end_lineno").alias("hi"), "kind", "qualname", "ordinal")
+        defs = parsed[side].select("commit", "path", F.col("lineno").alias("lo"), F.col("end_lineno").alias("hi"), "kind", "qualname", "ordinal")
         here = lines.where(F.col("side") == side).select("commit", "path", "line")
         here = here.join(files.where("source is not null").select("commit", "path"), ["commit", "path"], "left_semi")
         sides.append(innermost(here, defs, ["commit", "path"]).withColumn("version", F.lit(side)))
@@ -37,16 +39,16 @@ def extract_seeds(diffs: DataFrame, new_files: DataFrame, old_files: DataFrame,
         test.alias("is_test"), F.when(test, "test_change").otherwise("code_change").alias("seed_type"),
     )
     seeds = first_by(rows, ["commit", "path", "version", "qualname", "kind", "seed_type"], "line")
-    return with_code(seeds, new_files, old_files)
+    return with_code(cut(seeds), new_files, old_files, parsed)
 
 
-def with_code(seeds: DataFrame, new_files: DataFrame, old_files: DataFrame) -> DataFrame:
+def with_code(seeds: DataFrame, new_files: DataFrame, old_files: DataFrame, parsed: dict[str, DataFrame]) -> DataFrame:
     """Adds new_code and old_code: the last definition of the qualname on each side; null for modules."""
     out = seeds
-    for name, files in (("new_code", new_files), ("old_code", old_files)):
-        defs = last_by(parse_defs(files).select("commit", "path", "qualname", "ordinal", "lineno", "end_lineno"), ["commit", "path", "qualname"], "ordinal")
+    for side, files in (("new", new_files), ("old", old_files)):
+        defs = last_by(parsed[side].select("commit", "path", "qualname", "ordinal", "lineno", "end_lineno"), ["commit", "path", "qualname"], "ordinal")
         wanted = seeds.select("commit", "path", "qualname").distinct()
-        code = defs.join(wanted, ["commit", "path", "qualname"]).join(files, ["commit", "path"]).select("commit", "path", "qualname", N.snippet(F.col("source"), F.col("lineno"), F.col("end_lineno")).alias(name))
+        code = defs.join(wanted, ["commit", "path", "qualname"]).join(files, ["commit", "path"]).select("commit", "path", "qualname", N.snippet(F.col("source"), F.col("lineno"), F.col("end_lineno")).alias(f"{side}_code"))
         out = out.join(code, ["commit", "path", "qualname"], "left")
     return out
 
