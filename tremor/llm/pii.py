@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.workspace import documents
+from tremor.llm.workspace import documents, stored
 
 KINDS = ["email", "ip", "card", "phone", "account", "identity", "secret"]
 #: Fixed patterns. Possessive forms match the same text and cannot backtrack or overflow the stack;
@@ -157,7 +157,7 @@ def reliabilities(cells: DataFrame, rounds: int = 25) -> DataFrame:
 def classifier(found: DataFrame) -> DataFrame:
     """One row: ``w``, a map from feature slot and value to its log likelihood ratio, and ``prior``."""
     each = found.select(F.explode("_pii").alias("c")).groupBy("c.votes", "c.features").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    # few rows: votes and features have few values, whatever the input
+    each = stored(each, "votes")  # few rows: votes and features have few values, whatever the input
     cells = each.groupBy("votes").agg(F.sum("n").alias("n"))
     em = reliabilities(cells)
     logit = F.expr(f"ln(prior / (1 - prior)) + aggregate(sequence(0, {_K - 1}), 0D, (z, j) -> z + CASE votes[j] WHEN 1 THEN ln(yes[j] / no[j]) WHEN 0 THEN ln((1 - yes[j]) / (1 - no[j])) ELSE 0D END)")
