@@ -38,3 +38,12 @@ def test_command_line(spark, repo, tmp_path):
     assert got >= 1
     main(["extract-seeds", "--repo", repo, "--out", str(tmp_path / "s"), "--n", "1"], spark)
     assert "pkg.b.low" in "".join(r.value for r in spark.read.text(str(tmp_path / "s")).collect())
+
+
+def test_follow_new_commits(spark, repo, tmp_path):
+    from tremor.streaming import commits
+
+    for _ in range(2):  # the second start finds nothing new
+        commits.follow(spark, repo, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    rows = spark.read.json(str(tmp_path / "out" / "batch"))
+    assert rows.count() == 2 and spark.read.parquet(str(tmp_path / "out" / "impacted")).select("commit").distinct().count() == 2
