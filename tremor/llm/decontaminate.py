@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents, stored
 
-WINDOW, SHARD, BLOCK_CHARS = 10, 1_000_000, 8_000_000
+WINDOW, SHARD, BLOCK_CHARS = 10, 1_000_000, 1_000_000
 INDEX_SCHEMA = "shard long, doc_ids array<long>, n_words array<long>, terms binary, offsets binary, postings binary"
 _INDEX_ARROW = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("offsets", pa.binary()), ("postings", pa.binary())])
 
