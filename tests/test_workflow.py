@@ -47,3 +47,16 @@ def test_follow_new_commits(spark, repo, tmp_path):
         commits.follow(spark, repo, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     rows = spark.read.json(str(tmp_path / "out" / "batch"))
     assert rows.count() == 2 and spark.read.parquet(str(tmp_path / "out" / "impacted")).select("commit").distinct().count() == 2
+
+
+def test_module_changes_and_pages(spark, repo):
+    diffs = spark.createDataFrame([("c1", "@@ LIMIT = 2"), ("c2", "x")], "commit string, diff string")
+    seeds = spark.createDataFrame([("c1", "module", "code_change"), ("c2", "module", "code_change")], "commit string, kind string, seed_type string")
+    nodes = spark.createDataFrame([("c1", "m.f", "function"), ("c1", "m.C", "class"), ("c2", "m.f", "function")], "commit string, qualname string, kind string")
+    chosen = spark.createDataFrame([("c2",)], "commit string")
+    answer = '[AFFECTED_FUNCTIONS][{"qualname":"m.f","path":"m.py","reason":"uses LIMIT"},{"qualname":"m.nope"}][/AFFECTED_FUNCTIONS]'
+    got = workflow.module_changes(diffs, seeds, chosen, nodes, lambda p: answer if "LIMIT" in p and "m.f" in p else "").collect()
+    assert [(r.commit, r.qualname, r.reason) for r in got] == [("c1", "m.f", "uses LIMIT")]
+    speak = lambda p: "[DOCSTRING]Spoken. a b x[/DOCSTRING][ANALYSIS]calls[/ANALYSIS]"
+    out = workflow.run(spark, repo, n=1, options=workflow.Options(mode="llm"), generator=speak)
+    assert out["report"].first().ok and "Spoken." in out["patches"].first().patch and out["readmes"].count() == 1

@@ -76,6 +76,29 @@ def impacted_of(seeds: DataFrame, defs: DataFrame, calls: DataFrame, bases: Data
     return classify.classify(found, files)
 
 
+def module_changes(diffs: DataFrame, seeds: DataFrame, chosen: DataFrame, nodes: DataFrame, generator: generate.Generator, functions: int = 200) -> DataFrame:
+    """(commit, qualname, path, reason) that the generator names for commits with module-level seeds and no
+    target. It sees the first 8000 characters of the diff; names that are no function of the commit are dropped."""
+    open_commits = seeds.where("kind = 'module' and seed_type = 'code_change'").select("commit").distinct().join(chosen.select("commit").distinct(), "commit", "left_anti")
+    known = nodes.where("kind in ('function', 'async_function')").select("commit", "qualname")
+    names = known.join(open_commits, "commit", "left_semi").groupBy("commit").agg(F.array_join(F.slice(F.array_sort(F.collect_list("qualname")), 1, functions), "\n").alias("functions"))
+    rows = diffs.join(open_commits, "commit", "left_semi").join(names, "commit")
+    asked = rows.select("commit", N.render(generate.prompt("module_analysis"), diff=F.substring("diff", 1, 8000), functions=F.col("functions")).alias("prompt"))
+    answers = cut(generate.call_generator(asked, generator))  # no call runs twice
+    found = answers.select("commit", F.explode(generate.affected_functions(F.coalesce("answer", F.lit("")))).alias("f")).select("commit", "f.*")
+    return found.dropDuplicates(["commit", "qualname"]).join(known, ["commit", "qualname"], "left_semi")
+
+
+def readmes(repo: str, diffs: DataFrame, targets_: DataFrame, generator: generate.Generator) -> DataFrame:
+    """(commit, name, readme): a page a commit, under a name that its content fixes."""
+    listed = targets_.groupBy("commit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop", "qualname"))), lambda x: F.concat(F.lit("- "), x["qualname"])), "\n").alias("analyses"))
+    rows = diffs.join(listed, "commit", "left")
+    asked = rows.select("commit", N.render(generate.prompt("readme"), commit=F.col("commit"), repo=F.lit(repo), analyses=F.col("analyses"), diff=F.substring("diff", 1, 8000)).alias("prompt"))
+    done = cut(generate.call_generator(asked, generator)).where("ok")
+    text = generate.clean_answer(F.col("answer"))
+    return done.select("commit", F.concat(F.lit("README_"), F.substring("commit", 1, 8), F.lit("_"), F.substring(F.sha2(text, 256), 1, 6), F.lit(".md")).alias("name"), text.alias("readme"))
+
+
 def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int | None = None, options: Options = Options(), generator: generate.Generator | None = None) -> dict[str, DataFrame]:
     """All tables of the analysis, keyed by commit."""
     listed = commits_of(spark, repo, commits, n)
@@ -93,13 +116,18 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
         picked = targets.select_template(near, s, options.limit_targets) if options.mode == "template" else targets.select_lineage(near, s, options.max_hops, options.limit_targets)
         picked = cut(picked).withColumn("commit", F.lit(row.commit))
         chosen = picked if chosen is None else chosen.unionByName(picked)
+    if generator is not None and options.mode == "llm":
+        named = module_changes(diffs, seeds, chosen, nodes, generator).withColumnsRenamed({"path": "given_path"}).drop("given_path")
+        more = named.select("commit", "qualname", F.lit(0).alias("hop"), F.col("reason"), F.lit(True).alias("is_internal"))
+        near = targets.candidates(more, nodes.drop("ordinal").withColumnRenamed("commit", "node_commit"), 0).where("commit = node_commit")
+        chosen = cut(chosen.unionByName(near.select("commit", *[c for c in chosen.columns if c in near.columns and c != "commit"]), allowMissingColumns=True))
     votes = style.winner(style.votes(style.docstring_corpus(new, defs), ["commit"]))
     if options.style != "auto":
         votes = listed.select("commit").withColumns({"style": F.lit(options.style), "confidence": F.lit(1.0)})
     lines = N.placeholder_docstring(F.col("params"))
     work = chosen.withColumnRenamed("rel_path", "path")
     if generator is not None and options.mode == "llm":
-        code = work.join(new.select("commit", "path", "source"), ["commit", "path"]).withColumn("code", N.snippet(F.col("source"), F.col("lineno"), F.col("end_lineno"))).drop("source")
+        code = work.join(new.select("commit", "path", F.col("source").alias("file_text")), ["commit", "path"]).withColumn("code", N.snippet(F.col("file_text"), F.col("lineno"), F.col("end_lineno"))).drop("file_text")
         code = code.join(votes.select("commit", "style"), "commit", "left")
         ask = lambda d: N.render(generate.prompt("docstring_impact"), qualname=d["qualname"], parent_analysis=d["parent_analysis"], code=d["code"], style=N.style_description(d["style"]))
         work = generate.layered(code, generator, options.max_hops, ask)
@@ -120,7 +148,8 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
     rows = listed.select("commit", F.lit(options.mode).alias("mode"), F.lit(True).alias("ok"))
     for part in (counts, changed, lines_of, labels, report.select("commit", F.col("ok").alias("verifier_ok"), F.col("num_targets_checked").alias("verifier_checked")), votes.select("commit", "style")):
         rows = rows.join(part, "commit", "left")
-    return {"commits": listed, "seeds": seeds, "impacted": impacted, "style": votes, "targets": chosen, "patched": patched, "patches": patches, "verified": checked, "report": report, "batch": cut(rows)}
+    pages = {"readmes": readmes(repo, diffs, chosen, generator)} if generator is not None else {}
+    return pages | {"commits": listed, "seeds": seeds, "impacted": impacted, "style": votes, "targets": chosen, "patched": patched, "patches": patches, "verified": checked, "report": report, "batch": cut(rows)}
 
 
 def run_batch(spark: SparkSession, repo: str, commits: DataFrame, modes: list[str], log: str, options: Options = Options(), generator: generate.Generator | None = None, done: DataFrame | None = None) -> DataFrame:
