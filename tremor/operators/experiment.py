@@ -7,22 +7,17 @@ from pyspark.sql import functions as F
 
 SETTINGS = ["original", "drop_param", "add_fake_param", "rename_param"]
 _LINE = r"\r\n|\r|\n"
-_ARG = r"^\s*([*]{0,2}[A-Za-z_][A-Za-z0-9_]*):\s*$"
 
 
-def _after_args(lines: Column) -> Column:
-    """Lines below the first ``Args:``; none without one."""
-    at = F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.lit(r"^\s*Args:\s*$"))), True)
-    return F.when(at > 0, F.slice(lines, at.cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+_END = r"(?:\r\n|\r|\n)"
+_SECTION = rf"(?:\A|[\r\n])[ \t]*Args:[ \t]*{_END}((?:[ \t]*{_END}|[ \t]+[*]{{0,2}}[A-Za-z_][A-Za-z0-9_]*:[ \t]*(?:{_END}|\z))*+)"
 
 
 def args_of(doc: Column) -> Column:
-    """Names of the Args section, up to the first line that is not an indented ``name:``."""
-    body = F.filter(_after_args(F.split(F.coalesce(doc, F.lit("")), _LINE)), lambda x: F.trim(x) != "")
-    good = F.transform(body, lambda x: F.regexp_like(x, F.lit(r"^[ \t]")) & F.regexp_like(x, F.lit(_ARG)))
-    stop = F.array_position(good, False)
-    kept = F.when(stop > 0, F.slice(body, 1, stop.cast("int") - 1)).otherwise(body)
-    return F.transform(kept, lambda x: F.regexp_extract(x, _ARG, 1))
+    """Names of the Args section, up to the first line that is not an indented ``name:``. Two patterns,
+    each run once a text."""
+    section = F.regexp_extract(F.coalesce(doc, F.lit("")), _SECTION, 1)
+    return F.regexp_extract_all(section, F.lit(r"([*]{0,2}[A-Za-z_][A-Za-z0-9_]*):"), F.lit(1))
 
 
 def _edited(doc: Column, name: Column, line: Column | None) -> Column:
@@ -52,7 +47,10 @@ def mutated(doc: Column, params: Column, setting: str) -> Column:
 
 def strict_check(doc: Column, params: Column) -> Column:
     """struct(ok, missing, extra): the Args section names exactly the parameters."""
-    own = args_of(doc)
+    return compared(args_of(doc), params)
+
+
+def compared(own: Column, params: Column) -> Column:
     missing, extra = F.array_sort(F.array_except(params, own)), F.array_sort(F.array_except(own, params))
     return F.struct(((F.size(missing) == 0) & (F.size(extra) == 0)).alias("ok"), missing.alias("missing"), extra.alias("extra"))
 
@@ -60,7 +58,8 @@ def strict_check(doc: Column, params: Column) -> Column:
 def mutation_results(docs: DataFrame) -> DataFrame:
     """``docs(commit, qualname, docstring, params)`` under every setting: commit, qualname, setting, ok, note."""
     settings = F.explode(F.array(*(F.struct(F.lit(s).alias("setting"), mutated(F.col("docstring"), F.col("params"), s).alias("doc")) for s in SETTINGS)))
-    rows = docs.select("commit", "qualname", "params", settings.alias("s")).select("commit", "qualname", "s.setting", strict_check(F.col("s.doc"), F.col("params")).alias("c"))
+    rows = docs.select("commit", "qualname", "params", settings.alias("s")).select("commit", "qualname", "params", "s.setting", args_of(F.col("s.doc")).alias("own"))
+    rows = rows.select("commit", "qualname", "setting", compared(F.col("own"), F.col("params")).alias("c"))
     note = F.concat(F.lit("missing="), F.array_join("c.missing", ","), F.lit(" extra="), F.array_join("c.extra", ","))
     return rows.select("commit", "qualname", "setting", "c.ok", F.when(~F.col("c.ok"), note).alias("note"))
 
