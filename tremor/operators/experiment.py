@@ -20,31 +20,6 @@ def args_of(doc: Column) -> Column:
     return F.regexp_extract_all(section, F.lit(r"([*]{0,2}[A-Za-z_][A-Za-z0-9_]*):"), F.lit(1))
 
 
-def _edited(doc: Column, name: Column, line: Column | None) -> Column:
-    """The first ``name:`` line below Args dropped, or given another name."""
-    lines = F.split(doc, _LINE)
-    is_args = F.transform(lines, lambda x: F.regexp_like(x, F.lit(r"^\s*Args:\s*$")))
-    start = F.array_position(is_args, True)
-    hit = F.array_position(F.transform(lines, lambda x, i: (i + 1 > start) & (F.trim(x) == F.concat(name, F.lit(":")))), True).cast("int")
-    new = F.array() if line is None else F.array(F.concat(F.regexp_extract(F.element_at(lines, hit), r"^(\s*)", 1), line, F.lit(":")))
-    edited = F.concat(F.slice(lines, 1, hit - 1), new.cast("array<string>"), F.slice(lines, hit + 1, F.size(lines)))
-    return F.when((start > 0) & (hit > 0), F.array_join(edited, "\n")).otherwise(doc)
-
-
-def mutated(doc: Column, params: Column, setting: str) -> Column:
-    """A docstring under a setting; without parameters, or an Args section, it stays as it is."""
-    first = F.try_element_at(params, F.lit(1))
-    if setting == "drop_param":
-        return F.when(first.isNotNull(), _edited(doc, first, None)).otherwise(doc)
-    if setting == "rename_param":
-        return F.when(first.isNotNull(), _edited(doc, first, F.concat(first, F.lit("_renamed")))).otherwise(doc)
-    if setting == "add_fake_param":
-        lines = F.split(doc, _LINE)
-        at = F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.lit(r"^\s*Args:\s*$"))), True).cast("int")
-        return F.when(at > 0, F.array_join(F.concat(F.slice(lines, 1, at), F.array(F.lit("    fake_param:")), F.slice(lines, at + 1, F.size(lines))), "\n")).otherwise(doc)
-    return doc
-
-
 def strict_check(doc: Column, params: Column) -> Column:
     """struct(ok, missing, extra): the Args section names exactly the parameters."""
     return compared(args_of(doc), params)
@@ -56,9 +31,25 @@ def compared(own: Column, params: Column) -> Column:
 
 
 def mutation_results(docs: DataFrame) -> DataFrame:
-    """``docs(commit, qualname, docstring, params)`` under every setting: commit, qualname, setting, ok, note."""
-    settings = F.explode(F.array(*(F.struct(F.lit(s).alias("setting"), mutated(F.col("docstring"), F.col("params"), s).alias("doc")) for s in SETTINGS)))
-    rows = docs.select("commit", "qualname", "params", settings.alias("s")).select("commit", "qualname", "params", "s.setting", args_of(F.col("s.doc")).alias("own"))
+    """``docs(commit, qualname, docstring, params)`` under every setting: commit, qualname, setting, ok, note.
+
+    Lines and places are columns of their own, so that each is worked out once a text."""
+    first = F.try_element_at("params", F.lit(1))
+    rows = docs.select("commit", "qualname", "params", "docstring", first.alias("first"), F.split("docstring", _LINE).alias("lines"))
+    rows = rows.withColumn("start", F.array_position(F.transform("lines", lambda x: F.trim(x) == "Args:"), True).cast("int"))
+    rows = rows.withColumn("hit", F.array_position(F.transform("lines", lambda x, i: (i + 1 > F.col("start")) & (F.trim(x) == F.concat("first", F.lit(":")))), True).cast("int"))
+    found = (F.col("start") > 0) & (F.col("hit") > 0)
+    head, tail = F.slice("lines", F.lit(1), F.greatest(F.col("hit") - 1, F.lit(0))), F.slice("lines", F.col("hit") + 1, F.size("lines"))
+    renamed = F.array(F.concat(F.regexp_extract(F.try_element_at("lines", F.greatest("hit", F.lit(1))), r"^(\s*)", 1), "first", F.lit("_renamed:")))
+    fake = F.concat(F.slice("lines", F.lit(1), F.col("start")), F.array(F.lit("    fake_param:")), F.slice("lines", F.col("start") + 1, F.size("lines")))
+    docs_of = {
+        "original": F.col("docstring"),
+        "drop_param": F.when(found, F.array_join(F.concat(head, tail), "\n")).otherwise(F.col("docstring")),
+        "add_fake_param": F.when(F.col("start") > 0, F.array_join(fake, "\n")).otherwise(F.col("docstring")),
+        "rename_param": F.when(found, F.array_join(F.concat(head, renamed, tail), "\n")).otherwise(F.col("docstring")),
+    }
+    settings = F.explode(F.array(*(F.struct(F.lit(s).alias("setting"), docs_of[s].alias("doc")) for s in SETTINGS)))
+    rows = rows.select("commit", "qualname", "params", settings.alias("s")).select("commit", "qualname", "params", "s.setting", args_of(F.col("s.doc")).alias("own"))
     rows = rows.select("commit", "qualname", "setting", compared(F.col("own"), F.col("params")).alias("c"))
     note = F.concat(F.lit("missing="), F.array_join("c.missing", ","), F.lit(" extra="), F.array_join("c.extra", ","))
     return rows.select("commit", "qualname", "setting", "c.ok", F.when(~F.col("c.ok"), note).alias("note"))
