@@ -277,6 +277,21 @@ def test_scores_tell_prose_from_noise(spark, docs, odd, odd_rows, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_every_word_has_a_probability_of_its_own(spark):
+    rows = [(k, " ".join(["the of and"] * 30 + [f"w{chr(97 + k % 26)}{chr(97 + j % 26)}nation" for j in range(60)])) for k in range(60)]
+    rows += [(100, "wabnation wacnation"), (101, "xqzjkvnation qqxzpwnation")]  # the same endings
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lm_score.side_of(10**8) == 100 and lm_score.side_of(16 * 10**8) == 200
+    out = {r.doc_id: r.mean_log_prob for r in lm_score.score(df).collect()}
+    assert out[100] > out[101] + 3
+    codes = lm_score.spelled(bytes_of("ab b  bab"), np.array([0, 3, 6]), np.array([2, 4, 9]))
+    symbol, three, ends = lm_score.spelling(*np.unique(codes.astype(int), return_counts=True))
+    k = symbol.max() + 1
+    assert np.allclose(np.exp(three.reshape(k, k, k)).sum(axis=0), 1, atol=1e-5)
+    last, before = np.divmod(np.arange(1 << 16), 256)
+    assert np.allclose(np.bincount(lm_score.buckets(last, before), np.exp(ends)), 1)
+
+
 # licences
 
 

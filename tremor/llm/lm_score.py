@@ -4,10 +4,15 @@ A network predicts every word from the ``WINDOW`` words on each side: their vect
 place, are summed and squashed; a class and then a word of that class follow by two softmaxes. A
 document's score is the sum of the logarithms of these conditional probabilities, and its mean.
 
-Vocabulary: the most frequent words, counted over all documents; the others share buckets by
-their last two bytes. Training is data-parallel: in each round every task runs Adagrad from the
-shared weights over its documents' share (one in ``SHARE`` by the hash of the id, so it grows with
-the input), and the weights are averaged by words in two levels, so that the driver gets few rows.
+Vocabulary: the most frequent words, counted over all documents; its size is the square root of the
+number of words of all documents, rounded up to a square, and at least ``SIDE`` squared. The other words
+share ``OTHER`` buckets by their last two bytes, and each is then spelled from its end: its last two bytes
+given the bucket, and every byte before given the two after it, down to the border of the word. So
+each word has a probability of its own. The spelling counts come from all words out of the vocabulary.
+
+Training is data-parallel: in each round every task runs Adagrad from the shared weights over its
+documents' share (one in ``SHARE`` by the hash of the id, so it grows with the input), and the weights are averaged by words in two levels, so that the driver
+gets few rows.
 
 Edge cases: null and wordless texts have 0 words, log-probability 0 and a null mean; null doc_ids
 and rows that repeat are scored row by row; with no text to train on the start weights are used;
@@ -16,6 +21,8 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,108 +32,187 @@ from tremor.llm import textops as T
 from tremor.llm.workspace import documents, stored
 
 WINDOW, DIM, SIDE, OTHER, SHARE, ROUNDS, STEP = 2, 12, 24, 128, 8, 2, 8192
-V = SIDE * SIDE
-WORDS = V - OTHER
-_SHAPES = {"e": (V + 1, DIM), "c": (2 * WINDOW, DIM), "u": (SIDE, DIM), "ub": (SIDE,), "w": (SIDE, SIDE, DIM), "wb": (SIDE, SIDE)}
+V = SIDE * SIDE  # of the least network
+BORDER = 0x20
+
+
+def side_of(n_words: int) -> int:
+    """Classes, and words in each, for a corpus of ``n_words`` words."""
+    return max(SIDE, math.ceil(n_words**0.25))
+
 
+def _shapes(side: int) -> dict[str, tuple[int, ...]]:
+    return {"e": (side * side + 1, DIM), "c": (2 * WINDOW, DIM), "u": (side, DIM), "ub": (side,), "w": (side, side, DIM), "wb": (side, side)}
 
-def initial(seed: int = 3) -> dict[str, np.ndarray]:
+
+def initial(seed: int = 3, side: int = SIDE) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _SHAPES.items()}
+    out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _shapes(side).items()}
     out["c"] += 1
     return out
 
 
 def flat(m: dict) -> np.ndarray:
-    return np.concatenate([m[k].ravel() for k in _SHAPES])
+    return np.concatenate([m[k].ravel() for k in _shapes(1)])
 
 
-def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(x: np.ndarray, side: int = SIDE) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
+    for k, s in _shapes(side).items():
         n = int(np.prod(s))
         out[k] = x[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def ids_of(u8: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Word ids: frequent words by rank, the others by a bucket of their last bytes."""
-    known, rank = vocabulary
+def buckets(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return (last.astype(np.int64) * 31 + before) % OTHER
+
+
+def ids_of(u8: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids: frequent words by rank, the others by a bucket of their last bytes; and the starts and
+    ends of the others."""
+    known, rank, side = vocabulary
     a, b = T.spans(u8, T.SPACED)
     if not len(a):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), a, b
     h = T.hashes(u8, a, b)
-    bucket = WORDS + (u8[b - 1].astype(np.int64) * 31 + u8[np.maximum(b - 2, a)]) % OTHER
+    bucket = side * side - OTHER + buckets(u8[b - 1], np.where(b - a > 1, u8[np.maximum(b - 2, 0)], BORDER))
     if not len(known):
-        return bucket
+        return bucket, a, b
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, rank[at], bucket)
-
-
-def contexts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Targets and their neighbours; beyond the ends stands the id V."""
-    pad = np.full(WINDOW, V)
+    other = known[at] != h
+    return np.where(other, bucket, rank[at]), a[other], b[other]
+
+
+def spelled(u8: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Codes of the spelling steps of words: (byte, next, next but one), and from 1 << 24 on (last, last but one)."""
+    long = b - a > 1
+    pairs = (1 << 24) + u8[b - 1].astype(np.int32) * 256 + np.where(long, u8[np.maximum(b - 2, 0)], BORDER)
+    a, n = a[long], (b - a)[long] - 1
+    t = np.concatenate([[BORDER], u8]).astype(np.int32)
+    q = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    first = np.zeros(len(q), bool)
+    first[np.cumsum(n) - n] = True
+    return np.concatenate([np.where(first, BORDER, t[q]) << 16 | t[q + 1] << 8 | t[q + 2], pairs]).astype(np.int32)
+
+
+def spelling(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From counts of codes: symbols of bytes, log P(byte | two after it) by symbols, log P(last two | bucket)."""
+    pair = codes >= 1 << 24
+    x, y, z = codes[~pair] >> 16, codes[~pair] >> 8 & 255, codes[~pair] & 255
+    used = np.unique(np.concatenate([x, y, z, [BORDER]]))
+    k = len(used) + 1  # the last for bytes not seen
+    symbol = np.full(256, k - 1)
+    symbol[used] = np.arange(k - 1)
+    three = np.zeros((k, k, k))
+    three[symbol[x], symbol[y], symbol[z]] = n[~pair]
+    two = three.sum(axis=2)
+    back = (two + 1 / k) / (two.sum(axis=0) + 1)
+    total = three.sum(axis=0) + 1
+    three += back[:, :, None]
+    three /= total
+    last, before = np.divmod(np.arange(1 << 16), 256)
+    share = np.where(T.SPACED[last] & (T.SPACED[before] | (before == BORDER)), 0.01, 0)
+    share[codes[pair] - (1 << 24)] += n[pair]
+    group = buckets(last, before)
+    with np.errstate(divide="ignore"):
+        ends = np.log(share / np.bincount(group, share, OTHER)[group])
+    return symbol, np.log(three).astype(np.float32).ravel(), ends
+
+
+def spelling_log_probability(u8: np.ndarray, a: np.ndarray, b: np.ndarray, model) -> float:
+    """The sum over words of their log probability given the bucket."""
+    if not len(a):
+        return 0.0
+    symbol, three, ends = model
+    k = symbol.max() + 1
+    code = spelled(u8, a, b)
+    pair = code[len(code) - len(a) :] - (1 << 24)
+    code = code[: len(code) - len(a)]
+    steps = three[(symbol[code >> 16] * k + symbol[code >> 8 & 255]) * k + symbol[code & 255]]
+    return float(steps.sum(dtype=np.float64) + ends[pair].sum())
+
+
+def contexts(docs: list[np.ndarray], side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Targets and their neighbours; beyond the ends stands the id ``side * side``."""
+    pad = np.full(WINDOW, side * side)
     run = np.concatenate([x for d in docs for x in (d, pad)]) if docs else np.empty(0, np.int64)
     run = np.concatenate([pad, run])
-    at = np.flatnonzero(run < V)
+    at = np.flatnonzero(run < side * side)
     offsets = [o for o in range(-WINDOW, WINDOW + 1) if o]
     return run[at], np.stack([run[at + o] for o in offsets], 1) if len(at) else np.empty((0, 2 * WINDOW), np.int64)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    picked = z[np.arange(len(z)), at]
+    return picked - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _by_class(cls: np.ndarray, side: int):
+    """The classes that occur with their rows."""
+    order = np.argsort(cls.astype(np.uint16 if side < 1 << 16 else np.int64), kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(side + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        yield c, order[cuts[c] : cuts[c + 1]]
 
 
 def log_probabilities(m: dict, target: np.ndarray, near: np.ndarray) -> np.ndarray:
-    out = np.empty(len(target))
+    side, out = len(m["ub"]), np.empty(len(target))
     for k in range(0, len(target), STEP):
         y, x = target[k : k + STEP], near[k : k + STEP]
         h = np.tanh(sum(m["e"][x[:, j]] * m["c"][j] for j in range(2 * WINDOW)))
-        cls, word = y // SIDE, y % SIDE
-        p = _softmax(h @ m["u"].T + m["ub"])[np.arange(len(y)), cls]
-        q = np.empty(len(y))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(SIDE + 1))
-        for c in range(SIDE):
-            i = order[cuts[c] : cuts[c + 1]]
-            if len(i):
-                q[i] = _softmax(h[i] @ m["w"][c].T + m["wb"][c])[np.arange(len(i)), word[i]]
-        out[k : k + STEP] = np.log(np.maximum(p, 1e-12)) + np.log(np.maximum(q, 1e-12))
+        cls, word = np.divmod(y, side)
+        p = _log_softmax(h @ m["u"].T + m["ub"], cls)
+        for c, i in _by_class(cls, side):
+            p[i] += _log_softmax(h[i] @ m["w"][c].T + m["wb"][c], word[i])
+        out[k : k + STEP] = p
     return out
 
 
 def learn(m: dict, seen: dict, target: np.ndarray, near: np.ndarray, rate: float = 0.15, step: int = 1024) -> None:
-    """Adagrad over the examples, in place; ``seen`` has the squares so far."""
+    """Adagrad over the examples, in place; ``seen`` has the squares so far. Weights without a gradient are left alone."""
+    side = len(m["ub"])
+
+    def update(name, rows, grad):
+        grad = grad / np.float32(n)
+        seen[name][rows] += grad * grad
+        m[name][rows] -= rate * grad / (np.sqrt(seen[name][rows]) + np.float32(1e-6))
+
     for k in range(0, len(target), step):
         y, x = target[k : k + step], near[k : k + step]
         n = len(y)
         vec = [m["e"][x[:, j]] for j in range(2 * WINDOW)]
         h = np.tanh(sum(v * m["c"][j] for j, v in enumerate(vec)))
-        cls, word = y // SIDE, y % SIDE
-        g = {name: np.zeros_like(v) for name, v in m.items()}
+        cls, word = np.divmod(y, side)
         d = _softmax(h @ m["u"].T + m["ub"])
         d[np.arange(n), cls] -= 1
-        g["u"], g["ub"] = d.T @ h, d.sum(axis=0)
         back = d @ m["u"]
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(SIDE + 1))
-        for c in range(SIDE):
-            i = order[cuts[c] : cuts[c + 1]]
-            if len(i):
-                d = _softmax(h[i] @ m["w"][c].T + m["wb"][c])
-                d[np.arange(len(i)), word[i]] -= 1
-                g["w"][c], g["wb"][c] = d.T @ h[i], d.sum(axis=0)
-                back[i] += d @ m["w"][c]
+        update("u", slice(None), d.T @ h)
+        update("ub", slice(None), d.sum(axis=0))
+        for c, i in _by_class(cls, side):
+            hi = h[i]
+            d = _softmax(hi @ m["w"][c].T + m["wb"][c])
+            d[np.arange(len(i)), word[i]] -= 1
+            back[i] += d @ m["w"][c]
+            update("w", c, d.T @ hi)
+            update("wb", c, d.sum(axis=0))
         back *= 1 - h * h
-        for j, v in enumerate(vec):
-            g["c"][j] = (back * v).sum(axis=0)
-            np.add.at(g["e"], x[:, j], back * m["c"][j])
-        for name in m:
-            grad = g[name] / n
-            seen[name] += grad * grad
-            m[name] -= (rate * grad / (np.sqrt(seen[name]) + 1e-6)).astype(np.float32)
+        grads = np.concatenate([back * m["c"][j] for j in range(2 * WINDOW)])
+        update("c", slice(None), np.stack([(back * v).sum(axis=0) for v in vec]))
+        flat_x = x.T.ravel()
+        order = np.argsort(flat_x.astype(np.uint16) if side < 256 else flat_x, kind="stable")
+        flat_x = flat_x[order]
+        at = np.flatnonzero(np.diff(flat_x, prepend=-1))
+        update("e", flat_x[at], np.add.reduceat(grads[order], at))
 
 
 def _counted(batches):
@@ -148,42 +234,55 @@ def _counted(batches):
         yield out()
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words of all documents, as sorted hashes and their ranks."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent words of all documents, as sorted hashes and their ranks, and the side of the network."""
     counts = docs.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    counts = stored(counts, "words")
+    side = side_of(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    top = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(side * side - OTHER).collect()]
     known = np.array(top, np.int64).view(np.uint64)
     order = np.argsort(known)
-    return known[order], order
+    return known[order], order, side
 
 
-def _groups(batches, words, most: int = 200_000):
-    """Documents with their ids, in groups of bounded size."""
+def _groups(batches, words, of_others, most: int = 200_000):
+    """Documents with their ids and what ``of_others`` makes of the words without one, in groups of bounded size."""
     for batch in batches:
         names = batch.column(0).to_pylist()
-        group, keys, size = [], [], 0
+        group, keys, others, size = [], [], [], 0
         for name, u8 in zip(names, T.texts(batch), strict=True):
-            ids = ids_of(T.LOWER[u8], words)
+            low = T.LOWER[u8]
+            ids, a, b = ids_of(low, words)
             group.append(ids)
             keys.append(name)
+            others.append(of_others(low, a, b))
             size += len(ids)
             if size > most:
-                yield keys, group
-                group, keys, size = [], [], 0
+                yield keys, group, others
+                group, keys, others, size = [], [], [], 0
         if keys:
-            yield keys, group
+            yield keys, group, others
+
+
+_TRAINED = "n double, weights binary, codes array<int>, counts array<long>"
 
 
 def _trained(shared, words):
     def run(batches):
-        m = {k: v.copy() for k, v in unflat(shared.value).items()}
+        side = words.value[2]
+        m = unflat(shared.value, side)
         seen, n = {k: np.zeros_like(v) for k, v in m.items()}, 0
-        for _, group in _groups(batches, words.value):
-            y, x = contexts(group)
-            learn(m, seen, y, x)
+        codes, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+        for _, group, others in _groups(batches, words.value, spelled):
+            y, x = contexts(group, side)
+            learn(m, seen, y, x, step=4096)
             n += len(y)
+            new, times = np.unique(np.concatenate(others), return_counts=True)
+            codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, times]), len(codes)).astype(np.int64)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([(flat(m) * n).astype(np.float64).tobytes()], pa.binary())], names=["n", "weights"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(v)) for v in (codes, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([flat(m).tobytes()], pa.binary()), *lists], names=["n", "weights", "codes", "counts"])
 
     return run
 
@@ -192,34 +291,40 @@ def _summed(batches):
     n, total = 0.0, None
     for batch in batches:
         for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n, total = n + k, np.frombuffer(w) + (0 if total is None else total)
+            n, total = n + k, k * np.frombuffer(w, np.float32).astype(np.float64) + (0 if total is None else total)
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def train(docs: DataFrame, words) -> np.ndarray:
+def train(docs: DataFrame, words) -> tuple[np.ndarray, tuple]:
+    """The weights, and the spelling of words out of the vocabulary."""
     spark = docs.sparkSession
-    part = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % SHARE == 0, F.lit(True))).select("doc_id", "text")
-    weights = flat(initial())
+    docs = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % SHARE == 0, F.lit(True)))
+    weights, spell = flat(initial(side=words.value[2])), None
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
-        each = part.mapInArrow(_trained(shared, words), "n double, weights binary")
+        each = docs.select("doc_id", "text").mapInArrow(_trained(shared, words), _TRAINED)
         each = stored(each, "weights")
         few = max(1, int(each.count() ** 0.5))
-        sums = sorted((r[0], bytes(r[1])) for r in each.repartition(few).mapInArrow(_summed, "n double, weights binary").collect())
+        sums = sorted((r[0], bytes(r[1])) for r in each.select("n", "weights").repartition(few).mapInArrow(_summed, "n double, weights binary").collect())
         if sums:
-            weights = sum(np.frombuffer(w) for _, w in sums) / sum(n for n, _ in sums)
-    return weights
+            weights = (sum(np.frombuffer(w) for _, w in sums) / sum(n for n, _ in sums)).astype(np.float32)
+        if spell is None:  # the same in all rounds
+            codes = each.select(F.explode(F.arrays_zip("codes", "counts")).alias("c")).groupBy("c.codes").agg(F.sum("c.counts").alias("n")).toArrow()
+            spell = spelling(codes["codes"].to_numpy().astype(np.int64), codes["n"].to_numpy().astype(np.float64))
+    return weights, spell
 
 
 def _scored(shared, words):
     def run(batches):
-        m = unflat(shared.value)
-        for keys, group in _groups(batches, words.value):
-            lp = log_probabilities(m, *contexts(group))
+        weights, spell = shared.value
+        side = words.value[2]
+        m = unflat(weights, side)
+        for keys, group, others in _groups(batches, words.value, lambda u8, a, b: spelling_log_probability(u8, a, b, spell)):
+            lp = log_probabilities(m, *contexts(group, side))
             n = np.array([len(g) for g in group])
             total = np.concatenate([[0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])]
-            sums = np.diff(total)
+            sums = np.diff(total) + np.array(others)
             mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(sums), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
