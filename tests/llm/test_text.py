@@ -292,6 +292,15 @@ def test_every_word_has_a_probability_of_its_own(spark):
     assert np.allclose(np.bincount(lm_score.buckets(last, before), np.exp(ends)), 1)
 
 
+def test_all_documents_train(spark):
+    df = spark.createDataFrame([(k, "left right " * 40) for k in range(16)], "doc_id long, text string")
+    words = spark.sparkContext.broadcast(lm_score.vocabulary(df))
+    start = lm_score.flat(lm_score.initial())
+    for k in range(16):  # whichever it is
+        weights, _ = lm_score.train(df.where(f"doc_id = {k}"), words)
+        assert not np.allclose(weights, start)
+
+
 # licences
 
 

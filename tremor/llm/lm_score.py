@@ -10,8 +10,8 @@ share ``OTHER`` buckets by their last two bytes, and each is then spelled from i
 given the bucket, and every byte before given the two after it, down to the border of the word. So
 each word has a probability of its own. The spelling counts come from all words out of the vocabulary.
 
-Training is data-parallel: in each round every task runs Adagrad from the shared weights over its
-documents' share (one in ``SHARE`` by the hash of the id, so it grows with the input), and the weights are averaged by words in two levels, so that the driver
+Training is data-parallel, on all documents: in each round every task runs Adagrad from the shared
+weights over its documents, and the weights are averaged by words in two levels, so that the driver
 gets few rows.
 
 Edge cases: null and wordless texts have 0 words, log-probability 0 and a null mean; null doc_ids
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents, stored
 
-WINDOW, DIM, SIDE, OTHER, SHARE, ROUNDS, STEP = 2, 12, 24, 128, 8, 2, 8192
+WINDOW, DIM, SIDE, OTHER, ROUNDS, STEP = 2, 12, 24, 128, 1, 8192
 V = SIDE * SIDE  # of the least network
 BORDER = 0x20
 
@@ -299,7 +299,6 @@ def _summed(batches):
 def train(docs: DataFrame, words) -> tuple[np.ndarray, tuple]:
     """The weights, and the spelling of words out of the vocabulary."""
     spark = docs.sparkSession
-    docs = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % SHARE == 0, F.lit(True)))
     weights, spell = flat(initial(side=words.value[2])), None
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
