@@ -167,6 +167,19 @@ def test_no_kept_node_below_a_dropped_one():
     assert all(keep[p] for k, p in zip(keep, shape.parent, strict=True) if k and p >= 0)
 
 
+def test_raw_text_is_not_markup():
+    page = '<html><head>%s<title>x<y</title></head><body><article><p>Words stay.%s</p><p>So do these.</p></article></body></html>'
+    heads = ["<script>if(a<b){x()}</script>", "<SCRIPT>for(i=0;i<n;i++){}</Script >", "<script>var s='<p';\nt=\"</p>\"</script>", "<style>a<b{}</style>", "<noscript>a<b</noscript>", "<iframe>a<b</iframe>", "<textarea>i<n \"</textarea>"]
+    for raw in heads:
+        for filled in (page % (raw, ""), page % ("", raw)):
+            f = html_text.Forest()
+            html_text.parse(f, filled)
+            assert [t for t in f.text if t] == ["Words stay.", "So do these."]
+    f = html_text.Forest()
+    html_text.parse(f, "<p>a<svg><title>x<y</title></svg>b<svg>" + "<title>" * 20_000 + "</svg>c")
+    assert [t for t in f.text if t] == ["abc"]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (3, "u", "plain & text &lt;"), (3, "u", "<article><p>" + "word " * 50_000), (4, "u", "<" * 200 + "<a href='" + "x" * 100), (5, "u", "<div>" * 3000 + "deep")]
     out = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()

@@ -46,6 +46,8 @@ TOKENS = {
 _TOKEN = {w: k for k, ws in enumerate(TOKENS.values()) for w in ws.split()}
 SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas", "math", "select")
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?][^\s>\"'/]*+(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>|<[a-zA-Z/!?][^>]*+>|[^<]++|<", re.S)
+_RAW = re.compile(r"<(script|style|textarea|title|noscript|iframe)(?![^\s/>])", re.I)  # no markup in these
+_RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
@@ -91,6 +93,21 @@ def _tokens(tag: str) -> int:
     return found
 
 
+def _parts(page: str):
+    """Tags, comments and texts in order; the bodies of raw-text elements are left out up to their own end tag."""
+    at, endless = 0, set()
+    while at >= 0:
+        start, at = at, -1
+        for m in _PART.finditer(page, start):
+            part = m[0]
+            yield part
+            if part[0] == "<" and (raw := _RAW.match(part)) and not part.endswith("/>") and (tag := raw[1].lower()) not in endless:
+                if end := _RAW_END[tag].search(page, m.end()):
+                    at = end.start()
+                    break
+                endless.add(tag)
+
+
 def parse(f: Forest, page: str) -> None:
     """Add the tree of blocks and text runs of a page."""
     root = f.add(_BODY, 0, -1, 0)
@@ -106,7 +123,7 @@ def parse(f: Forest, page: str) -> None:
                 chars += len(text)
             run, links = [], 0
 
-    for part in _PART.findall(page):
+    for part in _parts(page):
         if part[0] != "<" or len(part) == 1:
             if not skip and not in_head:
                 run.append(part)
