@@ -60,3 +60,21 @@ def test_module_changes_and_pages(spark, repo):
     speak = lambda p: "[DOCSTRING]Spoken. a b x[/DOCSTRING][ANALYSIS]calls[/ANALYSIS]"
     out = workflow.run(spark, repo, n=1, options=workflow.Options(mode="llm"), generator=speak)
     assert out["report"].first().ok and "Spoken." in out["patches"].first().patch and out["readmes"].count() == 1
+
+
+def test_module_changes_see_everything(spark):
+    names = [f"a.f{k:03}" for k in range(250)] + ["z.late"]
+    diff = "+x = 1\n" * 3000 + "+LIMIT = 2\n"
+    source = "pad = 0\n" * 3000 + "def late(): return LIMIT\n"
+    diffs = spark.createDataFrame([("c1", diff)], "commit string, diff string")
+    seeds = spark.createDataFrame([("c1", "z.py", "module", "code_change")], "commit string, path string, kind string, seed_type string")
+    nodes = spark.createDataFrame([("c1", n[0] + ".py", n, "function") for n in names], "commit string, path string, qualname string, kind string")
+    files = spark.createDataFrame([("c1", "z.py", source), ("c1", "a.py", "")], "commit string, path string, source string")
+    chosen = spark.createDataFrame([], "commit string")
+    answer = '[AFFECTED_FUNCTIONS][{"qualname":"z.late"},{"qualname":"a.f001"}][/AFFECTED_FUNCTIONS]'
+    sees = lambda p: answer if "LIMIT = 2" in p and "return LIMIT" in p and "z.late" in p else ""
+    for size in (100_000, 9000):  # one prompt, several
+        got = workflow.module_changes(diffs, seeds, chosen, nodes, lambda p, size=size: sees(p) if len(p) < size + 500 else "", files, size).collect()
+        assert [(r.commit, r.qualname) for r in got] == [("c1", "z.late")]
+    text = spark.range(1).select(workflow._pieces(workflow.F.lit(diff + "y" * 50), 20).alias("p")).first().p
+    assert "".join(text) == diff + "y" * 50 and max(map(len, text)) <= 20

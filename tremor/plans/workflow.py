@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions import names as N
@@ -76,14 +76,31 @@ def impacted_of(seeds: DataFrame, defs: DataFrame, calls: DataFrame, bases: Data
     return classify.classify(found, files)
 
 
-def module_changes(diffs: DataFrame, seeds: DataFrame, chosen: DataFrame, nodes: DataFrame, generator: generate.Generator, functions: int = 200) -> DataFrame:
+def _pieces(text: Column, size: int) -> Column:
+    """``text`` in pieces of at most ``size`` characters, cut at line ends where there are any."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{size - 1}}}\n|.{{1,{size}}}"), F.lit(0))
+
+
+def module_changes(diffs: DataFrame, seeds: DataFrame, chosen: DataFrame, nodes: DataFrame, generator: generate.Generator, files: DataFrame | None = None, size: int = 100_000) -> DataFrame:
     """(commit, qualname, path, reason) that the generator names for commits with module-level seeds and no
-    target. It sees the first 8000 characters of the diff; names that are no function of the commit are dropped."""
+    target. It sees the whole diff, and the sources and all functions of the files with module-level seeds; where
+    these have more than ``size`` characters, in several prompts (every piece of the one with every piece of
+    the others), whose answers are united. Names that are no function of these files are dropped."""
+    seeds, nodes = (d if "path" in d.columns else d.withColumn("path", F.lit("")) for d in (seeds, nodes))
     open_commits = seeds.where("kind = 'module' and seed_type = 'code_change'").select("commit").distinct().join(chosen.select("commit").distinct(), "commit", "left_anti")
-    known = nodes.where("kind in ('function', 'async_function')").select("commit", "qualname")
-    names = known.join(open_commits, "commit", "left_semi").groupBy("commit").agg(F.array_join(F.slice(F.array_sort(F.collect_list("qualname")), 1, functions), "\n").alias("functions"))
-    rows = diffs.join(open_commits, "commit", "left_semi").join(names, "commit")
-    asked = rows.select("commit", N.render(generate.prompt("module_analysis"), diff=F.substring("diff", 1, 8000), functions=F.col("functions")).alias("prompt"))
+    paths = seeds.where("kind = 'module'").join(open_commits, "commit", "left_semi").select("commit", "path").distinct()
+    known = nodes.where("kind in ('function', 'async_function')").join(paths, ["commit", "path"], "left_semi").select("commit", "path", "qualname")
+    each = paths.join(known.groupBy("commit", "path").agg(F.array_join(F.array_sort(F.collect_list("qualname")), "\n").alias("names")), ["commit", "path"], "left")
+    each = each.join(files.select("commit", "path", "source"), ["commit", "path"], "left") if files is not None else each.withColumn("source", F.lit(None).cast("string"))
+    titled = lambda c, none: F.concat(F.lit("### "), F.col("path"), F.lit("\n"), F.coalesce(F.col(c), F.lit(none)))
+    listed = F.array_sort(F.collect_list(F.struct("path", titled("source", "(no source)").alias("files"), titled("names", "(no functions found)").alias("functions"))))
+    sections = each.groupBy("commit").agg(listed.alias("s"), F.count("names").alias("n")).where("n > 0")
+    text = lambda c: F.array_join(F.transform("s", lambda x: x[c]), "\n\n").alias(c)
+    asked = diffs.join(sections, "commit").select("commit", F.coalesce("diff", F.lit("")).alias("diff"), text("files"), text("functions"))
+    asked = asked.withColumn("long", F.length("diff") + F.length("files") + F.length("functions") > size)
+    for c in ("diff", "files", "functions"):
+        asked = asked.withColumn(c, F.explode(F.when(F.col("long") & (F.length(c) > 0), _pieces(F.col(c), max(1, size // 3))).otherwise(F.array(c))))
+    asked = asked.select("commit", N.render(generate.prompt("module_analysis"), diff=F.col("diff"), files=F.col("files"), functions=F.col("functions")).alias("prompt"))
     answers = cut(generate.call_generator(asked, generator))  # no call runs twice
     found = answers.select("commit", F.explode(generate.affected_functions(F.coalesce("answer", F.lit("")))).alias("f")).select("commit", "f.*")
     return found.dropDuplicates(["commit", "qualname"]).join(known, ["commit", "qualname"], "left_semi")
@@ -117,7 +134,7 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
         picked = cut(picked).withColumn("commit", F.lit(row.commit))
         chosen = picked if chosen is None else chosen.unionByName(picked)
     if generator is not None and options.mode == "llm":
-        named = module_changes(diffs, seeds, chosen, nodes, generator).withColumnsRenamed({"path": "given_path"}).drop("given_path")
+        named = module_changes(diffs, seeds, chosen, nodes, generator, new).withColumnsRenamed({"path": "given_path"}).drop("given_path")
         more = named.select("commit", "qualname", F.lit(0).alias("hop"), F.col("reason"), F.lit(True).alias("is_internal"))
         near = targets.candidates(more, nodes.drop("ordinal").withColumnRenamed("commit", "node_commit"), 0).where("commit = node_commit")
         chosen = cut(chosen.unionByName(near.select("commit", *[c for c in chosen.columns if c in near.columns and c != "commit"]), allowMissingColumns=True))
