@@ -122,6 +122,18 @@ def test_redaction_and_odd_rows(spark, odd, odd_rows, none):
     assert pii.find(odd.where("doc_id = 5")).first()._pii_spans == []
 
 
+def test_candidates_of_any_length(spark):
+    r = np.random.default_rng(5)
+    token = lambda n: "a1" + "".join(r.choice(list("ABCdef0123456789_-"), n - 2))
+    values = [token(40), token(300), token(5000), "b" * 90 + "9 [at] mail.example.org", "z [at] " + "m" * 80 + "1.org"]
+    rows = [(k, f"secret = {v} end") for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for row in pii.candidates(df).collect():
+        assert [(c.start, c.stop) for c in row._pii] == [(9, 9 + len(values[row.doc_id]))]
+    found = pii.find(df)
+    assert {r[0] for r in found.where("doc_id < 3").select(pii.redacted(found.text, found._pii_spans)).collect()} == {"secret = <secret> end"}
+
+
 def test_op4_digest(spark):
     from tremor.llm.queries import QUERIES
 

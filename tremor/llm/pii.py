@@ -35,12 +35,12 @@ BASE = {
 _B = r"[\[(]"
 _E = r"[\])]"
 LOOSE = "|".join([
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+ ?{_B}at{_E} ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:{_B}dot{_E}|\.) ?[A-Za-z0-9-]{{1,63}}+)++",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?{_B}at{_E} ?[A-Za-z0-9-]++(?: ?(?:{_B}dot{_E}|\.) ?[A-Za-z0-9-]++)++",
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9+A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])",
-    r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]{0,200}[0-9])(?=[0-9_-]{0,200}[A-Za-z])[A-Za-z0-9_-]{20,200}+(?![0-9A-Za-z_-])",
+    r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+(?![0-9A-Za-z_-])",
 ])
 LOOSE_GUARD = rf"[0-9]{{2}}|{_B}at{_E}"
 LABELERS = ["strict", "gazetteer", "context", "shape", "checksum"]
