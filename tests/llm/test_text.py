@@ -411,3 +411,12 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, none):
     out = quality_fm.quality(odd, labels).collect()
     assert len(out) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
     assert {r.score for r in quality_fm.quality(odd, labels.where("false")).collect()} != set() and quality_fm.quality(none, labels).count() == 0
+
+
+def test_variety_at_every_length(spark):
+    r = np.random.default_rng(6)
+    texts = {n: " ".join(f"w{k}" for k in r.permutation(np.arange(n) % 150)) for n in (1000, 1999, 2000, 5000, 50_000)}
+    texts[-1] = " ".join(f"w{k}" for k in np.arange(5000) % 2500)
+    df = quality_rules.counted(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {x.doc_id: x.v for x in df.select("doc_id", quality_rules.vote("variety").alias("v")).collect()}
+    assert got == {n: -1 if n < 0 else 0 for n in texts}

@@ -73,7 +73,7 @@ RULES = {
     "symbols": ("n_symbols > 0.1 * n_words", NEVER),
     "lines": ("n_dup_lines > 0.5 * n_lines", NEVER),
     "repeats": ("n_repeat_words > 0.3 * n_words", NEVER),
-    "variety": ("n_words >= 50 and n_words < 2000 and n_distinct < 0.3 * n_words", NEVER),
+    "variety": ("n_words >= 50 and n_distinct < 0.3 * sqrt(n_words * least(n_words, 2000))", NEVER),
     "upper": ("n_upper > 0.4 * (n_upper + n_lower)", NEVER),
     "bangs": ("n_bangs > 0.1 * n_words", NEVER),
     "prose": ("n_words >= 50 and n_stops < 0.005 * n_words", "n_stops >= 0.02 * n_words and n_symbols <= 0.02 * n_words and n_bangs <= 0.02 * n_words"),
