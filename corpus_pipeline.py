@@ -6,7 +6,7 @@ written as Parquet and read again for the next one. All but the last return the
 1. quality: rows whose score under the factorisation machine is below one half go (trained on the
    labelled rows of ``sf_dir``, whatever ``docs`` is).
 2. near_dedup: one document of each near-duplicate group stays, that with the smallest doc_id; of
-   rows that repeat a doc_id, the least; rows with a null doc_id stay.
+   rows that repeat a doc_id, the least, one without a text only if none has one; rows with a null doc_id stay.
 3. decontaminate: rows that hold a window of a benchmark item go; a null doc_id is told apart by its text.
 4. pii: spans of personal data are replaced by their kind in angle brackets, and n_chars follows.
 5. packing: the pieces of sequences of at most 2048 tokens.
@@ -33,7 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
-    first = F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("_row")
+    blank = (F.trim(F.coalesce("text", F.lit(""))) == "").alias("_blank")
+    first = F.min(F.struct(blank, "text", *(c for c in rest if c != "text"))).alias("_row")
     one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "_row.*")
     return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
 

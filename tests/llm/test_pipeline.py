@@ -29,6 +29,11 @@ def test_stages_and_run(spark):
     assert sorted(map(str, pipeline.run(spark, DATA).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect())) == sorted({str(x) for x in map(lambda r: type(r)(doc_id=r.doc_id, doc_tokens=r.doc_tokens), packed)})
 
 
+def test_repeated_ids_prefer_a_text(spark):
+    df = spark.createDataFrame([(7, None), (7, "a real article"), (8, ""), (8, "another article altogether"), (9, None), (9, None)], "doc_id long, text string")
+    assert sorted(map(tuple, pipeline.near_dedup_stage(spark, df, DATA).collect())) == [(7, "a real article"), (8, "another article altogether"), (9, None)]
+
+
 def test_odd_rows_pass_every_stage(spark, odd, none):
     for docs in (odd, none):
         for _, stage in pipeline.STAGES[:-1]:
