@@ -386,6 +386,47 @@ def test_rules_of_odd_rows(odd, odd_rows, none):
     assert quality_rules.judged(quality_rules.counted(none)).count() == 0
 
 
+def plain_em(rows, rounds=60):
+    """EM text by text: the log odds of good of each row of votes (-1, 0, 1)."""
+    k, start = len(rows[0]), [{-1: a, 0: b, 1: g} for a, b, g in quality_rules.START]
+    like, prior = [[dict(start[0]), dict(start[1])] for _ in range(k)], 0.8
+
+    def odds(r):
+        return np.log(prior / (1 - prior)) + sum(np.log(like[j][0][x] / like[j][1][x]) for j, x in enumerate(r))
+
+    for _ in range(rounds):
+        post = [1 / (1 + np.exp(-odds(r))) for r in rows]
+        for j in range(k):
+            for c in (0, 1):
+                sums = {x: 2 * start[c][x] for x in (-1, 0, 1)}
+                for r, p in zip(rows, post, strict=True):
+                    sums[r[j]] += p if c == 0 else 1 - p
+                like[j][c] = {x: n / sum(sums.values()) for x, n in sums.items()}
+        prior = (sum(post) + 4) / (len(rows) + 5)
+    return [odds(r) for r in rows]
+
+
+def test_estimate_equals_plain_em_and_decides(spark):
+    stats = quality_rules.counted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache()
+    rows = stats.where("not (" + quality_rules.BASE_FAILED + ")").select("doc_id", *(quality_rules.vote(r).alias(r) for r in quality_rules.RULES)).collect()
+    want = dict(zip((r[0] for r in rows), plain_em([tuple(r)[1:] for r in rows]), strict=True))
+    out = {r.doc_id: r for r in quality_rules.judged(stats).collect()}
+    assert all(not r.kept for i, r in out.items() if i not in want)
+    for i, z in want.items():
+        assert out[i].kept == (z >= 0) and out[i].p_good == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    bad = {r[0]: sum(x == 0 for x in tuple(r)[1:]) for r in rows}
+    assert sum(out[i].kept for i in want if bad[i]) > 100  # a rule's fault is not the verdict
+    assert any(not out[i].kept for i in want)
+    stats.unpersist()
+
+
+def test_classes_are_told_apart_by_their_votes():
+    k = len(quality_rules.RULES)
+    odds, ratios = quality_rules.estimate([((0,) * k, 900), ((1,) * k, 100)])
+    assert odds < 0 and all(r[1] > 0 > r[0] for r in ratios)
+    assert quality_rules.estimate([])[0] > 0
+
+
 def test_factorisation_identity():
     r = np.random.default_rng(8)
     model = 0.3, r.normal(size=quality_fm.N_FEATURES), r.normal(size=(quality_fm.N_FEATURES, quality_fm.RANK))

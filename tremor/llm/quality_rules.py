@@ -1,9 +1,10 @@
 """Quality rules as weak supervision (operator 9).
 
-Rules vote good (1) or bad (0) on a text or abstain (-1). Votes of all texts are counted by
-pattern (at most 3 ** len(RULES) rows, whatever the input); expectation-maximisation on these
-counts estimates how each rule votes on good and on bad texts, with no labels; a text is kept if
-its posterior probability of being good is at least one half and the base rules do not fail it.
+Rules vote good (1) or bad (0) on a text or abstain (-1). Votes of all texts that pass the base rules
+are counted by pattern (at most 3 ** len(RULES) rows, whatever the input); expectation-maximisation on
+these counts estimates how each rule votes on good and on bad texts, with no labels; a text is kept if
+its posterior probability of being good is at least one half and the base rules do not fail it. One bad
+vote does not drop a text by itself, nor do good votes alone keep it.
 
 Edge cases: null, empty and blank texts have no words, fail the base rules and are not kept; rows
 that repeat and null doc_ids are judged row by row; an empty table gives an empty result; extra
@@ -65,21 +66,20 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_counted, STATS_SCHEMA)
 
 
-#: Rule: (bad if, good if); it abstains otherwise. Most rules can only find fault.
-NEVER = "false"
+#: Rule: (bad if, good if); it abstains between the two. The bounds are loose on purpose: each rule
+#: also faults good texts, and how far it is to be believed is for the estimate to say.
 RULES = {
-    "length": ("n_words < 50", "n_words >= 80"),
-    "word_length": ("word_chars < 2.5 * n_words or word_chars > 14 * n_words", NEVER),
-    "symbols": ("n_symbols > 0.1 * n_words", NEVER),
-    "lines": ("n_dup_lines > 0.5 * n_lines", NEVER),
-    "repeats": ("n_repeat_words > 0.3 * n_words", NEVER),
-    "variety": ("n_words >= 50 and n_distinct < 0.3 * sqrt(n_words * least(n_words, 2000))", NEVER),
-    "upper": ("n_upper > 0.4 * (n_upper + n_lower)", NEVER),
-    "bangs": ("n_bangs > 0.1 * n_words", NEVER),
-    "prose": ("n_words >= 50 and n_stops < 0.005 * n_words", "n_stops >= 0.02 * n_words and n_symbols <= 0.02 * n_words and n_bangs <= 0.02 * n_words"),
-    "fresh": (NEVER, "n_words >= 50 and n_repeat_words <= 0.1 * n_words and n_distinct >= 0.4 * n_words"),
+    "length": ("n_words < 80", "n_words >= 120"),
+    "word_length": ("word_chars < 4 * n_words or word_chars > 7 * n_words", "word_chars >= 4.5 * n_words and word_chars <= 6 * n_words"),
+    "symbols": ("n_symbols > 0.01 * n_words", "n_symbols <= 0.002 * n_words"),
+    "lines": ("n_dup_lines > 0.1 * n_lines", "n_lines > 1 and n_dup_lines <= 0.02 * n_lines"),
+    "repeats": ("n_repeat_words > 0.02 * n_words", "n_repeat_words <= 0.005 * n_words"),
+    "variety": ("n_distinct < power(n_words, 0.9)", "n_distinct >= 1.4 * power(n_words, 0.9)"),
+    "upper": ("n_upper > 0.03 * (n_upper + n_lower)", "n_upper <= 0.025 * (n_upper + n_lower)"),
+    "bangs": ("n_bangs > 0.01 * n_words", "n_bangs <= 0.002 * n_words"),
+    "stops": ("n_stops < 0.05 * n_words or n_stops > 0.15 * n_words", "n_stops >= 0.06 * n_words and n_stops <= 0.13 * n_words"),
 }
-EDGE, TRUST = 100.0, 1.0
+START = ((0.3, 0.1, 0.6), (0.3, 0.4, 0.3))  # chances that a rule abstains, votes bad, votes good: on good texts, on bad ones
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
@@ -88,42 +88,40 @@ def vote(rule: str) -> Column:
     return F.when(F.expr(bad), 0).when(F.expr(good), 1).otherwise(-1)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> tuple[float, list[dict]]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict]]:
     """EM on (votes, count): the log odds of good, and for each rule the log likelihood ratio of
-    each vote. A rule is held to be better than chance: a bad vote stays at least ``EDGE`` times
-    as likely on bad texts, a good vote as likely on good ones. Faults differ in kind, so good votes and
-    abstentions, which hang together, weigh at most ``TRUST`` and 0.1. The counts are smoothed, so empty
-    input leaves the start values nearly as they are."""
+    each vote, abstention included. Nothing but the data sets them: counts are smoothed by two texts a
+    class (so empty input leaves the start values), and of the two classes, good is the one whose texts
+    get more good votes and fewer bad ones in sum."""
     k = len(RULES)
     v = np.array([p for p, _ in patterns], int).reshape(-1, k) + 1  # 0 abstains, 1 bad, 2 good
     n = np.array([c for _, c in patterns], float)
-    start = np.array([[0.38, 0.02, 0.6], [0.4, 0.5, 0.1]])
-    like = np.array([start] * k)
-    prior = 0.8
+    start = np.array(START)
+    like, prior = np.array([start] * k), 0.8
     for _ in range(rounds):
         score = math.log(prior / (1 - prior)) + sum(np.log(like[j, 0, v[:, j]] / like[j, 1, v[:, j]]) for j in range(k))
         post = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         for j in range(k):
-            good, bad = (np.bincount(v[:, j], w, 3) + 2 * start[c] for c, w in ((0, post * n), (1, (1 - post) * n)))
-            good, bad = good / good.sum(), bad / bad.sum()
-            good[1], bad[2] = min(good[1], bad[1] / EDGE), min(bad[2], good[2])
-            like[j] = good / good.sum(), bad / bad.sum()
+            for c, w in ((0, post * n), (1, (1 - post) * n)):
+                got = np.bincount(v[:, j], w, 3) + 2 * start[c]
+                like[j, c] = got / got.sum()
         prior = ((post * n).sum() + 4) / (n.sum() + 5)
+    if (like[:, 0, 2] - like[:, 0, 1]).sum() < (like[:, 1, 2] - like[:, 1, 1]).sum():
+        like, prior = like[:, ::-1], 1 - prior
     ratio = np.log(like[:, 0] / like[:, 1])
-    ratio[:, 0] = np.clip(ratio[:, 0], -0.1, 0.1)
-    ratio[:, 2] = np.minimum(ratio[:, 2], TRUST)
     return math.log(prior / (1 - prior)), [{x - 1: float(ratio[j, x]) for x in range(3)} for j in range(k)]
 
 
 def judged(stats: DataFrame) -> DataFrame:
-    """``stats`` with p_good, base_failed and kept; ``stats`` should be a stored table."""
-    votes = stats.select(*(vote(r).alias(r) for r in RULES)).groupBy(*RULES).count()
+    """``stats`` with p_good, base_failed and kept; ``stats`` should be a stored table. Reliabilities are
+    estimated on the texts that the base rules leave to the method."""
+    failed = F.expr(BASE_FAILED)
+    votes = stats.where(~failed).select(*(vote(r).alias(r) for r in RULES)).groupBy(*RULES).count()
     odds, ratios = estimate(sorted((tuple(r)[:-1], r["count"]) for r in votes.collect()))
     total = F.lit(odds)
     for rule, ratio in zip(RULES, ratios, strict=True):
         bad, good = RULES[rule]
         total = total + F.when(F.expr(bad), ratio[0]).when(F.expr(good), ratio[1]).otherwise(ratio[-1])
-    failed = F.expr(BASE_FAILED)
     p = 1 / (1 + F.exp(-total))
     return stats.withColumns({"p_good": p, "base_failed": failed, "kept": ~failed & (p >= 0.5)})
 
