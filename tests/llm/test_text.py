@@ -295,13 +295,58 @@ def test_probabilities_sum_to_one_and_learning_helps():
 def test_scores_tell_prose_from_noise(spark, docs, odd, odd_rows, none):
     out = {r.doc_id: r for r in lm_score.score(docs).collect()}
     assert len(out) == docs.count() and all(r.log_prob <= 0 for r in out.values())
-    assert np.mean([r.mean_log_prob for r in out.values()]) > -np.log(lm_score.V)
+    r, rows = np.random.default_rng(12), {x.doc_id: x.text for x in docs.collect() if x.text and len(x.text) < 20_000}
+    noise = [(i, re.sub(r"\S", lambda _, it=iter(r.permutation(list(re.sub(r"\s", "", t)))): next(it), t)) for i, t in rows.items()]  # noqa: B023
+    both = spark.createDataFrame([(i, t) for i, t in rows.items()] + [(-i - 1, t) for i, t in noise], "doc_id long, text string")
+    got = {x.doc_id: x.mean_log_prob for x in lm_score.score(both).collect()}
+    assert np.mean([got[i] > got[-i - 1] + 1 for i in rows]) > 0.95
     odd_out = lm_score.score(odd).collect()
     by = {r.doc_id: r for r in odd_out}
     assert len(odd_out) == len(odd_rows) and by[4].n_words == 0 and by[4].mean_log_prob is None and by[10].n_words == 30_000
     assert lm_score.score(none).count() == 0
 
 
+def network(spark, df):
+    words = spark.sparkContext.broadcast(lm_score.vocabulary(df))
+    weights, spell = lm_score.train(df, words)
+    return words.value, lm_score.unflat(weights, words.value[2]), spell
+
+
+def test_network_beats_a_uniform_guess_over_its_outputs(spark, docs):
+    """The bound is on the outputs of the network (words and buckets); whole words have a lower score, as
+    there are more of them: the exact word frequencies of this table give a mean of -8.6."""
+    words, m, _ = network(spark, docs)
+    means = []
+    for x in docs.collect():
+        y, near = lm_score.contexts([lm_score.ids_of(lm_score.T.LOWER[bytes_of(x.text or "")], words)[0]], words[2])
+        if len(y):
+            means.append(lm_score.log_probabilities(m, y, near).mean())
+    assert np.mean(means) > -np.log(lm_score.V)
+
+
+def test_scores_equal_a_plain_sum(spark):
+    """Word by word, with plain sums and no batches, from the same weights."""
+    texts = ["red blue green red blue", "Blue red\tzebra", "yak", "", "red  red red green blue zebra yak yak"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words, m, spell = network(spark, df)
+    m = {k: v.astype(float) for k, v in m.items()}
+    side = words[2]
+    got = {r.doc_id: r for r in lm_score.score(df).collect()}
+    for i, t in enumerate(texts):
+        tokens = [x.encode() for x in re.findall(r"[^ \t-\r]+", t.lower())]
+        parts = [lm_score.ids_of(bytes_of(x.decode()), words) for x in tokens]
+        ids = [int(p[0][0]) for p in parts]
+        total = sum(lm_score.spelling_log_probability(bytes_of(x.decode()), a, b, spell) for x, (_, a, b) in zip(tokens, parts, strict=True))
+        for k, y in enumerate(ids):
+            places = [o for o in range(-lm_score.WINDOW, lm_score.WINDOW + 1) if o]
+            z = sum(m["c"][j] * m["e"][ids[k + o] if 0 <= k + o < len(ids) else side * side] for j, o in enumerate(places))
+            h = [*map(float, np.tanh(z)), 1.0]
+            for table, at in ((m["u"], y // side), (m["w"][y // side], y % side)):
+                odds = [np.exp(sum(a * b for a, b in zip(row, h, strict=True))) for row in table]
+                total += np.log(odds[at] / sum(odds))
+        assert got[i].n_words == len(ids) and got[i].log_prob == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
 def test_every_word_has_a_probability_of_its_own(spark):
     rows = [(k, " ".join(["the of and"] * 30 + [f"w{chr(97 + k % 26)}{chr(97 + j % 26)}nation" for j in range(60)])) for k in range(60)]
     rows += [(100, "wabnation wacnation"), (101, "xqzjkvnation qqxzpwnation")]  # the same endings
@@ -320,7 +365,7 @@ def test_every_word_has_a_probability_of_its_own(spark):
 def test_all_documents_train(spark):
     df = spark.createDataFrame([(k, "left right " * 40) for k in range(16)], "doc_id long, text string")
     words = spark.sparkContext.broadcast(lm_score.vocabulary(df))
-    start = lm_score.flat(lm_score.initial())
+    start = lm_score.flat(lm_score.initial(mass=words.value[4]))
     for k in range(16):  # whichever it is
         weights, _ = lm_score.train(df.where(f"doc_id = {k}"), words)
         assert not np.allclose(weights, start)
