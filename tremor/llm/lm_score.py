@@ -12,7 +12,7 @@ each word has a probability of its own. The spelling counts come from all words
 
 Training is data-parallel, on all documents: in each round every task runs Adagrad from the shared
 weights over its documents, and the weights are averaged by words in two levels, so that the driver
-gets few rows.
+gets few rows. The biases start from the words' frequencies.
 
 Edge cases: null and wordless texts have 0 words, log-probability 0 and a null mean; null doc_ids
 and rows that repeat are scored row by row; with no text to train on the start weights are used;
@@ -42,13 +42,20 @@ def side_of(n_words: int) -> int:
 
 
 def _shapes(side: int) -> dict[str, tuple[int, ...]]:
-    return {"e": (side * side + 1, DIM), "c": (2 * WINDOW, DIM), "u": (side, DIM), "ub": (side,), "w": (side, side, DIM), "wb": (side, side)}
+    """Word vectors, weights of the places, classes and words of a class; these two with a bias as the last column."""
+    return {"e": (side * side + 1, DIM), "c": (2 * WINDOW, DIM), "u": (side, DIM + 1), "w": (side, side, DIM + 1)}
 
 
-def initial(seed: int = 3, side: int = SIDE) -> dict[str, np.ndarray]:
+def initial(seed: int = 3, side: int = SIDE, mass: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Weights before training; with the frequencies ``mass`` of all outputs, biases that give just these."""
     rng = np.random.default_rng(seed)
     out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _shapes(side).items()}
     out["c"] += 1
+    if mass is not None:
+        each = np.log(mass.reshape(side, side) + 0.1)
+        out["w"][:, :, DIM] = each - each.max(axis=1, keepdims=True)
+        total = np.log((mass.reshape(side, side) + 0.1).sum(axis=1))
+        out["u"][:, DIM] = total - total.max()
     return out
 
 
@@ -69,10 +76,20 @@ def buckets(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     return (last.astype(np.int64) * 31 + before) % OTHER
 
 
-def ids_of(u8: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+SLOTS = 17  # leading bits of a hash by which known words are found
+
+
+def slots(known: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where the words of each slot begin in the sorted ``known``, and the most words in a slot."""
+    start = np.searchsorted(known, np.arange((1 << SLOTS) + 1, dtype=np.uint64) << T.U64(64 - SLOTS)) if len(known) else np.zeros((1 << SLOTS) + 1, np.int64)
+    start[-1] = len(known)
+    return start, int(np.diff(start).max())
+
+
+def ids_of(u8: np.ndarray, vocabulary: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids: frequent words by rank, the others by a bucket of their last bytes; and the starts and
     ends of the others."""
-    known, rank, side = vocabulary
+    known, rank, side, (start, most) = vocabulary[:4]
     a, b = T.spans(u8, T.SPACED)
     if not len(a):
         return np.empty(0, np.int64), a, b
@@ -80,7 +97,10 @@ def ids_of(u8: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray, int]) -> tu
     bucket = side * side - OTHER + buckets(u8[b - 1], np.where(b - a > 1, u8[np.maximum(b - 2, 0)], BORDER))
     if not len(known):
         return bucket, a, b
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    last = len(known) - 1
+    at = np.minimum(start[(h >> T.U64(64 - SLOTS)).astype(np.int64)], last)
+    for _ in range(most - 1):
+        at = np.minimum(at + (known[at] < h), last)
     other = known[at] != h
     return np.where(other, bucket, rank[at]), a[other], b[other]
 
@@ -144,75 +164,98 @@ def contexts(docs: list[np.ndarray], side: int = SIDE) -> tuple[np.ndarray, np.n
     return run[at], np.stack([run[at + o] for o in offsets], 1) if len(at) else np.empty((0, 2 * WINDOW), np.int64)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _neighbours(m: dict, x: np.ndarray) -> list[np.ndarray]:
+    return [m["e"].take(x[:, j], axis=0) for j in range(2 * WINDOW)]
 
 
-def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    picked = z[np.arange(len(z)), at]
-    return picked - np.log(np.exp(z, out=z).sum(axis=1))
+def _hidden(m: dict, vec: list[np.ndarray]) -> np.ndarray:
+    """The squashed sums of the neighbours' vectors, with a column of ones for the bias."""
+    h = np.ones((len(vec[0]), DIM + 1), np.float32)
+    np.tanh(sum(v * m["c"][j] for j, v in enumerate(vec)), out=h[:, :DIM])
+    return h
 
 
 def _by_class(cls: np.ndarray, side: int):
-    """The classes that occur with their rows."""
-    order = np.argsort(cls.astype(np.uint16 if side < 1 << 16 else np.int64), kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(side + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        yield c, order[cuts[c] : cuts[c + 1]]
+    """The classes that occur, in order, with the slices of their rows; ``cls`` is sorted."""
+    cuts = np.searchsorted(cls, np.arange(side + 1)).tolist()
+    return [(c, cuts[c], cuts[c + 1]) for c in range(side) if cuts[c] < cuts[c + 1]]
+
+
+def _by_target(y: np.ndarray, side: int) -> np.ndarray:
+    return np.argsort(y.astype(np.uint16) if side < 256 else y, kind="stable")
+
+
+def _odds(m: dict, h: np.ndarray, groups: list, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, exp of the logits of the classes and of the words of its class, in ``room``; kept in the range of exp."""
+    both = room[:, : len(h)]
+    np.matmul(h, m["u"].T, out=both[0])
+    for c, a, b in groups:
+        np.matmul(h[a:b], m["w"][c].T, out=both[1, a:b])
+    for z in both:
+        np.clip(z, -80, 80, out=z)
+        np.exp(z, out=z)
+    return both[0], both[1]
 
 
 def log_probabilities(m: dict, target: np.ndarray, near: np.ndarray) -> np.ndarray:
-    side, out = len(m["ub"]), np.empty(len(target))
+    side, out = len(m["u"]), np.empty(len(target))
+    one, room = np.ones(side, np.float32), np.empty((2, min(STEP, len(target)), side), np.float32)
     for k in range(0, len(target), STEP):
-        y, x = target[k : k + STEP], near[k : k + STEP]
-        h = np.tanh(sum(m["e"][x[:, j]] * m["c"][j] for j in range(2 * WINDOW)))
+        order = _by_target(target[k : k + STEP], side)
+        y, row = target[k : k + STEP][order], np.arange(len(order))
         cls, word = np.divmod(y, side)
-        p = _log_softmax(h @ m["u"].T + m["ub"], cls)
-        for c, i in _by_class(cls, side):
-            p[i] += _log_softmax(h[i] @ m["w"][c].T + m["wb"][c], word[i])
-        out[k : k + STEP] = p
+        top, low = _odds(m, _hidden(m, _neighbours(m, near[k : k + STEP][order])), _by_class(cls, side), room)
+        p = (top[row, cls] / (top @ one)).astype(np.float64) * (low[row, word] / (low @ one))
+        out[k + order] = np.log(np.maximum(p, 1e-300))
     return out
 
 
+def _sums(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of the sorted ``of`` and the sum of the rows of each."""
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[at], np.add.reduceat(h, at)
+
+
 def learn(m: dict, seen: dict, target: np.ndarray, near: np.ndarray, rate: float = 0.15, step: int = 1024) -> None:
     """Adagrad over the examples, in place; ``seen`` has the squares so far. Weights without a gradient are left alone."""
-    side = len(m["ub"])
+    side = len(m["u"])
+    one, room = np.ones(side, np.float32), np.empty((2, min(step, len(target)), side), np.float32)
 
     def update(name, rows, grad):
-        grad = grad / np.float32(n)
+        grad /= np.float32(n)
         seen[name][rows] += grad * grad
         m[name][rows] -= rate * grad / (np.sqrt(seen[name][rows]) + np.float32(1e-6))
 
     for k in range(0, len(target), step):
-        y, x = target[k : k + step], near[k : k + step]
-        n = len(y)
-        vec = [m["e"][x[:, j]] for j in range(2 * WINDOW)]
-        h = np.tanh(sum(v * m["c"][j] for j, v in enumerate(vec)))
+        order = _by_target(target[k : k + step], side)
+        y, x, n = target[k : k + step][order], near[k : k + step][order], len(order)
+        vec = _neighbours(m, x)
+        h = _hidden(m, vec)
         cls, word = np.divmod(y, side)
-        d = _softmax(h @ m["u"].T + m["ub"])
-        d[np.arange(n), cls] -= 1
-        back = d @ m["u"]
-        update("u", slice(None), d.T @ h)
-        update("ub", slice(None), d.sum(axis=0))
-        for c, i in _by_class(cls, side):
-            hi = h[i]
-            d = _softmax(hi @ m["w"][c].T + m["wb"][c])
-            d[np.arange(len(i)), word[i]] -= 1
-            back[i] += d @ m["w"][c]
-            update("w", c, d.T @ hi)
-            update("wb", c, d.sum(axis=0))
-        back *= 1 - h * h
-        grads = np.concatenate([back * m["c"][j] for j in range(2 * WINDOW)])
+        groups = _by_class(cls, side)
+        top, low = _odds(m, h, groups, room)
+        top_of, low_of = 1 / (top @ one)[:, None], 1 / (low @ one)[:, None]
+        back, of_low = top @ m["u"], np.empty_like(h)
+        by_class, by_word = top.T @ (h * top_of), np.empty((len(groups), side, DIM + 1), np.float32)
+        scaled = h * low_of
+        for i, (c, a, b) in enumerate(groups):
+            np.matmul(low[a:b], m["w"][c], out=of_low[a:b])
+            np.matmul(low[a:b].T, scaled[a:b], out=by_word[i])
+        used = [c for c, _, _ in groups]
+        back = back * top_of + of_low * low_of - m["u"].take(cls, axis=0) - m["w"].reshape(-1, DIM + 1).take(y, axis=0)
+        c, sums = _sums(h, cls)
+        by_class[c] -= sums
+        t, sums = _sums(h, y)
+        by_word[np.searchsorted(used, t // side), t % side] -= sums
+        update("u", slice(None), by_class)
+        update("w", used, by_word)
+        back = back[:, :DIM] * (1 - h[:, :DIM] ** 2)
         update("c", slice(None), np.stack([(back * v).sum(axis=0) for v in vec]))
         flat_x = x.T.ravel()
-        order = np.argsort(flat_x.astype(np.uint16) if side < 256 else flat_x, kind="stable")
-        flat_x = flat_x[order]
-        at = np.flatnonzero(np.diff(flat_x, prepend=-1))
-        update("e", flat_x[at], np.add.reduceat(grads[order], at))
+        by = _by_target(flat_x, side)
+        flat_x = flat_x[by]
+        grads = np.concatenate([back * w for w in m["c"]]).take(by, axis=0)
+        update("e", *_sums(grads, flat_x))
 
 
 def _counted(batches):
@@ -234,15 +277,20 @@ def _counted(batches):
         yield out()
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent words of all documents, as sorted hashes and their ranks, and the side of the network."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, tuple, np.ndarray]:
+    """The most frequent words of all documents, as sorted hashes and their ranks, the side of the network, the
+    slots, and the frequency of every output; the buckets share that of all other words evenly."""
     counts = docs.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "words")
-    side = side_of(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    top = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(side * side - OTHER).collect()]
-    known = np.array(top, np.int64).view(np.uint64)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    side = side_of(total)
+    top = [tuple(r) for r in counts.orderBy(F.desc("n"), "word").limit(side * side - OTHER).collect()]
+    known = np.array([w for w, _ in top], np.int64).view(np.uint64)
     order = np.argsort(known)
-    return known[order], order, side
+    mass = np.zeros(side * side)
+    mass[: len(top)] = [n for _, n in top]
+    mass[side * side - OTHER :] = (total - mass.sum()) / OTHER
+    return known[order], order, side, slots(known[order]), mass
 
 
 def _groups(batches, words, of_others, most: int = 200_000):
@@ -299,7 +347,7 @@ def _summed(batches):
 def train(docs: DataFrame, words) -> tuple[np.ndarray, tuple]:
     """The weights, and the spelling of words out of the vocabulary."""
     spark = docs.sparkSession
-    weights, spell = flat(initial(side=words.value[2])), None
+    weights, spell = flat(initial(side=words.value[2], mass=words.value[4])), None
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
         each = docs.select("doc_id", "text").mapInArrow(_trained(shared, words), _TRAINED)
