@@ -21,6 +21,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -37,13 +38,22 @@ BORDER = 0x20
 
 
 def side_of(n_words: int) -> int:
-    """Classes, and words in each, for a corpus of ``n_words`` words."""
+    """The square root of the number of outputs for a corpus of ``n_words`` words."""
     return max(SIDE, math.ceil(n_words**0.25))
 
 
+@functools.cache
+def layout(side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the classes begin among the ``side * side`` outputs (buckets first, then words by rank), and the
+    class of each output. Classes grow with the rank, as rare words ask for them less often."""
+    n = -(-2 * side // 3)
+    first = (side * side * np.arange(n + 1) ** 2 / n**2).astype(np.int64)
+    return first, np.repeat(np.arange(n), np.diff(first))
+
+
 def _shapes(side: int) -> dict[str, tuple[int, ...]]:
-    """Word vectors, weights of the places, classes and words of a class; these two with a bias as the last column."""
-    return {"e": (side * side + 1, DIM), "c": (2 * WINDOW, DIM), "u": (side, DIM + 1), "w": (side, side, DIM + 1)}
+    """Word vectors, weights of the places, classes and outputs; these two with a bias as the last column."""
+    return {"e": (side * side + 1, DIM), "c": (2 * WINDOW, DIM), "u": (len(layout(side)[0]) - 1, DIM + 1), "w": (side * side, DIM + 1)}
 
 
 def initial(seed: int = 3, side: int = SIDE, mass: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -52,10 +62,10 @@ def initial(seed: int = 3, side: int = SIDE, mass: np.ndarray | None = None) ->
     out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _shapes(side).items()}
     out["c"] += 1
     if mass is not None:
-        each = np.log(mass.reshape(side, side) + 0.1)
-        out["w"][:, :, DIM] = each - each.max(axis=1, keepdims=True)
-        total = np.log((mass.reshape(side, side) + 0.1).sum(axis=1))
-        out["u"][:, DIM] = total - total.max()
+        first, cls = layout(side)
+        total = np.add.reduceat(mass + 0.1, first[:-1])
+        out["w"][:, DIM] = np.log((mass + 0.1) / total[cls])
+        out["u"][:, DIM] = np.log(total / total.sum())
     return out
 
 
@@ -94,7 +104,7 @@ def ids_of(u8: np.ndarray, vocabulary: tuple) -> tuple[np.ndarray, np.ndarray, n
     if not len(a):
         return np.empty(0, np.int64), a, b
     h = T.hashes(u8, a, b)
-    bucket = side * side - OTHER + buckets(u8[b - 1], np.where(b - a > 1, u8[np.maximum(b - 2, 0)], BORDER))
+    bucket = buckets(u8[b - 1], np.where(b - a > 1, u8[np.maximum(b - 2, 0)], BORDER))
     if not len(known):
         return bucket, a, b
     last = len(known) - 1
@@ -102,7 +112,7 @@ def ids_of(u8: np.ndarray, vocabulary: tuple) -> tuple[np.ndarray, np.ndarray, n
     for _ in range(most - 1):
         at = np.minimum(at + (known[at] < h), last)
     other = known[at] != h
-    return np.where(other, bucket, rank[at]), a[other], b[other]
+    return np.where(other, bucket, OTHER + rank[at]), a[other], b[other]
 
 
 def spelled(u8: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,37 +185,44 @@ def _hidden(m: dict, vec: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _by_class(cls: np.ndarray, side: int):
-    """The classes that occur, in order, with the slices of their rows; ``cls`` is sorted."""
-    cuts = np.searchsorted(cls, np.arange(side + 1)).tolist()
-    return [(c, cuts[c], cuts[c + 1]) for c in range(side) if cuts[c] < cuts[c + 1]]
-
-
 def _by_target(y: np.ndarray, side: int) -> np.ndarray:
     return np.argsort(y.astype(np.uint16) if side < 256 else y, kind="stable")
 
 
-def _odds(m: dict, h: np.ndarray, groups: list, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row, exp of the logits of the classes and of the words of its class, in ``room``; kept in the range of exp."""
-    both = room[:, : len(h)]
-    np.matmul(h, m["u"].T, out=both[0])
-    for c, a, b in groups:
-        np.matmul(h[a:b], m["w"][c].T, out=both[1, a:b])
-    for z in both:
-        np.clip(z, -80, 80, out=z)
-        np.exp(z, out=z)
-    return both[0], both[1]
+class _Batch:
+    """Examples sorted by target: exp of the logits of the classes (``top``, a row each) and of the words of
+    each row's class (``low``, a block a class), kept in the range of exp; and the sums of both by row."""
+
+    def __init__(self, m: dict, h: np.ndarray, y: np.ndarray):
+        self.first, of = layout(math.isqrt(len(m["w"])))
+        self.cls = of.take(y)
+        cuts = np.searchsorted(self.cls, np.arange(len(self.first)))
+        sizes = np.diff(self.first)
+        ends = np.cumsum(np.diff(cuts) * sizes)
+        flat = np.empty(ends[-1], np.float32)
+        self.blocks = []
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b, lo, hi = int(cuts[c]), int(cuts[c + 1]), int(self.first[c]), int(self.first[c + 1])
+            block = flat[ends[c] - (b - a) * (hi - lo) : ends[c]].reshape(b - a, hi - lo)
+            np.matmul(h[a:b], m["w"][lo:hi].T, out=block)
+            self.blocks.append((a, b, lo, hi, block))
+        self.top = h @ m["u"].T
+        for z in (self.top, flat):
+            np.clip(z, -80, 80, out=z)
+            np.exp(z, out=z)
+        one = np.ones(max(sizes.max(), len(sizes)), np.float32)
+        self.top_sum, self.low_sum = self.top @ one[: len(sizes)], np.empty(len(h), np.float32)
+        for a, b, lo, hi, block in self.blocks:
+            np.matmul(block, one[: hi - lo], out=self.low_sum[a:b])
+        self.picked = flat[(ends - np.diff(cuts) * sizes)[self.cls] + (np.arange(len(y)) - cuts[self.cls]) * sizes[self.cls] + y - self.first[self.cls]]
 
 
 def log_probabilities(m: dict, target: np.ndarray, near: np.ndarray) -> np.ndarray:
-    side, out = len(m["u"]), np.empty(len(target))
-    one, room = np.ones(side, np.float32), np.empty((2, min(STEP, len(target)), side), np.float32)
+    side, out = math.isqrt(len(m["w"])), np.empty(len(target))
     for k in range(0, len(target), STEP):
         order = _by_target(target[k : k + STEP], side)
-        y, row = target[k : k + STEP][order], np.arange(len(order))
-        cls, word = np.divmod(y, side)
-        top, low = _odds(m, _hidden(m, _neighbours(m, near[k : k + STEP][order])), _by_class(cls, side), room)
-        p = (top[row, cls] / (top @ one)).astype(np.float64) * (low[row, word] / (low @ one))
+        z = _Batch(m, _hidden(m, _neighbours(m, near[k : k + STEP][order])), target[k : k + STEP][order])
+        p = (z.top[np.arange(len(order)), z.cls] / z.top_sum).astype(np.float64) * (z.picked / z.low_sum)
         out[k + order] = np.log(np.maximum(p, 1e-300))
     return out
 
@@ -218,44 +235,49 @@ def _sums(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(m: dict, seen: dict, target: np.ndarray, near: np.ndarray, rate: float = 0.15, step: int = 1024) -> None:
     """Adagrad over the examples, in place; ``seen`` has the squares so far. Weights without a gradient are left alone."""
-    side = len(m["u"])
-    one, room = np.ones(side, np.float32), np.empty((2, min(step, len(target)), side), np.float32)
+    side = math.isqrt(len(m["w"]))
+    by_word = np.empty_like(m["w"])
 
     def update(name, rows, grad):
         grad /= np.float32(n)
-        seen[name][rows] += grad * grad
-        m[name][rows] -= rate * grad / (np.sqrt(seen[name][rows]) + np.float32(1e-6))
+        root = grad * grad
+        seen[name][rows] += root
+        np.sqrt(seen[name][rows], out=root)
+        root += np.float32(1e-6)
+        grad /= root
+        grad *= np.float32(rate)
+        m[name][rows] -= grad
 
     for k in range(0, len(target), step):
         order = _by_target(target[k : k + step], side)
         y, x, n = target[k : k + step][order], near[k : k + step][order], len(order)
         vec = _neighbours(m, x)
         h = _hidden(m, vec)
-        cls, word = np.divmod(y, side)
-        groups = _by_class(cls, side)
-        top, low = _odds(m, h, groups, room)
-        top_of, low_of = 1 / (top @ one)[:, None], 1 / (low @ one)[:, None]
-        back, of_low = top @ m["u"], np.empty_like(h)
-        by_class, by_word = top.T @ (h * top_of), np.empty((len(groups), side, DIM + 1), np.float32)
-        scaled = h * low_of
-        for i, (c, a, b) in enumerate(groups):
-            np.matmul(low[a:b], m["w"][c], out=of_low[a:b])
-            np.matmul(low[a:b].T, scaled[a:b], out=by_word[i])
-        used = [c for c, _, _ in groups]
-        back = back * top_of + of_low * low_of - m["u"].take(cls, axis=0) - m["w"].reshape(-1, DIM + 1).take(y, axis=0)
-        c, sums = _sums(h, cls)
+        z = _Batch(m, h, y)
+        top_of, low_of = 1 / z.top_sum[:, None], 1 / z.low_sum[:, None]
+        back, of_low, scaled = z.top @ m["u"], np.empty_like(h), h * low_of
+        by_class = z.top.T @ (h * top_of)
+        by_word[:] = 0
+        for a, b, lo, hi, block in z.blocks:
+            np.matmul(block, m["w"][lo:hi], out=of_low[a:b])
+            np.matmul(block.T, scaled[a:b], out=by_word[lo:hi])
+        back *= top_of
+        of_low *= low_of
+        back += of_low
+        back -= m["u"].take(z.cls, axis=0)
+        back -= m["w"].take(y, axis=0)
+        c, sums = _sums(h, z.cls)
         by_class[c] -= sums
         t, sums = _sums(h, y)
-        by_word[np.searchsorted(used, t // side), t % side] -= sums
+        by_word[t] -= sums
         update("u", slice(None), by_class)
-        update("w", used, by_word)
+        update("w", slice(None), by_word)
         back = back[:, :DIM] * (1 - h[:, :DIM] ** 2)
-        update("c", slice(None), np.stack([(back * v).sum(axis=0) for v in vec]))
+        update("c", slice(None), np.stack([np.einsum("nd,nd->d", back, v) for v in vec]))
         flat_x = x.T.ravel()
         by = _by_target(flat_x, side)
-        flat_x = flat_x[by]
         grads = np.concatenate([back * w for w in m["c"]]).take(by, axis=0)
-        update("e", *_sums(grads, flat_x))
+        update("e", *_sums(grads, flat_x.take(by)))
 
 
 def _counted(batches):
@@ -288,8 +310,8 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, tuple, np.
     known = np.array([w for w, _ in top], np.int64).view(np.uint64)
     order = np.argsort(known)
     mass = np.zeros(side * side)
-    mass[: len(top)] = [n for _, n in top]
-    mass[side * side - OTHER :] = (total - mass.sum()) / OTHER
+    mass[OTHER : OTHER + len(top)] = [n for _, n in top]
+    mass[:OTHER] = (total - mass.sum()) / OTHER
     return known[order], order, side, slots(known[order]), mass
 
 
