@@ -341,7 +341,9 @@ def test_scores_equal_a_plain_sum(spark):
             places = [o for o in range(-lm_score.WINDOW, lm_score.WINDOW + 1) if o]
             z = sum(m["c"][j] * m["e"][ids[k + o] if 0 <= k + o < len(ids) else side * side] for j, o in enumerate(places))
             h = [*map(float, np.tanh(z)), 1.0]
-            for table, at in ((m["u"], y // side), (m["w"][y // side], y % side)):
+            first, of = lm_score.layout(side)
+            c = int(of[y])
+            for table, at in ((m["u"], c), (m["w"][first[c] : first[c + 1]], y - first[c])):
                 odds = [np.exp(sum(a * b for a, b in zip(row, h, strict=True))) for row in table]
                 total += np.log(odds[at] / sum(odds))
         assert got[i].n_words == len(ids) and got[i].log_prob == pytest.approx(total, rel=1e-3, abs=1e-3)
