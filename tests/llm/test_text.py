@@ -106,10 +106,63 @@ def test_base_spans(spark, docs):
         assert sorted((s.rank, s.start) for s in r._pii_spans) == [(s.rank, s.start) for s in r._pii_spans]
 
 
-def test_em_ranks_labelers(spark):
-    cells = spark.createDataFrame([([1, 1, 1, -1, -1], 80), ([0, 0, -1, -1, -1], 15), ([1, 0, -1, -1, -1], 5)], "votes array<int>, n long")
-    r = pii.reliabilities(cells).first()
-    assert 0.5 < r.prior < 1 and all(y >= 0.5 >= n for y, n in zip(r.yes, r.no, strict=True))
+def plain_labels(loose, rounds=40):
+    """EM and naive Bayes candidate by candidate: whether each (votes, features) is accepted."""
+    k = len(pii.LABELERS)
+    chance, prior = [[list(s) for _ in range(k)] for s in pii.START], 0.5
+    odds = lambda v: np.log(prior / (1 - prior)) + sum(np.log(chance[0][j][x + 1] / chance[1][j][x + 1]) for j, x in enumerate(v))
+    for _ in range(rounds):
+        post = [1 / (1 + np.exp(-odds(v))) for v, _ in loose]
+        for c in (0, 1):
+            w = [p if c == 0 else 1 - p for p in post]
+            chance[c] = [[(2 * pii.START[c][x] + sum(wi for wi, (v, _) in zip(w, loose, strict=True) if v[j] + 1 == x)) / (2 + sum(w)) for x in range(3)] for j in range(k)]
+        prior = (sum(post) + 1) / (len(post) + 2)
+    lean = [sum(x[2] - x[1] for x in chance[c]) for c in (0, 1)]
+    if lean[0] < lean[1]:
+        chance, prior = chance[::-1], 1 - prior
+    post = [1 / (1 + np.exp(-odds(v))) for v, _ in loose]
+    yes, no = sum(post), len(post) - sum(post)
+    sums = {}
+    for p, (_, f) in zip(post, loose, strict=True):
+        for key in enumerate(f):
+            a, b = sums.get(key, (0, 0))
+            sums[key] = a + p, b + 1 - p
+    ratio = {key: np.log((a + 0.5) / (yes + 2.5)) - np.log((b + 0.5) / (no + 2.5)) for key, (a, b) in sums.items()}
+    return [np.log((yes + 1) / (no + 1)) + sum(ratio[key] for key in enumerate(f)) >= 0 for _, f in loose]
+
+
+def decoys(r, n=30):
+    """Documents with one real or one false candidate each, and whether it is real."""
+    run = lambda alphabet, n: "".join(r.choice(list(alphabet), n))
+    out = []
+    for k in range(n):
+        bad = next(x for x in iter(lambda: run("123456789", 16), None) if not luhn(x))
+        out += [(f'word token = "{run("0123456789abcdef", 40)}" end', True), (f"an order {bad} of things", False), (f"see {bad} there", False), (f"in commit {run('0123456789abcdef', 40)} of it", False)]
+        out += [(f"call 555-{k % 9 + 100}-1234 now", True), (f"bob [at] example{k}.org wrote", True)]
+    return out
+
+
+@pytest.mark.parametrize("which", ["planted", "given"])
+def test_labels_equal_plain_em_and_naive_bayes(spark, docs, which):
+    cases = decoys(np.random.default_rng(21))
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string") if which == "planted" else spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    loose = [(r._row.doc_id, c) for r in pii.candidates(df.select("doc_id", "text")).collect() for c in r._pii if not c.base]
+    want = {(i, c.kind, c.start, c.stop): ok for (i, c), ok in zip(loose, plain_labels([(c.votes, tuple(c.features)) for _, c in loose]), strict=True)}
+    got = {(r.doc_id, s.kind, s.start, s.stop) for r in pii.find(df).collect() for s in r._pii_spans if not s.base}
+    assert got == {k for k, ok in want.items() if ok} and 0 < len(got) < len(want)
+    if which == "planted":
+        assert {k[0] for k in got} == {k for k, (_, real) in enumerate(cases) if real}
+
+
+def test_account_checksum(spark):
+    df = spark.createDataFrame([("DE89370400440532013000",), ("GB82WEST12345698765432",), ("DE89370400440532013001",)], "v string")
+    assert [r[0] for r in df.select(pii._iban_ok(df.v)).collect()] == [True, True, False]
+
+
+def test_any_other_column_passes(spark):
+    df = spark.sql("SELECT 1L AS doc_id, 'mail a@b.org' AS text, map('k', 1) AS w, 2 AS prior, 3 AS _pii, 4 AS _row, 5 AS base, 6 AS loose, 7 AS votes, 8 AS m_ip, 9 AS `a.b`, null AS c")
+    out = pii.find(df)
+    assert out.columns == [*df.columns, "_pii_spans"] and out.drop("_pii_spans").collect() == df.collect() and len(out.first()._pii_spans) == 1
 
 
 def test_redaction_and_odd_rows(spark, odd, odd_rows, none):
@@ -129,7 +182,7 @@ def test_candidates_of_any_length(spark):
     rows = [(k, f"secret = {v} end") for k, v in enumerate(values)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for row in pii.candidates(df).collect():
-        assert [(c.start, c.stop) for c in row._pii] == [(9, 9 + len(values[row.doc_id]))]
+        assert [(c.start, c.stop) for c in row._pii] == [(9, 9 + len(values[row._row.doc_id]))]
     found = pii.find(df)
     assert {r[0] for r in found.where("doc_id < 3").select(pii.redacted(found.text, found._pii_spans)).collect()} == {"secret = <secret> end"}
 

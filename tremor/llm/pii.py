@@ -1,19 +1,20 @@
 """Personal data by weakly supervised span labelling (operator 4), in SQL functions only.
 
-Candidates are the base matches (e-mail, ip, card, phone by fixed patterns) and looser ones:
-e-mails written with [at], phone numbers without a plus sign, long digit runs, identity
-numbers, account numbers and secrets. Labelers vote on each candidate (1 yes, 0 no, -1 abstain):
-strict patterns, a gazetteer of host endings, the words before it, its shape, and checksums.
-Votes are counted by pattern over all documents; expectation-maximisation on these counts (at
-most 3 ** 5 patterns) estimates each labeler's reliability, inside one SQL ``aggregate``; the
-posteriors then train the final span classifier, a naive Bayes model over kind, length, digit share,
-context and checksum. A looser candidate becomes a span if the classifier gives it at least one
-half; base matches always stay, and looser candidates that overlap them are dropped.
+Candidates are the base matches (e-mail, ip, card, phone by fixed patterns), which always stay, and looser
+ones, which the method judges: e-mails written with [at], phone numbers without a plus sign, long digit
+runs, identity numbers, account numbers and secrets. Five labelers vote on each looser candidate
+(1 yes, 0 no, -1 abstain): strict form, a gazetteer (host endings, area codes, key prefixes), the words before
+it, its shape, and checksums. Votes are counted by pattern over all documents (at most 3 ** 5 patterns);
+expectation-maximisation on these counts, inside one SQL ``aggregate``, estimates how often each labeler
+says yes, no or nothing on real and on false spans; of the two classes, the real one is that with more yes and
+fewer no votes. The posteriors then train the final span classifier, a naive Bayes model over kind,
+length, digit share, context and checksum. A looser candidate becomes a span if the classifier gives it
+at least one half; those that overlap base matches are no candidates. Texts are searched once: the candidates
+are stored with their rows, then learned from and judged.
 
 Edge cases: null and empty texts have no spans; positions are code points, ends exclusive; rows
 that repeat and null doc_ids are searched row by row; without candidates, or without rows, nothing
-is learned and only base spans come out; other columns are passed through untouched, and names
-that start with ``_pii`` are reserved.
+is learned and only base spans come out; other columns, of any name and type but ``_pii_spans``, are passed through untouched.
 """
 
 from __future__ import annotations
@@ -45,9 +46,11 @@ LOOSE = "|".join([
 LOOSE_GUARD = rf"[0-9]{{2}}|{_B}at{_E}"
 LABELERS = ["strict", "gazetteer", "context", "shape", "checksum"]
 _YES = r"(?i)(?:e-?mail|mailto|phone|tel|call|fax|contact|card|visa|account|iban|ssn|token|key|secret|password|passwd|bearer|host|ip)\W{0,6}$"
-_NO = r"(?i)(?:version|section|isbn|order|invoice|commit|sha-?[0-9]*|page|no)\W{0,4}$"
-_HOSTS = r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk)$"
-
+_NO = r"(?i)(?:version|section|isbn|order|invoice|commit|revision|digest|checksum|md5|sha-?[0-9]*|uuid|page|no)\W{0,4}$"
+#: Gazetteers: host endings, and beginnings of well-known kinds of keys.
+_HOSTS = r"(?i)(?:\.| ?[\[(]dot[\])] ?)(?:com|org|net|edu|gov|io|info|de|fr|es|uk)$"
+_KEYS = r"^(?:sk|pk|rk)[-_]|^gh[opsu]_|^github_pat_|^glpat-|^xox[abprs]-|^AKIA|^ASIA|^AIza|^eyJ|^ya29"
+_ISSUERS = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$"
 
 def _matches(text: Column, kind: str) -> tuple[Column, Column]:
     """All matches of a pattern and the pieces between them; none unless the guard is met."""
@@ -97,92 +100,113 @@ def _loose_kind(v: Column) -> Column:
     )
 
 
-def _judged(x: Column, kind: Column, base: bool) -> Column:
-    """A candidate with its votes and its features."""
-    v, d = x["value"], _digits(x["value"])
+def _iban_ok(v: Column) -> Column:
+    """ISO 7064 mod 97 of an account number."""
+    turned = F.split(F.concat(F.substring(v, 5, 40), F.left(v, F.lit(4))), "")
+    digit = lambda c: F.ascii(c) - F.when(F.ascii(c) >= 65, 55).otherwise(48)
+    rest = F.aggregate(turned, F.lit(0), lambda acc, c: F.when(F.length(c) == 0, acc).otherwise((acc * F.when(F.ascii(c) >= 65, 100).otherwise(10) + digit(c)) % 97))
+    return rest == 1
+
+
+def _ballot(yes: Column, no: Column) -> Column:
+    return F.when(yes, 1).when(no, 0).otherwise(-1)
+
+
+def _judged(x: Column, kind: Column) -> Column:
+    """A looser candidate with its votes and its features."""
+    v, d, before = x["value"], _digits(x["value"]), x["before"]
+    like = lambda c, r: F.regexp_like(c, F.lit(r))
     share = F.length(d) * 4 / F.length(v)
-    context = F.when(F.regexp_like(x["before"], F.lit(_YES)), 1).when(F.regexp_like(x["before"], F.lit(_NO)), 0).otherwise(-1)
-    gazetteer = F.when(kind == "email", F.when(F.regexp_like(v, F.lit(_HOSTS)), 1).otherwise(-1)).otherwise(-1)
-    shape = F.when(F.regexp_like(d, F.lit(r"^(.)\1*$")) & (F.length(d) > 3), 0).when((kind == "secret") & (F.length(v) >= 32), 1)
-    shape = shape.when((kind == "secret") & (share < 0.5), 0).when(kind.isin("phone", "identity", "email", "ip"), 1).otherwise(-1)
-    check = F.when(kind == "card", F.when(F.call_function("luhn_check", d), 1).otherwise(0)).when(kind == "ip", 1).otherwise(-1)
-    strict = F.lit(1) if base else F.when(kind.isin("identity", "account", "phone"), 1).otherwise(-1)
+    card, secret, email, phone = (kind == k for k in ("card", "secret", "email", "phone"))
+    strict = _ballot(kind.isin("identity", "account", "phone", "email") | card & like(d, _ISSUERS) | secret & like(before, "[=:] *[\"']?$"), card)
+    gazetteer = _ballot(email & like(v, _HOSTS) | phone & like(d, "^[2-9]") | secret & like(v, _KEYS), email | phone)
+    context = _ballot(like(before, _YES), like(before, _NO))
+    mixed = like(v, "[A-Z]") & like(v, "[a-z]") & like(v, "[0-9]")
+    shape = _ballot(secret & mixed & (share >= 0.4), (F.length(d) > 3) & like(d, r"^(.)\1*$") | secret & ~mixed & ~like(v, "^(?:[0-9a-f]+|[0-9A-F]+)$") & (share < 0.6))
+    check = F.when(card, F.when(F.call_function("luhn_check", d), 1).otherwise(0)).when(kind == "account", F.when(_iban_ok(v), 1).otherwise(0))
+    check = check.when(kind == "identity", F.when(like(v, "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), 1).otherwise(0)).otherwise(-1)
     return F.struct(
-        kind.alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(base).alias("base"),
-        F.array(strict, gazetteer, context, shape, check).alias("votes"),
+        kind.alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(False).alias("base"), F.array(strict, gazetteer, context, shape, check).alias("votes"),
         F.array(kind, F.least(F.floor(F.log2(F.length(v))), F.lit(8)).cast("string"), F.least(F.floor(share), F.lit(4)).cast("string"), context.cast("string"), check.cast("string")).alias("features"),
     )
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_pii``, the candidates of each text: base matches and looser ones apart from them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs
+    """(_row, _pii): the rows of ``docs`` and the candidates of each text: base matches, and looser ones apart from them."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
     cols = {}
     for kind in [*BASE, "loose"]:
-        cols[f"_pii_m_{kind}"], cols[f"_pii_p_{kind}"] = _matches(text, kind)
-    found = found.withColumns(cols)
+        cols[f"m_{kind}"], cols[f"p_{kind}"] = _matches(text, kind)
+    found = rows.withColumns(cols)
 
     def strict(kind: str) -> Column:
-        valid = F.filter(_placed(f"_pii_m_{kind}", f"_pii_p_{kind}"), lambda x: _base_ok(kind, x["value"]))
-        return F.transform(valid, lambda x: _judged(x, F.lit(kind), True))
+        valid = F.filter(_placed(f"m_{kind}", f"p_{kind}"), lambda x: _base_ok(kind, x["value"]))
+        none = F.array().cast("array<int>").alias("votes"), F.array().cast("array<string>").alias("features")
+        return F.transform(valid, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(True).alias("base"), *none))
 
-    base = F.concat(*map(strict, BASE))
-    loose = F.transform(_placed("_pii_m_loose", "_pii_p_loose"), lambda x: _judged(x, _loose_kind(x["value"]), False))
-    found = found.withColumn("_pii_base", base).withColumn("_pii_loose", loose)
-    apart = F.filter("_pii_loose", lambda x: ~F.exists("_pii_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return found.withColumn("_pii", F.concat("_pii_base", apart)).drop(*cols, "_pii_base", "_pii_loose")
+    found = found.withColumn("base", F.concat(*map(strict, BASE))).withColumn("loose", _placed("m_loose", "p_loose"))
+    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    return found.select("_row", F.concat("base", F.transform(apart, lambda x: _judged(x, _loose_kind(x["value"])))).alias("_pii"))
 
 
 _K = len(LABELERS)
-#: One EM step in SQL: s has the prior and, for each labeler, the chances of a yes on yes and on no spans.
+START = ((0.4, 0.1, 0.5), (0.4, 0.4, 0.2))  # chances that a labeler abstains, says no, says yes: on real spans, on false ones
+_Y, _N = (f"array({', '.join(f'{x}D' for x in row)})" for row in START)
+_SUM = "aggregate(e, 0D, (z, c) -> z + c.n * c.{p})"
+_LIKE = "transform(sequence(0, {k}), j -> transform(sequence(0, 2), v -> (aggregate(e, 2 * {start}[v], (z, c) -> z + IF(c.votes[j] + 1 = v, c.n * c.{p}, 0D))) / ({total} + 2)))"
+#: One EM step in SQL: s has the prior and, for each labeler, the chances of its votes on real and on false spans.
 _STEP = f"""
-transform(array(transform(cells, c -> struct(c.n as n, c.votes as votes,
-    1 / (1 + exp(-(ln(s.prior / (1 - s.prior)) + aggregate(sequence(0, {_K - 1}), 0D, (z, j) -> z + CASE c.votes[j]
-      WHEN 1 THEN ln(s.yes[j] / s.no[j]) WHEN 0 THEN ln((1 - s.yes[j]) / (1 - s.no[j])) ELSE 0D END)))) as p))),
-  e -> struct(
-    aggregate(e, 4D, (z, c) -> z + c.n * c.p) / aggregate(e, 5D, (z, c) -> z + c.n) as prior,
-    transform(sequence(0, {_K - 1}), j -> greatest(0.5D, aggregate(e, 8D, (z, c) -> z + IF(c.votes[j] = 1, c.n * c.p, 0D)) / aggregate(e, 10D, (z, c) -> z + IF(c.votes[j] >= 0, c.n * c.p, 0D)))) as yes,
-    transform(sequence(0, {_K - 1}), j -> least(0.5D, aggregate(e, 2D, (z, c) -> z + IF(c.votes[j] = 1, c.n * (1 - c.p), 0D)) / aggregate(e, 10D, (z, c) -> z + IF(c.votes[j] >= 0, c.n * (1 - c.p), 0D)))) as no))[0]
+transform(array(transform(transform(cells, c -> struct(c.n as n, c.votes as votes,
+    ln(s.prior / (1 - s.prior)) + aggregate(sequence(0, {_K - 1}), 0D, (z, j) -> z + ln(s.yes[j][c.votes[j] + 1] / s.no[j][c.votes[j] + 1])) as odds)),
+    c -> struct(c.n as n, c.votes as votes, 1 / (1 + exp(-c.odds)) as p, 1 / (1 + exp(c.odds)) as q))),
+  e -> struct(({_SUM.format(p="p")} + 1) / ({_SUM.format(p="p")} + {_SUM.format(p="q")} + 2) as prior,
+    {_LIKE.format(k=_K - 1, start=_Y, p="p", total=_SUM.format(p="p"))} as yes, {_LIKE.format(k=_K - 1, start=_N, p="q", total=_SUM.format(p="q"))} as no))[0]
 """
+_LEAN = "aggregate(s.{p}, 0D, (z, x) -> z + x[2] - x[1])"
 
 
-def reliabilities(cells: DataFrame, rounds: int = 25) -> DataFrame:
-    """One row (prior, yes[], no[]) from ``cells(votes, n)`` by expectation-maximisation."""
-    start = f"struct(0.8D as prior, array_repeat(0.8D, {_K}) as yes, array_repeat(0.2D, {_K}) as no)"
+def reliabilities(cells: DataFrame, rounds: int = 40) -> DataFrame:
+    """One row (prior, yes[][], no[][]) from ``cells(votes, n)`` by expectation-maximisation; the vote v has index v + 1."""
+    start = f"struct(0.5D as prior, array_repeat({_Y}, {_K}) as yes, array_repeat({_N}, {_K}) as no)"
     one = cells.select(F.struct(F.col("n").cast("double").alias("n"), "votes").alias("c")).agg(F.sort_array(F.collect_list("c")).alias("cells"))
-    return one.select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> {_STEP})").alias("s")).select("s.*")
+    done = one.select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> {_STEP})").alias("s"))
+    turned = f"IF({_LEAN.format(p='yes')} >= {_LEAN.format(p='no')}, s, struct(1 - s.prior as prior, s.no as yes, s.yes as no))"
+    return done.select(F.expr(turned).alias("s")).select("s.*")
 
 
 def classifier(found: DataFrame) -> DataFrame:
     """One row: ``w``, a map from feature slot and value to its log likelihood ratio, and ``prior``."""
-    each = found.select(F.explode("_pii").alias("c")).groupBy("c.votes", "c.features").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = found.select(F.explode("_pii").alias("c")).where("not c.base").groupBy("c.votes", "c.features").agg(F.count(F.lit(1)).cast("double").alias("n"))
     each = stored(each, "votes")  # few rows: votes and features have few values, whatever the input
-    cells = each.groupBy("votes").agg(F.sum("n").alias("n"))
-    em = reliabilities(cells)
-    logit = F.expr(f"ln(prior / (1 - prior)) + aggregate(sequence(0, {_K - 1}), 0D, (z, j) -> z + CASE votes[j] WHEN 1 THEN ln(yes[j] / no[j]) WHEN 0 THEN ln((1 - yes[j]) / (1 - no[j])) ELSE 0D END)")
-    soft = each.join(F.broadcast(em)).select("features", "n", (1 / (1 + F.exp(-logit))).alias("p"))
+    em = reliabilities(each.groupBy("votes").agg(F.sum("n").alias("n")))
+    logit = F.expr(f"ln(prior / (1 - prior)) + aggregate(sequence(0, {_K - 1}), 0D, (z, j) -> z + ln(yes[j][votes[j] + 1] / no[j][votes[j] + 1]))")
+    soft = each.join(F.broadcast(em)).select("features", "n", (1 / (1 + F.exp(-logit))).alias("p"))  # em is one row
     by = soft.select(F.posexplode("features").alias("slot", "value"), "n", "p").groupBy("slot", "value").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no"))
     total = soft.agg(F.coalesce(F.sum(F.col("n") * F.col("p")), F.lit(0.0)).alias("all_yes"), F.coalesce(F.sum(F.col("n") * (1 - F.col("p"))), F.lit(0.0)).alias("all_no"))
-    ratio = F.log((F.col("yes") + 0.5) / (F.col("all_yes") + 5)) - F.log((F.col("no") + 0.5) / (F.col("all_no") + 5))
+    ratio = F.log((F.col("yes") + 0.5) / (F.col("all_yes") + 2.5)) - F.log((F.col("no") + 0.5) / (F.col("all_no") + 2.5))
     entry = F.struct(F.concat_ws("=", F.col("slot").cast("string"), "value").alias("key"), ratio.alias("value"))
     weights = by.join(F.broadcast(total)).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("w"))
-    prior = total.select(F.log((F.col("all_yes") + 4) / (F.col("all_no") + 1)).alias("prior"))
+    prior = total.select(F.log((F.col("all_yes") + 1) / (F.col("all_no") + 1)).alias("prior"))
     return weights.join(F.broadcast(prior))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_pii_spans``: (order, start, stop, kind, base) sorted by kind and start."""
-    found = candidates(docs)
-    model = classifier(candidates(docs.select("text")))
-    scored = found.join(F.broadcast(model))  # one row
+def decided(found: DataFrame) -> DataFrame:
+    """(_row, _pii_spans) of stored ``candidates``: base matches and what the classifier accepts, (rank, start,
+    stop, kind, base) sorted by kind and start."""
+    scored = found.join(F.broadcast(classifier(found)))  # one row
     odds = lambda c: F.aggregate(
         F.transform(c["features"], lambda f, i: F.coalesce(F.col("w")[F.concat_ws("=", i.cast("string"), f)], F.lit(0.0))), F.col("prior"), lambda z, x: z + x
     )
     kept = F.filter("_pii", lambda c: c["base"] | (odds(c) >= 0))
     rank = lambda k: F.array_position(F.lit(KINDS), k).cast("int")
     spans = F.transform(kept, lambda c: F.struct(rank(c["kind"]).alias("rank"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"), c["base"].alias("base")))
-    return scored.withColumn("_pii_spans", F.array_sort(spans)).drop("_pii", "w", "prior")
+    return scored.select("_row", F.array_sort(spans).alias("_pii_spans"))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_pii_spans``."""
+    return decided(stored(candidates(docs), "candidates")).select("_row.*", "_pii_spans")
 
 
 def joined(spans: Column) -> Column:
@@ -204,8 +228,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
-    found = find(documents(spark, sf_dir).select("doc_id", "text"))
+    found = candidates(documents(spark, sf_dir).select("doc_id", "text"))
+    short = found.select(F.struct("_row.doc_id").alias("_row"), "_pii")  # texts are not stored again
+    found = decided(stored(short, "candidates"))
     s = F.col("_pii_spans")
     base = F.filter(s, lambda x: x["base"])
     many = [F.size(F.array_remove(F.transform(base, lambda x: x["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in BASE]  # noqa: B023
-    return found.select("doc_id", *many, F.sha2(joined(base), 256).alias("base_sha256"), joined(s).alias("spans"))
+    return found.select("_row.doc_id", *many, F.sha2(joined(base), 256).alias("base_sha256"), joined(s).alias("spans"))
