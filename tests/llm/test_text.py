@@ -452,6 +452,59 @@ def test_licences(spark, odd_rows, none):
     assert license_scan.scan(none).count() == 0
 
 
+def plain_labels_of(t, idf):
+    """The labels of a text: every template at every place, without an index."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    slack, out = license_scan.SLACK, {}
+    order = sorted(idf, key=lambda x: (-idf[x], x))
+    for label, notice, keys in license_scan.TEMPLATES:
+        ws = notice.split()
+        own = [x for x in order if x in ws and x in w][: license_scan.RARE]
+        starts = sorted((i - p, order.index(x)) for i, x in enumerate(w) if x in own for p, y in enumerate(ws) if x == y)
+        for s in {b for (a, x), (b, y) in zip(starts, starts[1:]) if x != y and b - a <= slack}:  # noqa: B905
+            region = " " + " ".join(w[max(s - slack, 0) : max(s - slack, 0) + len(ws) + 2 * slack]) + " "
+            near = [x in w[max(s + p - slack, 0) : max(s + p + slack + 1, 0)] for p, x in enumerate(ws)]
+            cover = sum(idf[x] for x, ok in zip(ws, near, strict=True) if ok) / sum(idf[x] for x in ws)
+            if cover >= license_scan.COVER and all(f" {k} " in region for k in keys):
+                out[label] = max(out.get(label, 0), min(cover, 1))
+    return out
+
+
+def test_labels_equal_plain_search_and_survive_an_inserted_word(spark, docs):
+    r = np.random.default_rng(31)
+    filler = [f"w{k}" for k in range(400)]
+    rows, wanted = [], {}
+    for k, (label, notice, keys) in enumerate(license_scan.TEMPLATES):
+        ws = notice.split()
+        for j in range(len(ws)):
+            text = " ".join(ws[:j] + ["inserted"] + ws[j:])
+            if j and not all(x in text for x in keys):
+                continue  # a broken key phrase
+            i = 1000 * k + j
+            rows.append((i, " ".join([*r.choice(filler, 30), text if j else notice.upper(), *r.choice(filler, 20)])))
+            wanted[i] = label
+    words = [w for _, n, _ in license_scan.TEMPLATES for w in n.split()]
+    rows += [(-k, " ".join(r.choice(words, 60))) for k in range(1, 60)]  # licence words without order
+    rows += [(10**6 + x.doc_id, x.text) for x in docs.collect() if x.text and len(x.text) < 3000]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total, freq = license_scan.frequencies(df, license_scan.VOCABULARY)
+    idf = {w: np.log((total + 1) / (freq.get(w, 0) + 1)) + 1e-9 for w in license_scan.VOCABULARY}
+    texts = dict(rows)
+    for x in license_scan.scan(df).select("doc_id", "found").collect():
+        got = {}
+        for f in x.found:
+            got[f.label] = max(got.get(f.label, 0), f.cover)
+        assert got == pytest.approx(plain_labels_of(texts[x.doc_id], idf)), texts[x.doc_id]
+        if x.doc_id in wanted:
+            assert wanted[x.doc_id] in got, texts[x.doc_id]
+
+
+def test_licences_keep_other_columns(spark):
+    df = spark.sql("SELECT 1L AS doc_id, 'released under the MIT license' AS text, map('k', 1) AS w, 2 AS hits, 3 AS own, 4 AS raw, 5 AS `a.b`")
+    out = license_scan.scan(df)
+    assert out.columns == [*df.columns, "n_words", "base", "found"] and out.first().n_words == 5 and {f.label for f in out.first().found} <= {"mit"}
+
+
 # quality
 
 
