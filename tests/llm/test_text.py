@@ -245,6 +245,53 @@ def test_raw_text_is_not_markup():
     assert [t for t in f.text if t] == ["abc"]
 
 
+def texts_of(page):
+    f = html_text.Forest()
+    html_text.parse(f, page)
+    return [t for t in f.text if t]
+
+
+def test_unclosed_elements_leave_the_page():
+    body = "<article><p>Words stay.</p>%s<p>So do these.</p></article>"
+    for odd in ["<svg><path>", "<template>", "<!-- note >", "<script>if (a<b) {", "<style>a{}", "<iframe>", "<noscript>", "<object>", "<canvas>", "<select><option>", "<svg/>", "<svg><svg></svg>", "<script><!-- <script> x </script>"]:
+        got = " ".join(texts_of("<body>" + body % odd + "</body>"))
+        assert got.startswith("Words stay.") and got.endswith("So do these."), (odd, got)
+    assert texts_of("<p>a <math><mi>x</mi></math> b <object>c</object> <canvas>d</canvas></p>") == ["a x b c d"]
+    assert texts_of("<p>" + "<!-- x " * 20_000 + "</p>b") and texts_of("<p>a</p>" + "<svg><template>" * 20_000 + "b</template></svg>")
+    assert texts_of("a<svg><text>x</text><svg>y</svg>z</svg>b<!-->c<!--->d<!---->e") == ["abcde"]
+
+
+#: Pages written by hand, with layouts that the generator does not know; what stands in [[ ]] is the article.
+LAYOUTS = [
+    """<!doctype html><html lang=en><head><meta charset=utf-8><title>T</title><script>for(i=0;i<n;i++){s='x';}</script></head><body class="home"><div id="wrap"><header class="site-header"><a href="/">Daily Tern</a>
+    <nav><ul><li><a href="/a">World</a><li><a href="/b">Sport</a><li><a href="/c">Arts</a></ul></nav></header><main><article class="post"><h1>[[Harbour reopens after the storm]]</h1>
+    <p>[[The harbour reopened on Monday, three weeks after the storm tore away its outer wall and sank four boats.]]</p><script>if(a<b){t="it's";}</script>
+    <p>[[Crews worked through the night, the mayor said, and the ferry will run again from <a href="/f">Friday</a> at noon.]]</p>
+    <blockquote>[[We never thought it would hold, said one of the fishermen.]]</blockquote><ul><li>[[Ferry: Friday, noon]]</li><li>[[Fish market: Saturday]]</li></ul></article></main>
+    <aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">One thing</a></li><li><a href="/2">Another thing</a></li></ul></aside>
+    <section id="comments"><h3>Two comments</h3><div class="comment"><b>Ann</b><p>Great news for the town, at last.</p></div><div class="comment"><p>I doubt it will last a winter.</p></div></section>
+    <footer>&copy; 2024 Daily Tern. <a href="/p">Privacy</a></footer></div></body></html>""",
+    """<html><body><div class="topbar"><a href="#">Home</a> | <a href="#">Shop</a> | <a href="#">About</a></div><div class="cookie-notice"><p>We use cookies to improve the site.</p><button>Accept</button></div>
+    <div class="container"><div class="entry-content"><h2>[[How to prune an old apple tree]]</h2><p>[[Start in late winter, when the tree is bare and you can see its whole frame.]]
+    <p>[[Take out dead wood first; then crossing branches, then whatever shades the middle of the crown.]]<div class="advert">Buy sharp saws today!</div>
+    <h3>[[Tools]]</h3><p>[[A saw, a ladder &amp; patience are enough for most trees.]]<p>[[Do not cut more than a fifth of the crown in a year.]]</div></div>
+    <form action="/s"><label>Newsletter</label><input name=e><button>Subscribe</button></form><div class="footer"><p>Garden notes, all rights reserved</p></div></body></html>""",
+    """<body><table><tr><td><nav class="menu"><a href=1>Start</a><a href=2>Kontakt</a><a href=3>Impressum</a></nav></td></tr></table><section class="story"><h1>[[Der letzte Zug]]</h1>
+    <div>[[Als der letzte Zug den Bahnhof verlie\xdf, blieb nur der W\xe4rter zur\xfcck und l\xf6schte die Lampen.]]</div><div>[[Am Morgen fand man den Schl\xfcssel auf der Bank, daneben einen Brief ohne Absender.]]</div>
+    <pre>[[Gleis 1: gesperrt]]</pre></section><div class="related"><h4>Mehr</h4><ul><li><a href=4>Ein anderer Text</a></li><li><a href=5>Noch ein Text</a></li></ul></div></body>""",
+]
+
+
+def test_layouts_that_the_generator_does_not_know():
+    import html
+
+    model = html_text.trained()
+    for page in LAYOUTS:
+        want = " ".join(html.unescape(re.sub("<[^>]+>", "", x)) for x in re.findall(r"\[\[(.*?)\]\]", page, re.S))
+        got = html_text.main_texts(model, [page.replace("[[", "").replace("]]", "")])[0]
+        assert got.split() == want.split()
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (3, "u", "plain & text &lt;"), (3, "u", "<article><p>" + "word " * 50_000), (4, "u", "<" * 200 + "<a href='" + "x" * 100), (5, "u", "<div>" * 3000 + "deep")]
     out = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()

@@ -10,7 +10,7 @@ The kept runs are the text: character references decoded, white space within a b
 blocks joined by one space.
 
 Edge cases: null and empty html gives an empty text; unclosed and crossing tags are closed as the
-block structure asks; rows that repeat and null keys are handled row by row; extra columns are ignored;
+block structure asks, and an unclosed script, style, svg or comment does not take the page with it; rows that repeat and null keys are handled row by row; extra columns are ignored;
 the whole html is read, whatever its length, and only that page is held in memory.
 """
 
@@ -44,10 +44,14 @@ TOKENS = {
     "head": "header head masthead topbar top logo branding",
 }
 _TOKEN = {w: k for k, ws in enumerate(TOKENS.values()) for w in ws.split()}
-SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas", "math", "select")
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?][^\s>\"'/]*+(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>|<[a-zA-Z/!?][^>]*+>|[^<]++|<", re.S)
-_RAW = re.compile(r"<(script|style|textarea|title|noscript|iframe)(?![^\s/>])", re.I)  # no markup in these
-_RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+#: Elements whose bodies are no text of the page; the first seven hold no markup.
+RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")
+SKIPPED = (*RAW, "template", "svg")
+_PART = re.compile(r"<!--|<[a-zA-Z/!?][^\s>\"'/]*+(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>|<[a-zA-Z/!?][^>]*+>|[^<]++|<", re.S)
+_SKIP = re.compile(rf"<({'|'.join(SKIPPED)})(?![^\s/>])", re.I)
+_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*>?", re.I) for t in RAW}
+_NEST = {t: re.compile(rf"<(/?){t}(?![^\s/>])[^>]*>?", re.I) for t in SKIPPED[len(RAW) :]}
+_BLOCK = re.compile(r"</?(?:article|main|section|div|p|h[1-6]|ul|ol|table|body|header|footer|nav|aside)(?![^\s/>])", re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
@@ -93,26 +97,56 @@ def _tokens(tag: str) -> int:
     return found
 
 
+def _skipped(page: str, tag: str, at: int) -> int:
+    """Where the element that opened before ``at`` ends, or -1 if it is never closed."""
+    if tag in _END:
+        m = _END[tag].search(page, at)
+        return m.end() if m else -1
+    depth = 1
+    for m in _NEST[tag].finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return -1
+
+
 def _parts(page: str):
-    """Tags, comments and texts in order; the bodies of raw-text elements are left out up to their own end tag."""
+    """Tags and texts in order, without comments and skipped elements. One that is never closed does not take
+    the page with it: a comment ends at the next ``>``, code at the next block tag, of others only the tag is left out."""
     at, endless = 0, set()
     while at >= 0:
         start, at = at, -1
         for m in _PART.finditer(page, start):
             part = m[0]
-            yield part
-            if part[0] == "<" and (raw := _RAW.match(part)) and not part.endswith("/>") and (tag := raw[1].lower()) not in endless:
-                if end := _RAW_END[tag].search(page, m.end()):
-                    at = end.start()
-                    break
+            if part == "<!--":
+                close = -1 if part in endless else page.find("-->", m.start() + 2)
+                if close < 0:
+                    endless.add(part)
+                    close = page.find(">", m.end()) - 2
+                at = close + 3 if close >= 0 else len(page)
+                break
+            if part[0] != "<" or not (found := _SKIP.match(part)):
+                yield part
+                continue
+            tag = found[1].lower()
+            if part.endswith("/>") and tag not in RAW:
+                continue
+            end = -1 if tag in endless else _skipped(page, tag, m.end())
+            if end < 0:
                 endless.add(tag)
+                if tag in ("script", "style"):
+                    block = _BLOCK.search(page, m.end())
+                    end = block.start() if block else len(page)
+            if end >= 0:
+                at = end
+                break
 
 
 def parse(f: Forest, page: str) -> None:
     """Add the tree of blocks and text runs of a page."""
     root = f.add(_BODY, 0, -1, 0)
     f.roots.append(root)
-    at, run, skip, in_head, chars, links, link = root, [], "", False, 0, 0, False
+    at, run, in_head, chars, links, link, select = root, [], False, 0, 0, False, -1
 
     def flush():
         nonlocal run, chars, links
@@ -125,19 +159,13 @@ def parse(f: Forest, page: str) -> None:
 
     for part in _parts(page):
         if part[0] != "<" or len(part) == 1:
-            if not skip and not in_head:
+            if not in_head:
                 run.append(part)
                 links += len(part) * link
             continue
         if not (name := _NAME.match(part)):
             continue
         tag, closing = name[1].lower(), part[1] == "/"
-        if skip:
-            skip = "" if closing and tag == skip else skip
-            continue
-        if tag in SKIPPED:
-            skip = "" if closing or part.endswith("/>") else tag
-            continue
         if tag == "head":
             in_head = not closing
             continue
@@ -157,6 +185,10 @@ def parse(f: Forest, page: str) -> None:
                 f.tokens[root] |= _tokens(part)
             continue
         in_head = False
+        if select >= 0 and tag != "option":  # only options stand in a select, so any other block ends it
+            at, select = f.parent[select], -1
+            if tag == "select" and closing:
+                continue
         if closing:
             up, want = at, _ID[group]
             while up != root and f.group[up] != want:
@@ -169,6 +201,7 @@ def parse(f: Forest, page: str) -> None:
             at = f.parent[at]
         if tag != "hr":
             at = f.add(_ID[group], _tokens(part) if len(part) > len(tag) + 2 else 0, at, chars)
+            select = at if tag == "select" else select
     flush()
 
 
@@ -251,7 +284,8 @@ def predict(model, f: np.ndarray) -> np.ndarray:
 
 
 def boost(f: np.ndarray, y: np.ndarray):
-    """Oblivious trees on the log loss, with quantile bins."""
+    """Oblivious trees on the log loss, with quantile bins; each tree looks at a random half of the features."""
+    rng = np.random.default_rng(5)
     edges = [np.unique(np.quantile(f[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(f.shape[1])]
     edges = [np.unique(np.append(e, 0.5)) if set(np.unique(f[:, j])) <= {0.0, 1.0} else e for j, e in enumerate(edges)]
     binned = [np.searchsorted(e, f[:, j], side="left") for j, e in enumerate(edges)]
@@ -261,10 +295,11 @@ def boost(f: np.ndarray, y: np.ndarray):
         p = 1 / (1 + np.exp(-z))
         g, h = y - p, p * (1 - p) + 1e-6
         leaf, tree_f, tree_c = np.zeros(len(y), np.int64), [], []
+        chosen = rng.permutation(len(binned))[: (len(binned) + 1) // 2].tolist()
         for level in range(DEPTH):
             best = (-1.0, 0, 0)
-            for j, b in enumerate(binned):
-                nb = len(edges[j]) + 1
+            for j in chosen:
+                b, nb = binned[j], len(edges[j]) + 1
                 if nb < 2:
                     continue
                 gs = np.bincount(leaf * nb + b, g, nb << level).reshape(-1, nb).cumsum(axis=1)
@@ -324,9 +359,10 @@ def _generated(r: random.Random) -> str:
         for _ in range(r.randint(1, 9)):
             body += r.choices([
                 prose(True, 1, 3), f"<h2>{words(True, 1, 6)}</h2>", "<ul>" + "".join(f"<li>{words(True, 1, 15)}</li>" for _ in range(r.randint(1, 6))) + "</ul>",
+                links(True, 2, 6), f"<p>{words(True, 1, 9)}<select>" + "".join(f"<option>{words(False, 1, 2)}" for _ in range(r.randint(1, 5))) + f"</select>{words(True, 1, 9)}</p>",
                 f"<blockquote>{words(True, 3, 40)}</blockquote>", f"<table><tr><td>{words(True, 1, 5)}</td><td>{words(True, 1, 5)}</td></tr></table>", f"<pre>{words(True, 3, 20)}</pre>",
                 words(True, 5, 60), f"<div>{words(True, 5, 60)}</div>", f"<p>{words(True, 1, 9)}<a href='/y'>{words(True, 1, 4)}</a>{words(True, 1, 9)}</p>",
-            ], [8, 2, 1, 1, 1, 1, 1, 1, 2])[0]
+            ], [8, 2, 1, 0.5, 0.2, 1, 1, 1, 1, 1, 2])[0]
             if r.random() < 0.08:
                 body += boiler[r.choice(["ad", "side", "form", "notice"])]()
         return wrap("article article main main div section", "content post entry article story main-content post-body entry-content text", body)
