@@ -376,6 +376,23 @@ def test_three_limits_hold():
         assert sum(x for _, x in seen[k]) == n and sorted(seen[k])[0][0] == 0
 
 
+def test_loss_limit_binds(spark, docs):
+    r = np.random.default_rng(14)
+    texts = [" ".join(r.choice(["red", "stone", "walk", "quiet"], int(n))) for n in r.integers(1, 3000, 60)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(df, loss=1200, prompt=packing.first_quarter(df.text)).collect()
+    check_pieces(rows, {i: plain_ids(t) for i, t in enumerate(texts)})
+    heads = {i: len(plain_ids(" ".join(w for w, at in zip(t.split(), np.cumsum([0, *(len(w) + 1 for w in t.split())]), strict=False) if at < len(t) // 4))) - 1 if t else 0 for i, t in enumerate(texts)}
+    loss = {}
+    for x in rows:
+        loss[x.sequence_id] = loss.get(x.sequence_id, 0) + max(0, x.start + x.length - heads[x.doc_id]) - max(0, x.start - heads[x.doc_id])
+    assert max(loss.values()) == 1200  # with one limit for all ids it would not be met
+    free = packing.pack(df).groupBy("sequence_id").sum("length").collect()
+    assert len({x.sequence_id for x in rows}) > len(free)
+    want = {r.doc_id: plain_ids(r.text) for r in docs.collect()}
+    assert check_pieces(packing.pack(docs, loss=packing.LOSS, prompt=packing.first_quarter(docs.text)).collect(), want) == 0
+
+
 # language-model scores
 
 

@@ -1,10 +1,11 @@
 """Sequence packing as vector bin packing with the dot-product heuristic (operator 6).
 
 An example is placed under three limits at once: tokens, segments and loss-bearing tokens of a
-sequence. Each task packs its own documents: it keeps a pool of at most ``POOL`` examples and
+sequence. The ids of its prompt bear no loss, all others do; what the prompt is, the caller says (in op6 it is
+the first quarter of a text, and at most ``LOSS`` of the 2048 ids bear loss). Each task packs its own documents: it keeps a pool of at most ``POOL`` examples and
 fills one sequence at a time with the example that fits and has the largest dot product
 of its demand and the sequence's free room, both as shares of the limits. Room that nothing fits is
-filled by cutting an example, whose rest goes back to the pool. A sequence that stays short
+filled by cutting the example whose beginning has the largest dot product, and its rest goes back to the pool. A sequence that stays short
 (few segments left, or the end of the task) is trimmed to a power of two, so nothing is padded.
 
 Edge cases: a null or empty text is its closing id alone; texts over the limit are cut into
@@ -22,13 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents
 
-TOKENS, SEGMENTS, POOL, CACHE, GROUP = 2048, 256, 256, 1_500_000, 1 << 20
+TOKENS, SEGMENTS, LOSS, POOL, CACHE, GROUP = 2048, 256, 1664, 256, 1_500_000, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[97:123] = 1
@@ -83,15 +84,18 @@ class Encoder:
         plain = np.flatnonzero(~whole)
         ids, many = [np.empty(0, np.uint32)], np.zeros(len(units), np.int64)
         order = []
+        alone = [np.flatnonzero(whole)]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
             got = np.array(self.tokenizer.encode_batch_fast([b" ".join(units[i] for i in part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.closes[got]) + 1
-            assert len(stops) == len(part), "a unit is not one word of the tokenizer"
+            if len(stops) != len(part):  # a unit that is not one word of the tokenizer: one by one
+                alone.append(part)
+                continue
             ids.append(got)
             many[part] = np.diff(stops, prepend=0)
             order.append(part)
-        rest = np.flatnonzero(whole)
+        rest = np.concatenate(alone)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False), strict=True):
             ids.append(np.array(e.ids, np.uint32))
             many[i] = len(ids[-1])
@@ -100,9 +104,14 @@ class Encoder:
 
     def encode(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The ids of each text, with the closing id."""
+        return [ids for ids, _ in self.marked(texts, [0] * len(texts))]
+
+    def marked(self, texts: list[np.ndarray], prompts: list[int]) -> list[tuple[np.ndarray, int]]:
+        """The ids of each text, with the closing id, and how many of them are of words that begin in its first ``prompt`` bytes."""
         gap = np.array([32], np.uint8)
         u8 = np.concatenate([x for t in texts for x in (t, gap)]) if texts else np.empty(0, np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
+        heads = np.array([e - len(t) - 1 + min(p, len(t)) for e, t, p in zip(ends.tolist(), texts, prompts, strict=True)], np.int64)
         low, a, b, whole = self._units(u8)
         uniq, first, back = np.unique(T.hashes(low, a, b), return_index=True, return_inverse=True)
         if len(self.known) > CACHE:
@@ -122,10 +131,10 @@ class Encoder:
         begin, many = self.first[at][back], self.many[at][back]
         total = np.concatenate([[0], np.cumsum(many)])
         flat = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], many)]
-        stop = total[np.searchsorted(a, ends)]
+        stop, head = total[np.searchsorted(a, ends)], total[np.searchsorted(a, heads)]
         out, k = [], 0
-        for s in stop.tolist():
-            out.append(np.append(flat[k:s], np.uint32(self.end)))
+        for s, p in zip(stop.tolist(), head.tolist(), strict=True):
+            out.append((np.append(flat[k:s], np.uint32(self.end)), p - k))
             k = s
         return out
 
@@ -140,6 +149,7 @@ class Packer:
         self.cum: list = [None] * (2 * pool)  # loss-bearing tokens before each position, or None: all are
         self.start, self.stop = np.zeros(2 * pool, np.int64), np.zeros(2 * pool, np.int64)
         self.need = np.zeros((2 * pool, 3))
+        self.free = np.zeros(2 * pool)  # leading ids without loss
 
     def _loss(self, i: int, a: int, b: int) -> int:
         return b - a if self.cum[i] is None else int(self.cum[i][b] - self.cum[i][a])
@@ -148,12 +158,13 @@ class Packer:
         i = self.size
         self.keys[i], self.cum[i], self.start[i], self.stop[i] = key, cum, a, b
         self.need[i] = b - a, 1, self._loss(i, a, b)
+        self.free[i] = 0 if cum is None else min(b, int(np.searchsorted(cum, cum[a], side="right")) - 1) - a
         self.size += 1
 
     def _drop(self, i: int) -> None:
         self.size = k = self.size - 1
         self.keys[i], self.cum[i], self.start[i], self.stop[i] = self.keys[k], self.cum[k], self.start[k], self.stop[k]
-        self.need[i] = self.need[k]
+        self.need[i], self.free[i] = self.need[k], self.free[k]
         self.keys[k] = self.cum[k] = None
 
     def _reach(self, i: int, room: np.ndarray) -> int:
@@ -178,7 +189,9 @@ class Packer:
                 i = int(score.argmax())
                 b = int(self.stop[i])
             else:
-                i = int(need[:, 0].argmax())
+                free = self.free[: self.size]
+                reach = np.minimum(need[:, 0], np.minimum(room[0], free + room[2]))
+                i = int((reach * (room[0] / self.limit[0] ** 2) + np.maximum(reach - free, 0) * (room[2] / self.limit[2] ** 2)).argmax())
                 b = self._reach(i, room)
                 if b <= self.start[i]:
                     break
@@ -242,23 +255,25 @@ def _packed(path: str, limits: tuple):
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-        def place(names, texts):
+        def place(names, texts, prompts):
             nonlocal serial
-            for doc, ids in zip(names, encoder.encode(texts), strict=True):
+            for doc, (ids, head) in zip(names, encoder.marked(texts, prompts), strict=True):
                 held[serial], left[serial] = (doc, ids), len(ids)
-                note(packer.add(serial, len(ids)))
+                note(packer.add(serial, len(ids), np.maximum(np.arange(len(ids) + 1) - head, 0) if head else None))
                 serial += 1
 
         for batch in batches:
-            names, group, size = [], [], 0
-            for doc, u8 in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), T.texts(batch), strict=True):
+            names, group, heads, size = [], [], [], 0
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "prompt"))
+            for doc, head, u8 in zip(*columns, T.texts(batch), strict=True):
                 names.append(doc)
                 group.append(u8)
+                heads.append(head or 0)
                 size += len(u8) + 1
                 if size >= GROUP:
-                    place(names, group)
-                    names, group, size = [], [], 0
-            place(names, group)
+                    place(names, group, heads)
+                    names, group, heads, size = [], [], [], 0
+            place(names, group, heads)
             yield flush()
         note(packer.finish())
         yield flush()
@@ -272,11 +287,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
-    """The pieces of ``docs(doc_id, text)``; every token bears loss. One scan, no shuffle."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def first_quarter(text: Column) -> Column:
+    """Bytes of the first quarter of a text: the stand-in for a prompt where documents have no roles."""
+    return F.floor(F.octet_length(text) / 4)
+
+
+def pack(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, prompt: Column | None = None) -> DataFrame:
+    """The pieces of ``docs(doc_id, text)``, at most ``tokens`` ids, ``segments`` pieces and ``loss`` loss-bearing
+    ids a sequence. Words that begin in the first ``prompt`` bytes of a text (a column of ``docs``; null is 0)
+    bear no loss; without ``prompt`` all do. One scan, no shuffle."""
+    head = F.lit(0) if prompt is None else prompt
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", head.cast("long").alias("prompt"))
     return rows.mapInArrow(_packed(path or default_tokenizer(), (tokens, segments, loss)), SCHEMA)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), loss=LOSS, prompt=first_quarter(F.col("text")))
