@@ -120,3 +120,39 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     found = lambda slop: sorted(r.doc_id for r in decontaminate.search(index, bench, slop).where("spans is not null").collect())
     assert found(0) == [2] and found(1) == [1, 2]
+
+
+def brute_near(w, win, slop):
+    """Whether the words of a window have occurrences of their own within ``slop`` of their places from some start."""
+
+    def place(s, k, used):
+        if k == len(win):
+            return True
+        return any(w[p] == win[k] and p not in used and place(s, k + 1, used | {p}) for p in range(max(s + k - slop, 0), min(s + k + slop + 1, len(w))))
+
+    return any(place(s, 0, frozenset()) for s in range(-slop, len(w) + slop))
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_equals_brute_force(spark, monkeypatch, slop):
+    r = random.Random(17)
+    words = ["red", "blue", "red", "stone", "walk", "sun"]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randrange(1, 40)))) for k in range(120)] + [(500, ""), (501, "alpha"), (None, "red blue"), (503, None)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randrange(1, 9)))) for k in range(30)] + [(90, "alpha alpha"), (91, "red red red"), (92, " ".join(words * 3))]
+    monkeypatch.setattr(decontaminate, "SHARD", 300)
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (set(r.near or []), {s.item for s in r.spans or []}) for r in decontaminate.search(index, bench, slop, near=slop).collect()}
+    for i, t in rows:
+        w = (t or "").split()
+        want = {str(k) for k, body in items if any(brute_near(w, win, slop) for win in item_windows(body))}
+        assert got[i] == (want, want), (t, want)
+
+
+def test_near_items_of_the_query(spark):
+    items = [(r.item_id, item_windows(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    out = {r.doc_id: r for r in QUERIES["op1_decontaminate"](spark, DATA).collect()}
+    for i in [i for i, r in out.items() if r.n_near_items or r.n_items][:12]:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[i] or "").translate(LOW))
+        assert out[i].n_near_items == sum(any(brute_near(w, win, 1) for win in windows if set(win) <= set(w)) for _, windows in items) >= out[i].n_items

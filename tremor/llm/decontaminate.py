@@ -5,8 +5,9 @@ one shard of at most about ``SHARD`` tokens with its sorted terms, their offsets
 delta-coded positions. The index does not depend on a benchmark. ``search`` sends windows
 of the test items to every shard in blocks of bounded size; there each window starts from
 the postings of its rarest term, and the offset-adjusted lists of its next rarest terms are
-intersected one by one. ``slop`` = 0 gives exact phrases; with a larger one every term
-may stand up to ``slop`` words off its place (proximity).
+intersected one by one. ``slop`` = 0 gives exact phrases; with a larger one (proximity) a window stands at
+a start if each of its terms has an occurrence of its own at most ``slop`` words off its place. op1 gives the
+exact matches and, in ``n_near_items``, the items with a window in proximity ``NEAR``.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters above ASCII. A window
 is 10 consecutive item words; a shorter item, but not an empty one, is one window.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents, stored
 
-WINDOW, SHARD, BLOCK_CHARS = 10, 1_000_000, 1_000_000
+WINDOW, NEAR, SHARD, BLOCK_CHARS, GAP = 10, 1, 1_000_000, 1_000_000, 32  # GAP: free positions between documents
 INDEX_SCHEMA = "shard long, doc_ids array<long>, n_words array<long>, terms binary, offsets binary, postings binary"
 _INDEX_ARROW = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("offsets", pa.binary()), ("postings", pa.binary())])
 
@@ -45,12 +46,12 @@ def _unplanes(raw: bytes, kind) -> np.ndarray:
 
 def _shard(shard: int, ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
     n = np.array([len(x) for x in docs], np.int64)
-    base = np.concatenate([[0], np.cumsum(n + 1)])[:-1]  # a free position between documents
+    base = np.concatenate([[0], np.cumsum(n + GAP)])[:-1]
     tokens = np.concatenate(docs) if docs else np.empty(0, np.uint64)
     order = np.argsort(tokens, kind="stable")
     at = tokens[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
-    place = (np.arange(len(tokens)) + np.repeat(np.arange(len(docs)), n))[order].astype(np.int32)
+    place = (np.arange(len(tokens)) + GAP * np.repeat(np.arange(len(docs)), n))[order].astype(np.int32)
     assert not len(base) or base[-1] + n[-1] < 1 << 31
     columns = [[shard], [ids], [n.tolist()], [_planes(at[first])], [_planes(np.append(first, len(at)).astype(np.int32))], [_planes(np.diff(place, prepend=np.int32(0)))]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _INDEX_ARROW, strict=True)], schema=_INDEX_ARROW)
@@ -90,7 +91,8 @@ def item_windows(items: list[tuple[str | None, str | None]], width: int = WINDOW
 
 
 def _matches(terms, offs, keys, places, m: np.ndarray, slop: int):
-    """(window, first position, end) of every place where a window's terms stand."""
+    """(window, first position, end) of every place where a window's terms stand; with a slop, of the occurrences
+    nearest to the start."""
     at = np.minimum(np.searchsorted(terms, m), max(len(terms) - 1, 0))
     rows = np.flatnonzero((terms[at] == m).all(axis=1)) if len(terms) else np.empty(0, np.int64)
     at = at[rows]
@@ -105,50 +107,75 @@ def _matches(terms, offs, keys, places, m: np.ndarray, slop: int):
         within = np.arange(len(win)) - np.repeat(np.cumsum(lead[a:b]) - lead[a:b], lead[a:b])
         r0 = rank[win, 0]
         start = places[offs[at[win, r0]] + within] - r0
-        lo, hi = start + r0, start + r0
-        for k in range(1, m.shape[1]):
+        if slop:  # the rarest term, too, may stand off its place
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            win = np.repeat(win, 2 * slop + 1)
+        lo, hi = np.full(len(start), np.iinfo(np.int64).max), np.full(len(start), -1)
+        for k in range(m.shape[1]):
             r = rank[win, k]
-            want = (at[win, r].astype(np.int64) << 32) + start + r
-            j = np.searchsorted(keys, want)
-            up = keys[np.minimum(j, len(keys) - 1)] - want
-            if slop:
-                down = want - keys[np.maximum(j - 1, 0)]
-                ok_up, ok_down = (up >= 0) & (up <= slop), (down >= 0) & (down <= slop)
-                shift = np.where(ok_up & (~ok_down | (up <= down)), up, -down)
-                ok = ok_up | ok_down
-            else:
-                shift, ok = up, up == 0
-            got = (start + r + shift)[ok]
-            win, start, lo, hi = win[ok], start[ok], np.minimum(lo[ok], got), np.maximum(hi[ok], got)
+            term = at[win, r].astype(np.int64) << 32
+            j = np.minimum(np.searchsorted(keys, term + np.maximum(start + r - slop, 0)), len(keys) - 1)
+            got = keys[j] - term
+            ok = (got >= start + r - slop) & (got <= start + r + slop)
+            win, start, lo, hi = win[ok], start[ok], np.minimum(lo[ok], got[ok]), np.maximum(hi[ok], got[ok])
+        if slop and len(win):
+            ok = _apart(at, offs, places, win, start, slop)
+            win, lo, hi = win[ok], lo[ok], hi[ok]
         yield rows[win], lo, hi + 1
 
 
+def _apart(at, offs, places, win, start, slop: int) -> np.ndarray:
+    """Whether equal terms of a window have occurrences of their own: the first free one goes to the first of them."""
+    sorted_at = np.sort(at, axis=1)
+    again = (sorted_at[:, 1:] == sorted_at[:, :-1]).any(axis=1)
+    ok = np.ones(len(win), bool)
+    for c in np.flatnonzero(again[win]).tolist():
+        terms, s = at[win[c]].tolist(), int(start[c])
+        for t in {t for t in terms if terms.count(t) > 1}:
+            stand, last = places[offs[t] : offs[t + 1]], -1
+            for k in (k for k, x in enumerate(terms) if x == t):
+                j = int(np.searchsorted(stand, max(s + k - slop, last + 1)))
+                if j == len(stand) or stand[j] > s + k + slop:
+                    ok[c] = False
+                    break
+                last = int(stand[j])
+    return ok
+
+
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("item", pa.string())])
-_FOUND_ARROW = pa.schema([("shard", pa.int64()), ("doc_ix", pa.int64()), ("spans", pa.list_(_SPAN))])
+_FOUND = "shard long, doc_ix long, spans array<struct<start:long,stop:long,item:string>>, near array<string>"
+_FOUND_ARROW = pa.schema([("shard", pa.int64()), ("doc_ix", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(pa.string()))])
 
 
-def _searched(block, slop: int):
+def _searched(block, slop: int, near: int):
     def run(batches):
         windows = block.value
         for batch in batches:
             for row in batch.to_pylist():
                 n = np.array(row["n_words"], np.int64)
-                base = np.concatenate([[0], np.cumsum(n + 1)])[:-1]
+                base = np.concatenate([[0], np.cumsum(n + GAP)])[:-1]
                 terms, offs = _unplanes(row["terms"], np.uint64), _unplanes(row["offsets"], np.int32).astype(np.int64)
                 places = np.cumsum(_unplanes(row["postings"], np.int32), dtype=np.int32).astype(np.int64)
                 keys = (np.repeat(np.arange(len(terms)), np.diff(offs)) << 32) + places
+
+                def hits(slop):
+                    for m, items in windows.values():
+                        for win, lo, hi in _matches(terms, offs, keys, places, m, slop):  # noqa: B023
+                            doc = np.searchsorted(base, lo, side="right") - 1  # noqa: B023
+                            for d, a, b, w in zip(doc.tolist(), (lo - base[doc]).tolist(), (hi - base[doc]).tolist(), win.tolist(), strict=True):  # noqa: B023
+                                for item in items[w]:
+                                    yield d, item, (a, b)
+
                 spans: dict[int, dict] = {}
-                for m, items in windows.values():
-                    for win, lo, hi in _matches(terms, offs, keys, places, m, slop):
-                        doc = np.searchsorted(base, lo, side="right") - 1
-                        same = hi - base[doc] <= n[doc]
-                        for d, a, b, w in zip(doc[same].tolist(), (lo - base[doc])[same].tolist(), (hi - base[doc])[same].tolist(), win[same].tolist(), strict=True):
-                            for item in items[w]:
-                                spans.setdefault(d, {}).setdefault(item, set()).add((a, b))
+                close: dict[int, set] = {}
+                for d, item, span in hits(slop):
+                    spans.setdefault(d, {}).setdefault(item, set()).add(span)
+                for d, item, _ in hits(near) if near else ():
+                    close.setdefault(d, set()).add(item)
                 out = []
-                for d, by_item in sorted(spans.items()):
+                for d in sorted({*spans, *close}):
                     merged = []
-                    for item, pairs in by_item.items():
+                    for item, pairs in spans.get(d, {}).items():
                         run_a, run_b = None, -1
                         for a, b in sorted(pairs):
                             if a > run_b or slop:
@@ -158,17 +185,21 @@ def _searched(block, slop: int):
                             else:
                                 run_b = max(run_b, b)
                         merged.append((run_a, run_b, item))
-                    out.append({"shard": row["shard"], "doc_ix": d, "spans": [{"start": a, "stop": b, "item": i} for a, b, i in merged]})
+                    named = sorted(x for x in close.get(d, ()) if x is not None)
+                    out.append({"shard": row["shard"], "doc_ix": d, "spans": [{"start": a, "stop": b, "item": i} for a, b, i in merged] or None, "near": named})
                 yield pa.RecordBatch.from_pylist(out, schema=_FOUND_ARROW)
 
     return run
 
 
-def search(index: DataFrame, benchmark: DataFrame, slop: int = 0, width: int = WINDOW) -> DataFrame:
-    """(shard, doc_ix, doc_id, n_words, spans) for every document; spans are the matches
-    (start, stop, item) in words, with exact neighbours of one item joined, and null if none.
+def search(index: DataFrame, benchmark: DataFrame, slop: int = 0, width: int = WINDOW, near: int = 0) -> DataFrame:
+    """(shard, doc_ix, doc_id, n_words, spans, near) for every document; spans are the matches
+    (start, stop, item) in words, with exact neighbours of one item joined, and null if none; near has the
+    items found with the slop ``near``, if that is over 0.
 
     The items go out in blocks of about ``BLOCK_CHARS`` characters, one broadcast each."""
+    if width + 2 * max(slop, near) >= GAP:
+        raise ValueError(f"window and slop must stay below {GAP} positions")
     spark = index.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body"))
     chars = items.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
@@ -177,10 +208,11 @@ def search(index: DataFrame, benchmark: DataFrame, slop: int = 0, width: int = W
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k)
         block = spark.sparkContext.broadcast(item_windows([tuple(r) for r in mine.collect()], width))
-        part = index.mapInArrow(_searched(block, slop), "shard long, doc_ix long, spans array<struct<start:long,stop:long,item:string>>")
+        part = index.mapInArrow(_searched(block, slop, near), _FOUND)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("shard", "doc_ix").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        both = F.flatten(F.collect_list("spans"))
+        found = found.groupBy("shard", "doc_ix").agg(F.when(F.size(both) > 0, both).alias("spans"), F.flatten(F.collect_list("near")).alias("near"))
     all_docs = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("doc_ix", "d"))
     all_docs = all_docs.select("shard", F.col("doc_ix").cast("long").alias("doc_ix"), F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
     return all_docs.join(found, ["shard", "doc_ix"], "left")
@@ -196,13 +228,14 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row."""
-    hits = search(build_index(docs), benchmark)
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items) for every row."""
+    hits = search(build_index(docs), benchmark, near=NEAR)
+    near = F.coalesce(F.size(F.array_distinct("near")), F.lit(0)).cast("long")
     items = F.array_sort(F.array_distinct(F.array_compact(F.transform("spans", lambda s: s["item"]))))
     items = F.coalesce(items, F.array().cast("array<string>"))
     return hits.select(
         "doc_id", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated"), near.alias("n_near_items"),
     )
 
 
@@ -221,8 +254,20 @@ dw AS (SELECT rid, l, i, array_to_string(w[i:i+l-1], ' ') AS g FROM dp),
 hits AS (SELECT DISTINCT dw.rid, dw.i, dw.l, bw.item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.g = bw.g),
 pos AS (SELECT DISTINCT rid, unnest(range(i, i + l)) AS p FROM hits),
 nh AS (SELECT rid, count(*) AS n FROM pos GROUP BY rid),
-it AS (SELECT rid, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(nh.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(it.s, '')) AS items_sha256, coalesce(nh.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN nh ON nh.rid = d.rid LEFT JOIN it ON it.rid = d.rid
+it AS (SELECT rid, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hits WHERE item_id IS NOT NULL) GROUP BY rid),
+dword AS (SELECT rid, pos, w[pos] AS x FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS pos FROM d)),
+win AS (SELECT row_number() OVER () AS wid, l, g, string_split(g, ' ') AS ws FROM (SELECT DISTINCT l, g FROM bw)),
+slot AS (SELECT wid, k, ws[k] AS x FROM (SELECT wid, ws, unnest(range(1, l + 1)) AS k FROM win)),
+freq AS (SELECT x, count(*) AS n FROM dword GROUP BY x),
+lead AS (SELECT wid, arg_min(struct_pack(k := k, x := x), struct_pack(n := n, k := k)) AS r FROM slot JOIN freq USING (x) GROUP BY wid),
+cand AS (SELECT DISTINCT rid, wid, pos - lead.r.k + off AS s FROM lead JOIN dword ON dword.x = lead.r.x, (SELECT unnest([-1, 0, 1]) AS off)),
+need AS (SELECT a.wid, a.k AS i, b.k AS j, a.x, (SELECT count(*) FROM slot c WHERE c.wid = a.wid AND c.x = a.x AND c.k BETWEEN a.k AND b.k) AS many
+  FROM slot a JOIN slot b ON a.wid = b.wid AND a.x = b.x AND a.k <= b.k),
+held AS (SELECT cand.rid, cand.wid, cand.s, need.i, need.j FROM cand JOIN need USING (wid) JOIN dword ON dword.rid = cand.rid AND dword.x = need.x AND dword.pos BETWEEN cand.s + need.i - 1 AND cand.s + need.j + 1
+  GROUP BY cand.rid, cand.wid, cand.s, need.i, need.j, need.many HAVING count(*) >= need.many),
+near AS (SELECT DISTINCT rid, wid FROM (SELECT rid, wid, s, count(*) AS n FROM held GROUP BY rid, wid, s) JOIN (SELECT wid, count(*) AS n FROM need GROUP BY wid) t USING (wid, n)),
+ni AS (SELECT rid, count(DISTINCT bw.item_id) AS n FROM near JOIN win USING (wid) JOIN bw ON bw.l = win.l AND bw.g = win.g GROUP BY rid)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(nh.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(it.s, '')) AS items_sha256, coalesce(nh.n, 0) > 0 AS contaminated, coalesce(ni.n, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN nh ON nh.rid = d.rid LEFT JOIN it ON it.rid = d.rid LEFT JOIN ni ON ni.rid = d.rid
 """
