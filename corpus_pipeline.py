@@ -26,8 +26,7 @@ from tremor.llm.workspace import documents, stored
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_fm.fit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = quality_fm.scored(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
-    return score.where("score >= 0.5").select("_row.*")
+    return quality_fm.scored(docs, model).where("score >= 0.5").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

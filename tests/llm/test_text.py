@@ -647,7 +647,9 @@ def test_classes_are_told_apart_by_their_votes():
 def test_factorisation_identity():
     r = np.random.default_rng(8)
     model = 0.3, r.normal(size=quality_fm.N_FEATURES), r.normal(size=(quality_fm.N_FEATURES, quality_fm.RANK))
-    ids, x = quality_fm.features(bytes_of("Some words, some MORE words!"))
+    ids, x = quality_fm.features(bytes_of("Some words, some MORE words!"), 28)
+    assert ids[-2:].tolist() == [quality_fm.N_FEATURES - quality_fm.N_META + k for k in (3, quality_fm.BINS + 1)]
+    assert quality_fm.metadata(bytes_of("é"), 1)[1] < quality_fm.metadata(bytes_of("é"), 2)[1] < quality_fm.metadata(bytes_of("é"), 0)[1]
     pairs = sum(model[2][ids[i]] @ model[2][ids[j]] * x[i] * x[j] for i in range(len(ids)) for j in range(i))
     got = quality_fm.margins(model, np.array([0, len(ids)]), ids, x)[0][0]
     assert got == pytest.approx(0.3 + model[1][ids] @ x + pairs)
@@ -668,7 +670,7 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(1, 1, 0), (10, 1, 0), (13, 0, None), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     out = quality_fm.quality(odd, labels).collect()
     assert len(out) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
-    assert {r.score for r in quality_fm.quality(odd, labels.where("false")).collect()} != set() and quality_fm.quality(none, labels).count() == 0
+    assert {r.score for r in quality_fm.quality(odd, labels.where("false")).collect()} == {0.5} and quality_fm.quality(none, labels).count() == 0
 
 
 def test_variety_at_every_length(spark):

@@ -151,7 +151,8 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
     if not labels:
         return {"labels": [], "w": w, "trans": trans}
     order = np.random.default_rng(seed).permutation(len(texts))
-    u8, starts, ends, hashes, n = _words([np.frombuffer(texts[i].lower().encode(), np.uint8) for i in order])
+    lower = pc.utf8_lower(pa.array(texts, pa.string())).to_pylist()  # as texts are scored
+    u8, starts, ends, hashes, n = _words([np.frombuffer(lower[i].encode(), np.uint8) for i in order])
     y = np.repeat(np.array([labels.index(langs[i]) for i in order]), n)
     lengths = np.array([x.sum() for x in np.array_split(n, max(1, len(n) // STRING))])
     lattice = Lattice(lengths)

@@ -1,22 +1,24 @@
 """Quality classifier: a factorisation machine (operator 10).
 
-Features of a text: hashed words and word shapes, each with its share of the words as value,
-and structure statistics (cut into bins, value 1): length, symbol, digit, upper-case, pipe and
-punctuation shares, word length, repeated words and lines. The score is
+Features of a text: hashed words and word shapes, each with its share of the words as value;
+structure statistics (cut into bins, value 1): length, symbol, digit, upper-case, pipe and
+punctuation shares, word length, repeated words and lines; and metadata (bins, value 1): the declared
+number of characters ``n_chars`` and whether it is missing, right, too small or too large. The score is
 w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2), in linear time.
 It is trained with numpy (Adam, log loss) on at most ``TRAIN_ROWS`` labelled rows, those with
-the smallest hash of their id; every text is scored whole.
+the smallest hash of their id, as features that the executors have made; every text is scored whole.
 
-Edge cases: null and empty texts have only structure features and get a score; a null doc_id
+Edge cases: null and empty texts have only structure and metadata features and get a score; a null doc_id
 counts as not held out and is never trained on; rows with a null label are not trained on; a label table
-without rows gives the score 0.5 to all; if a doc_id repeats in either table each pair of rows counts;
-extra columns are ignored.
+without rows gives the score 0.5 to all; if a doc_id repeats in either table, each different label of it is
+trained on once, with the least of its texts; without a column n_chars it counts as missing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -35,10 +37,19 @@ _CLASS[91:97] = 4
 _CLASS[123:128] = 4
 _CLASS[48:58] = 3
 N_STAT = 12
-N_FEATURES = 2 * N_WORD + N_STAT * BINS
+N_META = BINS + 4
+N_FEATURES = 2 * N_WORD + N_STAT * BINS + N_META
 
 
-def features(u8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def metadata(u8: np.ndarray, declared: int | None) -> list[int]:
+    """Slots of the declared length: its magnitude, and how it compares with the text."""
+    if declared is None:
+        return [BINS]
+    size = int(np.count_nonzero((u8 & 0xC0) != 0x80))
+    return [min(max(declared, 0).bit_length() * 2 // 3, BINS - 1), BINS + 1 + (declared > size) + 2 * (declared < size)]
+
+
+def features(u8: np.ndarray, declared: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature ids and their values."""
     starts, ends = T.spans(u8, T.SPACED)
     n, size = len(starts), max(len(u8), 1)
@@ -55,8 +66,9 @@ def features(u8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         1 - len(np.unique(tri)) / len(tri) if len(tri) else 0, np.log1p(len(lines)) / 6,
     ])
     bins = np.minimum(np.ceil(np.maximum(stats, 0) * (BINS - 1)).astype(np.int64), BINS - 1)
-    ids = np.concatenate([uniq, 2 * N_WORD + np.arange(N_STAT) * BINS + bins])
-    return ids, np.concatenate([np.sqrt(times / max(n, 1)), np.ones(N_STAT)])
+    meta = 2 * N_WORD + N_STAT * BINS + np.array(metadata(u8, declared))
+    ids = np.concatenate([uniq, 2 * N_WORD + np.arange(N_STAT) * BINS + bins, meta])
+    return ids, np.concatenate([np.sqrt(times / max(n, 1)), np.ones(N_STAT + len(meta))])
 
 
 def _shape(u8: np.ndarray) -> np.ndarray:
@@ -65,12 +77,6 @@ def _shape(u8: np.ndarray) -> np.ndarray:
     return np.where(kind == 4, u8, kind)
 
 
-def _csr(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = [features(u8) for u8 in texts]
-    ptr = np.cumsum([0, *(len(r[0]) for r in rows)])
-    return ptr, np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-
-
 def margins(model, ptr: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The margin of each row, and its sums of v x."""
     w0, w, v = model
@@ -80,13 +86,12 @@ def margins(model, ptr: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.
     return w0 + np.add.reduceat(w[ids] * x, ptr[:-1]) + 0.5 * (s1 * s1 - s2).sum(axis=1), s1
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7):
-    """(w0, w, v) by Adam on the mean log loss with weight decay."""
+def train(ptr: np.ndarray, ids: np.ndarray, x: np.ndarray, labels: list[int], seed: int = 7):
+    """(w0, w, v) by Adam on the mean log loss with weight decay; row k has the features from ``ptr[k]`` on."""
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(N_FEATURES), rng.normal(0, 0.02, (N_FEATURES, RANK))
-    if not texts:
-        return w0, w, v
-    ptr, ids, x = _csr(np.frombuffer((t or "").encode(), np.uint8) for t in texts)
+    if not len(labels):
+        return w0, w, np.zeros_like(v)
     y = np.array(labels, float)
     flat = np.concatenate([[w0], w, v.ravel()])
     m, s, step, size = np.zeros_like(flat), np.zeros_like(flat), 0, 256
@@ -121,9 +126,28 @@ def fit(docs: DataFrame, labels: DataFrame):
     """Train on the labelled rows outside the held-out third, at most ``TRAIN_ROWS`` of them."""
     marked = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).where(~held_out(F.col("id")))
     chosen = marked.orderBy(F.xxhash64("id", "y"), "id", "y").limit(TRAIN_ROWS)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas()
-    rows = rows.sort_values(["id", "y"], kind="stable")
-    return train(rows["text"].tolist(), rows["y"].tolist())
+    rows = docs.select(F.col("doc_id").alias("id"), "text", _declared(docs)).join(F.broadcast(chosen), "id")  # TRAIN_ROWS short rows
+    one = rows.groupBy("id", "y").agg(F.min(F.struct("text", "declared")).alias("r")).select(F.col("id").cast("long").alias("id"), "y", "r.*")
+    got = one.mapInArrow(_featured, "id long, y int, ids array<int>, x array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+    lists = [got[c].combine_chunks() for c in ("ids", "x")]
+    ids, x = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+    ptr = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return train(ptr, ids.astype(np.int64), x.astype(float), got["y"].to_pylist())
+
+
+def _declared(docs: DataFrame) -> Column:
+    """The n_chars of ``docs``, where there is such a column."""
+    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("declared")
+
+
+def _featured(batches):
+    for batch in batches:
+        declared = batch.column(batch.schema.get_field_index("declared")).to_pylist()
+        rows = [features(u8, d) for u8, d in zip(T.texts(batch), declared, strict=True)]
+        ends = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]), pa.int32())
+        flat = [np.concatenate([r[k] for r in rows]) if rows else np.empty(0) for k in (0, 1)]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(f.astype(t))) for f, t in zip(flat, (np.int32, np.float32), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "y")), *lists], names=["id", "y", "ids", "x"])
 
 
 def _scored(model):
@@ -131,26 +155,30 @@ def _scored(model):
         w0, w, v = model.value
         for batch in batches:
             out = []
-            for u8 in T.texts(batch):
-                ids, x = features(u8)
+            declared = batch.column(batch.schema.get_field_index("declared")).to_pylist()
+            for u8, d in zip(T.texts(batch), declared, strict=True):
+                ids, x = features(u8, d)
                 vx = v[ids] * x[:, None]
                 s1 = vx.sum(axis=0)
                 out.append(w0 + (w[ids] * x).sum() + 0.5 * (s1 @ s1 - (vx * vx).sum()))
             score = 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(score, pa.float64())], names=["row", "score"])
 
     return run
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
-    """``docs`` and the score of each row."""
+    """(row, score): every row of ``docs`` and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scored(shared), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, "text", _declared(docs))
+    return rows.mapInArrow(_scored(shared), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
-    out = scored(docs.select("doc_id", "text"), fit(docs, labels))
+    needed = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    out = scored(docs.select(needed), fit(docs, labels)).select("row.doc_id", "score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
