@@ -12,44 +12,52 @@ written as Parquet and read again for the next one. All but the last return the
 5. packing: the pieces of sequences of at most 2048 tokens.
 
 Null and empty texts: scored by the first stage, kept by 2 to 4, packed as their closing id. Empty
-tables give empty tables. Extra columns pass through stages 1 to 4.
+tables give empty tables. Extra columns of any name and type pass through stages 1 to 4, but for one
+named ``_pii_spans``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tremor.llm import decontaminate, near_dedup, packing, pii, quality_fm
 from tremor.llm.workspace import documents, stored
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_fm.fit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_fm.scored(docs, model).where("score >= 0.5").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    blank = (F.trim(F.coalesce("text", F.lit(""))) == "").alias("_blank")
-    first = F.min(F.struct(blank, "text", *(c for c in rest if c != "text"))).alias("_row")
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "_row.*")
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = near_dedup.near_duplicates(docs).where("doc_id is not null")
+    ids = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "ids")
+    alone = docs.join(ids.where("not kept or n > 1").select("doc_id"), "doc_id", "left_anti")  # rows with a null id among them
+    again = docs.join(ids.where("kept and n > 1").select("doc_id"), "doc_id", "left_semi")
+    row = F.struct(*_columns(docs))
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    folded = again.groupBy("doc_id").agg(F.min_by(row, F.struct(blank, "text", F.to_json(row))).alias("row")).select("row.*")
+    return alone.select(_columns(docs)).unionByName(folded)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    key = F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("key")
     found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return docs.join(bad, key == F.col("_key"), "left_anti")
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return docs.select(key, F.struct(*_columns(docs)).alias("row")).join(bad, "key", "left_anti").select("row.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = pii.find(docs).withColumn("text", pii.redacted(F.col("text"), F.col("_pii_spans"))).drop("_pii_spans")
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.select(docs.columns)
+    if "n_chars" in docs.columns and isinstance(kind := docs.schema["n_chars"].dataType, NumericType):
+        clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return clean.select(_columns(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

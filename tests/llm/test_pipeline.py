@@ -43,3 +43,17 @@ def test_odd_rows_pass_every_stage(spark, odd, none):
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15] and sum(r.doc_id is None for r in kept) == 2
     assert pipeline.decontaminate_stage(spark, odd, DATA).count() == odd.count()
     assert pipeline.packing_stage(spark, none, DATA).count() == 0
+
+
+def test_any_other_column_passes_every_stage(spark):
+    text = "Some words of a plain text, and mail a@b.org, that no rule of any stage could drop. " * 3
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (None, text)], "doc_id long, text string")
+    others = ["map('k', doc_id) AS w", "array(map(1, 2)) AS prior", "7 AS _key", "8 AS key", "9 AS row", "10 AS `a.b`", "11 AS _row", "12 AS n", "13 AS kept", "14 AS spans", "15 AS score", "16 AS declared", "'x' AS n_chars", "1 AS b", "2 AS salt"]
+    df = df.selectExpr("*", *others)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, df, DATA)
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert all(r["a.b"] == 10 and r.key == 8 and r.n == 12 for r in rows), name
+        assert len(rows) == (3 if name == "near_dedup" else len(rows)), name
+    assert pipeline.packing_stage(spark, df, DATA).where("start = 0").count() == 4

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents, stored
 
-SYMBOLS, CHUNKS, MAX_DISTANCE, BUCKET, SALT, ORDER_BITS = 56, 14, 27, 64, 64, 20
+SYMBOLS, CHUNKS, MAX_DISTANCE, BUCKET, SALT, SPREAD, ORDER_BITS = 56, 14, 27, 64, 64, 16, 20
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * T.U64(2) + T.U64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -90,9 +90,14 @@ def _keys(sig: Column) -> Column:
 
 
 def _close(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Of ``pairs(a, bs)``, the single pairs (a, b) whose signatures are near enough."""
-    both = pairs.join(sig.toDF("a", "sa"), "a").select("a", "sa", F.explode("bs").alias("b")).join(sig.toDF("b", "sb"), "b")
-    return stored(both.where(distance(F.col("sa"), F.col("sb")) <= MAX_DISTANCE).select("a", "b"), "close")
+    """Of ``pairs(a, bs, salts)``, the single pairs (a, b, salts) whose signatures are near enough."""
+    both = pairs.join(sig.toDF("a", "sa"), "a").select("a", "sa", "salts", F.explode("bs").alias("b")).join(sig.toDF("b", "sb"), "b")
+    return stored(both.where(distance(F.col("sa"), F.col("sb")) <= MAX_DISTANCE).select("a", "b", "salts"), "close")
+
+
+def _salts(n: Column) -> Column:
+    """Into how many parts a group of about n members is dealt: a power of two, of at most ``SALT`` members each."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / SALT, F.lit(1.0))))).cast("long")
 
 
 @contextlib.contextmanager
@@ -137,12 +142,12 @@ def _verify(batches):
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of doc_ids whose texts are similar enough. Members of a hub b are dealt
-    over salts of at most about ``SALT`` members, each with its own copy of the hub's text."""
-    n_salts = F.ceil(F.count(F.lit(1)) / F.lit(SALT)).cast("int")
-    hubs = pairs.groupBy("b").agg(n_salts.alias("salts"))
-    members = pairs.join(hubs, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("member"))
-    owners = hubs.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
+    """Pairs (a, b) of doc_ids whose texts are similar enough, of ``pairs(a, b, salts)``. Members of a hub b
+    are dealt over their salts, and every part of a hub has its own copy of the hub's text; nothing is
+    dealt by the hub alone."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    members = dealt.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), "salt", F.col("a").alias("member"))
+    owners = dealt.select("b", "salt").distinct().select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), "salt", F.lit(None).cast("long").alias("member"))
     wanted = stored(members.unionByName(owners), "wanted")
     rows = docs.select("doc_id", "text").join(wanted.where("salt >= 0"), "doc_id").select("hub", "salt", "member", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -244,15 +249,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # buckets of the index; every set against the hub of each of its buckets
     keys = reps.select("rep", _keys(F.col("sig")).alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(keys.join(hubs, "key"), "shared")
     sig = reps.select(F.col("rep").alias("id"), "sig")
-    hubs_of = shared.where("rep <> hub").groupBy("rep").agg(F.collect_set("hub").alias("hubs"))  # one hub a key at most
-    first = verified(docs, _close(hubs_of.select(F.col("rep").alias("a"), F.col("hubs").alias("bs")), sig))
+    hubs_of = shared.where("rep <> hub").groupBy("rep").agg(F.collect_set("hub").alias("bs"), F.max("n").alias("n"))  # one hub a key at most
+    first = verified(docs, _close(hubs_of.select(F.col("rep").alias("a"), "bs", _salts(F.col("n")).alias("salts")), sig))
     comp = components(first.unionByName(stored(same_id, "same")))
 
     # buckets that still hold several components
-    known = shared.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    known = shared.drop("n").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     mixed = stored(known.join(mixed, "key"), "mixed")
     small = mixed.where(F.col("n") <= BUCKET)
@@ -262,7 +267,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         pairs = pairs.union(prefix_pairs(docs, large))
     pairs = pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
-    more = verified(docs, _close(pairs.groupBy("a").agg(F.collect_set("b").alias("bs")), sig))
+    single = pairs.distinct().select("a", F.array("b").alias("bs"), F.lit(SPREAD).cast("long").alias("salts"))
+    more = verified(docs, _close(single, sig))
     named = reps.select("rep").distinct().join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     if not more.isEmpty():  # links between components
         named = stored(named, "named")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, NumericType, StructField, StructType
 
 from tremor.llm import textops as T
 from tremor.llm.workspace import documents
@@ -136,8 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame):
 
 
 def _declared(docs: DataFrame) -> Column:
-    """The n_chars of ``docs``, where there is such a column."""
-    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("declared")
+    """The n_chars of ``docs``, where there is such a column of numbers."""
+    number = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, NumericType)
+    return (F.col("n_chars").cast("long") if number else F.lit(None).cast("long")).alias("declared")
 
 
 def _featured(batches):
