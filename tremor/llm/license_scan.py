@@ -27,6 +27,7 @@ from tremor.llm.workspace import documents
 
 RARE, SLACK, COVER = 5, 4, 0.5
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]++"
 #: Fixed base phrases: label, words, the word to look up.
 BASE = [("mit", "under the mit license", "license"), ("apache-2", "apache license version 2", "apache"), ("cc-by-nc", "cc by nc", "nc")]
 #: Label, notice, mandatory key phrases. The wording is that of the public licence texts.
@@ -101,8 +102,11 @@ def lowered(w: Column) -> Column:
     return F.transform(w, lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def _guard(text: Column, some: list[str]) -> Column:
-    return F.regexp_like(text, F.lit("(?i)(?:" + "|".join(some) + ")"))
+def _guard(text: Column) -> Column:
+    """Whether a text may hold a base phrase or all key phrases of some template: it has the words of the
+    first of them one after the other. Few texts do, and no other can get a label."""
+    phrases = sorted({p for _, p, _ in BASE} | {keys[0] for _, _, keys in TEMPLATES})
+    return F.regexp_like(text, F.lit("(?i)(?:" + "|".join(p.replace(" ", GAP) for p in phrases) + ")"))
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -150,12 +154,9 @@ def scan(docs: DataFrame) -> DataFrame:
     total, df = frequencies(docs.select("text"), VOCABULARY)
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in VOCABULARY}
     by_rank = sorted(idf, key=lambda w: (-idf[w], w))
-    looked = {b[2] for b in BASE}
-    for _, notice, _ in TEMPLATES:  # a file without the rarest words of any template has none
-        looked |= set(sorted(set(notice.split()), key=by_rank.index)[:RARE])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("_lic"), words(F.col("text")).alias("raw"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("_lic", F.size("raw").cast("long").alias("n_words"), F.when(_guard(F.col("text"), sorted(looked)), lowered(F.col("raw"))).otherwise(F.array().cast("array<string>")).alias("w"))
+    rows = rows.select("_lic", F.size("raw").cast("long").alias("n_words"), F.when(_guard(F.col("text")), lowered(F.col("raw"))).otherwise(F.array().cast("array<string>")).alias("w"))
     w = F.col("w")
     hit = F.filter(F.transform(w, lambda x, i: F.when(x.isin(by_rank), F.struct((F.array_position(F.array(*map(F.lit, by_rank)), x) - 1).cast("int").alias("r"), i.alias("i")))), lambda x: x.isNotNull())
     rows = rows.withColumn("hits", hit).withColumn("own", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["r"]))))
