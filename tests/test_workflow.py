@@ -78,3 +78,37 @@ def test_module_changes_see_everything(spark):
         assert [(r.commit, r.qualname) for r in got] == [("c1", "z.late")]
     text = spark.range(1).select(workflow._pieces(workflow.F.lit(diff + "y" * 50), 20).alias("p")).first().p
     assert "".join(text) == diff + "y" * 50 and max(map(len, text)) <= 20
+
+
+def speak(prompt):
+    """A generator that tells which prompt it was given."""
+    kind = "diff" if "Before:" in prompt and "return a + 1" in prompt and "return a\n" in prompt else "impact"
+    return f"[DOCSTRING]Spoken {kind}. a b x[/DOCSTRING][ANALYSIS]calls[/ANALYSIS]"
+
+
+def test_generator_from_the_command_line(spark, repo, tmp_path):
+    main(["run", "--repo", repo, "--out", str(tmp_path), "--n", "1", "--mode", "llm", "--generator", "test_workflow:speak"], spark)
+    patch = "\n".join(r.value for r in spark.read.text(str(tmp_path / "patch")).collect())
+    assert "Spoken diff." in patch and "Spoken impact." in patch  # the changed function is shown before and after
+    with pytest.raises(SystemExit):
+        main(["run", "--repo", repo, "--out", str(tmp_path), "--n", "1", "--mode", "llm"], spark)
+
+
+def test_zero_hops_and_a_batch_that_starts_anew(spark, repo, tmp_path):
+    main(["propagate", "--repo", repo, "--out", str(tmp_path / "p"), "--n", "1", "--max-hops", "0"], spark)
+    assert [r.qualname for r in spark.read.option("multiLine", True).json(str(tmp_path / "p")).collect()] == ["pkg.b.low"]
+    batch = ["batch", "--repo", repo, "--out", str(tmp_path / "b"), "--n", "1"]
+    main([*batch, "--resume"], spark)  # nothing to resume from
+    main([*batch, "--resume"], spark)  # nothing left to do
+    assert spark.read.json(str(tmp_path / "b" / "summary.jsonl")).count() == 1
+    main(batch, spark)
+    assert spark.read.json(str(tmp_path / "b" / "summary.jsonl")).count() == 1
+
+
+def test_style_is_sampled_in_each_commit(spark):
+    from tremor.operators import style
+
+    files = spark.range(60).selectExpr("concat('c', id) AS commit").crossJoin(spark.range(80).selectExpr("concat('f', id, '.py') AS path"))
+    defs = files.selectExpr("commit", "path", "'Do it.\\n\\nArgs:\\n    a: x' AS docstring")
+    got = style.docstring_corpus(files, defs).groupBy("commit").count().collect()
+    assert len(got) == 60 and {r["count"] for r in got} == {50}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--exact", action="store_true", help="match names exactly")
         c.add_argument("--snapshot", default="commit", choices=["commit", "worktree"])
         c.add_argument("--resume", action="store_true")
+        c.add_argument("--generator", help="module:function from a prompt to an answer, for --mode llm")
     return p
 
 
@@ -43,13 +45,24 @@ def options_of(a: argparse.Namespace) -> workflow.Options:
     typed = None
     if a.mode == "typed":
         base = propagate.preset(a.ablation)
-        typed = propagate.Config(base.weights, a.gamma or base.gamma, base.threshold if a.threshold is None else a.threshold, a.max_hops or base.max_hops)
+        typed = propagate.Config(base.weights, base.gamma if a.gamma is None else a.gamma, base.threshold if a.threshold is None else a.threshold, base.max_hops if a.max_hops is None else a.max_hops)
     mode = "llm" if a.mode == "llm" else "template"
-    return workflow.Options(mode, a.max_hops or 2, a.parser_level, a.seed_scope, a.limit_targets, a.style, direction=a.direction, fuzzy=not a.exact, typed=typed, snapshot=a.snapshot)
+    return workflow.Options(mode, 2 if a.max_hops is None else a.max_hops, a.parser_level, a.seed_scope, a.limit_targets, a.style, direction=a.direction, fuzzy=not a.exact, typed=typed, snapshot=a.snapshot)
+
+
+def generator_of(a: argparse.Namespace):
+    """The callable that ``--generator`` names; modes that need one fail without it."""
+    if a.generator:
+        module, _, name = a.generator.partition(":")
+        return getattr(importlib.import_module(module), name)
+    if a.mode in ("llm", "both"):
+        raise SystemExit(f"--mode {a.mode} needs --generator module:function")
+    return None
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
+    generator = generator_of(a)
     spark = spark or SparkSession.builder.appName("tremor").getOrCreate()
     commits = [a.commit] if a.commit else [r.commit for r in documents.commit_list(spark, a.commits_file).orderBy("ord").collect()][: a.n] if a.commits_file else None
     n = None if commits else a.n or (1 if a.command == "run" else 200)
@@ -60,7 +73,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         found = workflow.run(spark, a.repo, commits, n, options_of(a))["impacted"]
         sinks.json_documents(found, a.out)
     elif a.command == "run":
-        tables = workflow.run(spark, a.repo, commits, n, options_of(a))
+        tables = workflow.run(spark, a.repo, commits, n, options_of(a), generator)
         for name, df in tables.items():
             sinks.table(df, f"{a.out}/{name}")
         sinks.text(tables["patches"], "patch", f"{a.out}/patch")
@@ -68,11 +81,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "batch":
         listed = workflow.commits_of(spark, a.repo, commits, n)
         log = f"{a.out}/summary.jsonl"
-        done = documents.resume_rows(spark, log) if a.resume else None
+        done = documents.resume_rows(spark, log) if a.resume and sinks.exists(spark, log) else None
+        if done is None:
+            sinks.remove(spark, log)
         modes = ["template", "llm"] if a.mode == "both" else [a.mode]
-        rolled = workflow.run_batch(spark, a.repo, listed, modes, log, options_of(a), done=done)
+        rolled = workflow.run_batch(spark, a.repo, listed, modes, log, options_of(a), generator, done)
         sinks.json_documents(batch_ops.prefixed(rolled, modes), f"{a.out}/aggregate")
-        sinks.csv_summary([spark.read.json(log)], f"{a.out}/summary.csv")
+        if sinks.exists(spark, log):
+            sinks.csv_summary([spark.read.json(log)], f"{a.out}/summary.csv")
     else:
         tables = workflow.run(spark, a.repo, commits, n, options_of(a))
         docs = tables["targets"].where("not has_docstring").select("commit", "qualname", F.concat(F.lit("TODO: docstring\n\nArgs:\n"), F.array_join(F.transform("params", lambda p: F.concat(F.lit("    "), p, F.lit(":"))), "\n")).alias("docstring"), "params")

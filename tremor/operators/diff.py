@@ -25,7 +25,7 @@ def parse_hunks(diffs: DataFrame, keys: list[str], naive_headers: bool = False)
     header = F.lit(True) if naive_headers else F.col("last_mark") == "file"
 
     def path_of(prefix: str, side: str):
-        raw = F.regexp_replace(F.substring("line", 5, 100000), r"\t.*$", "")
+        raw = F.regexp_replace(F.expr("substring(line, 5)"), r"\t.*$", "")
         name = F.when(raw == "/dev/null", F.lit("")).otherwise(F.regexp_replace(raw, f"^{side}/", ""))
         return F.when(header & F.startswith("line", F.lit(prefix)), name)
 

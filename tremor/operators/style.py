@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import names as N
+from tremor.operators.spans import top_per_key
 
 #: Fixed section patterns of each style.
 PATTERNS = {
@@ -53,7 +54,8 @@ def winner(counted: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
 
 
 def docstring_corpus(files: DataFrame, defs: DataFrame, max_files: int = 50, seed: int = 42) -> DataFrame:
-    """Docstrings over 20 characters of a fixed sample of non-test files: those of least hash."""
+    """Docstrings over 20 characters of a fixed sample of non-test files: in each commit, those of least hash."""
     skipped = F.regexp_like("path", F.lit(r"(^|/)(venv|env|build|dist)/"))
-    chosen = files.where(~N.is_test_path(F.col("path")) & ~skipped).select("commit", "path").distinct().orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(max_files)
+    listed = files.where(~N.is_test_path(F.col("path")) & ~skipped).select("commit", "path").distinct()
+    chosen = top_per_key(listed, ["commit"], [F.xxhash64("path", F.lit(seed)), "path"], max_files)
     return defs.join(chosen, ["commit", "path"], "left_semi").where(F.length("docstring") > 20).select("commit", "path", "docstring")

@@ -495,3 +495,179 @@ def patch_apply(spark, sf):
 def unified_diff_text(spark, sf):
     edits = spark.createDataFrame([("c1", "pkg/a.py", "pkg.a.late", ['"""Late."""'])], "commit string, path string, qualname string, docstring_lines array<string>")
     return patch.patch_text(patch.apply_patches(lit_files(spark), edits))
+
+
+FILE_SQL = "SELECT page_id, replace('r\\' || " + PATH_SQL + ", '/', '\\') || CASE page_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '\\' ELSE '.txt' END AS path FROM pages"
+
+
+@query(f"""SELECT page_id, replace(path, '\\', '/') AS slashed, coalesce(nullif(string_split(rtrim(replace(path, '\\', '/'), '/'), '/')[-1], ''), 'repo') AS repo, string_split(replace(path, '\\', '/'), '/')[-1] AS base,
+ ends_with(path, '.py') AS python FROM ({FILE_SQL})""")
+def path_names(spark, sf):
+    raw = F.regexp_replace(F.regexp_replace(F.regexp_extract("url", "://[^/?#]+/([^?#]*)", 1), "/$", ""), "[^A-Za-z0-9/_]", "_")
+    end = F.when(F.col("page_id") % 3 == 0, ".py").when(F.col("page_id") % 3 == 1, "\\").otherwise(".txt")
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.replace(F.concat(F.lit("r\\"), raw), F.lit("/"), F.lit("\\")), end).alias("path"))
+    path = F.col("path")
+    return p.select("page_id", N.slashed(path).alias("slashed"), N.repo_name(path).alias("repo"), N.basename(path).alias("base"), N.is_python(path).alias("python"))
+
+
+@query("""WITH s AS (SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 5 = 0 THEN '' ELSE 'u' || user_id END AS qualname, CASE WHEN event_type = 'error' THEN 'test_change' ELSE 'code_change' END AS seed_type FROM events)
+SELECT 'code_only' AS scope, count(*)::BIGINT AS n, min(event_id) AS least FROM s WHERE qualname <> '' AND seed_type = 'code_change' UNION ALL SELECT 'all', count(*), min(event_id) FROM s WHERE qualname <> ''""")
+def seed_scope(spark, sf):
+    from tremor.operators.seeds import in_scope
+
+    u = F.col("user_id")
+    name = F.when(u % 7 == 0, None).when(u % 5 == 0, "").otherwise(F.concat(F.lit("u"), u))
+    s = table(spark, sf, "events").select("event_id", name.alias("qualname"), F.when(F.col("event_type") == "error", "test_change").otherwise("code_change").alias("seed_type"))
+    one = lambda scope: in_scope(s, scope).agg(F.lit(scope).alias("scope"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least"))
+    return one("code_only").unionByName(one("all"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, repeat(' ', length(line) % 4) || repeat(chr(9), length(line) % 2) AS indent, line FROM l)
+SELECT doc_id, count(*)::BIGINT AS n, sum(length(regexp_extract(indent || line, '^([ \t]*)', 1)))::BIGINT AS indent FROM k GROUP BY 1""")
+def line_indents(spark, sf):
+    n = F.length("line")
+    k = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    k = k.withColumn("line", F.concat(F.repeat(F.lit(" "), n % 4), F.repeat(F.lit("\t"), n % 2), "line"))
+    return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(N.indent_of(F.col("line")))).alias("indent"))
+
+
+@query("""SELECT p_partkey, '{' || p_size || '} {x} ' || '{kind}' || p_name || ' is ' || p_type || '; ' || CASE p_size % 3 WHEN 0 THEN 'NumPy style with underlined sections' WHEN 1 THEN 'Sphinx style with field lists' ELSE 'Google style with indented sections' END AS text FROM part""")
+def template_render(spark, sf):
+    p = table(spark, sf, "part")
+    style_name = F.when(F.col("p_size") % 3 == 0, "numpy").when(F.col("p_size") % 3 == 1, "sphinx").otherwise("plain")
+    text = N.render("{{{size}}} {{x}} {name} is {kind}; {style}", size=F.col("p_size"), name=F.concat(F.lit("{kind}"), "p_name"), kind=F.col("p_type"), style=N.style_description(style_name))
+    return p.select("p_partkey", text.alias("text"))
+
+
+@query(f"WITH RECURSIVE {bfs_sql(2)} SELECT b.q AS qualname, hop::BIGINT AS hop, round(power(0.51, hop), 6) AS score FROM b ORDER BY power(0.51, hop) DESC, hop, b.q LIMIT 25")
+def impact_ranked(spark, sf):
+    out = propagate.ranked(propagate.impact_typed(edges(spark, sf), seeds(spark, "p1"), propagate.Config(max_hops=2))).limit(25)
+    return out.select("qualname", F.col("hop").cast("long").alias("hop"), F.round("score", 6).alias("score"))
+
+
+MIXED_SQL = """e AS (SELECT DISTINCT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee, CASE l_suppkey % 4 WHEN 0 THEN 'CALLED_BY' WHEN 1 THEN 'DATA_DEP' WHEN 2 THEN 'EXPOSES_CLI' ELSE 'unheard_of' END AS t FROM lineitem
+ UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey, CASE l_partkey % 3 WHEN 0 THEN 'OVERRIDES' WHEN 1 THEN 'DEFINES' ELSE 'DOCS' END FROM lineitem),
+w AS (SELECT caller, callee, t, 0.85 * CASE t WHEN 'CALLED_BY' THEN 0.6 WHEN 'DATA_DEP' THEN 0.8 WHEN 'EXPOSES_CLI' THEN 0.95 WHEN 'OVERRIDES' THEN 0.7 WHEN 'DOCS' THEN 0.85 ELSE 0.5 END AS f FROM e)"""
+
+
+def mixed(spark, sf):
+    k, p = F.col("l_suppkey") % 4, F.col("l_partkey") % 3
+    up = F.when(k == 0, "CALLED_BY").when(k == 1, "DATA_DEP").when(k == 2, "EXPOSES_CLI").otherwise("unheard_of")
+    down = F.when(p == 0, "OVERRIDES").when(p == 1, "DEFINES").otherwise("DOCS")
+    s, q = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
+    rows = table(spark, sf, "lineitem").select(F.explode(F.array(F.struct(s.alias("caller"), q.alias("callee"), up.alias("edge_type")), F.struct(q.alias("caller"), s.alias("callee"), down.alias("edge_type")))).alias("e"))
+    return rows.select("e.*").distinct()
+
+
+@query(f"""WITH {MIXED_SQL}, h1 AS (SELECT caller AS q, max(f) AS s FROM w WHERE callee = 'p1' GROUP BY 1), h2 AS (SELECT caller AS q, max(h1.s * f) AS s FROM w JOIN h1 ON h1.q = w.callee GROUP BY 1),
+h3 AS (SELECT caller AS q, max(h2.s * f) AS s FROM w JOIN h2 ON h2.q = w.callee GROUP BY 1), a AS (SELECT 'p1' AS q, 1.0 AS s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)
+SELECT q AS qualname, round(max(s) * 1e8)::BIGINT AS score FROM a GROUP BY 1""")
+def impact_mixed_types(spark, sf):
+    return propagate.impact_typed(mixed(spark, sf), seeds(spark, "p1"), propagate.Config(max_hops=3)).select("qualname", F.round(F.col("score") * 1e8).cast("long").alias("score"))
+
+
+@query(f"""WITH {MIXED_SQL}, h1 AS (SELECT caller AS q, max(f) AS s, arg_min(t, (-f, t)) AS t FROM w WHERE callee = 'p1' GROUP BY 1)
+SELECT t AS edge_type, count(*)::BIGINT AS n FROM h1 GROUP BY 1""")
+def edge_types_mixed(spark, sf):
+    return propagate.edge_type_histogram(propagate.impact_typed(mixed(spark, sf), seeds(spark, "p1"), propagate.Config(max_hops=1)))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, turn % 4 AS k FROM conversations)
+SELECT conv_id, turn, role, md5(coalesce(t, '')) AS cleaned, repeat(chr(34), 3) || CASE WHEN k = 3 OR coalesce(t, '') = '' THEN 'TODO: docstring' ELSE t || chr(10) END || repeat(chr(34), 3) AS lines FROM c""")
+def answers_cleaned(spark, sf):
+    quotes = '"""'
+    k = F.col("turn") % 4
+    raw = F.when(k == 0, F.concat(F.lit("```python\n"), "text", F.lit("\n```"))).when(k == 1, F.concat(F.lit(quotes), "text", F.lit(quotes))).otherwise(F.concat(F.lit("<think>a plan</think> "), "text"))
+    c = table(spark, sf, "conversations").withColumn("raw", F.coalesce(raw, F.lit("")))
+    lines = generate.with_fallback(F.when(k == 3, "").otherwise(F.col("raw")), N.placeholder_docstring(F.array().cast("array<string>")))
+    return c.select("conv_id", "turn", "role", F.md5(generate.clean_answer(F.col("raw"))).alias("cleaned"), F.array_join(lines, "\n").alias("lines"))
+
+
+@query(f"""WITH RECURSIVE {bfs_sql(1)}, named AS (SELECT DISTINCT 'p' || p_partkey AS q FROM part WHERE p_partkey <= 40)
+SELECT q AS qualname, hop::BIGINT AS hop, CASE WHEN hop = 0 THEN 'direct_change' ELSE 'calls_changed_function' END AS reason FROM b UNION ALL SELECT q, 0, 'module_change' FROM named WHERE q NOT IN (SELECT q FROM b)""")
+def generated_added(spark, sf):
+    named = table(spark, sf, "part").where("p_partkey <= 40").select(F.concat(F.lit("p"), "p_partkey").alias("qualname"))
+    out = targets.add_generated(propagate.impact(edges(spark, sf), seeds(spark, "p1"), 1), named)
+    return out.select("qualname", F.col("hop").cast("long").alias("hop"), "reason")
+
+
+@query("""SELECT o_orderkey AS commit, o_orderpriority AS mode, o_totalprice > 100000 AS verifier_ok, n AS verifier_checked, n - 1 AS impacted_total FROM (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders) o
+LEFT JOIN (SELECT l_orderkey, count(*)::BIGINT AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
+def batch_run_rows(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderpriority").alias("mode"), "o_totalprice")
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("commit")).agg(F.count(F.lit(1)).alias("n"))
+    both = o.join(n, "commit", "left")
+    report = both.select("commit", "mode", (F.col("o_totalprice") > 100000).alias("ok"), F.col("n").alias("num_targets_checked"))
+    return batch.run_rows(o.select("commit", "mode"), report, both.select("commit", "mode", (F.col("n") - 1).alias("impacted_total")))
+
+
+@query("""SELECT count(*) FILTER (event_type = 'view')::BIGINT AS view_num_runs, count(*) FILTER (event_type = 'error')::BIGINT AS error_num_runs, round(avg((value > 5)::INT) FILTER (event_type = 'view'), 6) AS view_ok_rate,
+ round(avg((value > 5)::INT) FILTER (event_type = 'error'), 6) AS error_ok_rate FROM events""")
+def batch_by_mode(spark, sf):
+    p = batch.prefixed(batch.rollup(batch_rows(spark, sf), ["mode"]), ["view", "error"])
+    return p.select("view_num_runs", "error_num_runs", F.round("view_ok_rate", 6).alias("view_ok_rate"), F.round("error_ok_rate", 6).alias("error_ok_rate"))
+
+
+@query("SELECT count(*)::BIGINT AS num_runs, round(avg((value > 5)::INT), 6) AS ok_rate, round(avg(CASE WHEN value > 10 THEN value END), 6) AS avg_duration_ms, round(avg(user_id % 7), 6) AS avg_num_targets FROM events")
+def batch_overall(spark, sf):
+    r = batch.rollup(batch_rows(spark, sf))
+    return r.select("num_runs", *(F.round(c, 6).alias(c) for c in ("ok_rate", "avg_duration_ms", "avg_num_targets")))
+
+
+@query("SELECT o_custkey AS commit, bool_and(o_totalprice > 20000) AS ok, count(*)::BIGINT AS num_targets_checked FROM orders GROUP BY 1")
+def verifier_report(spark, sf):
+    return patch.report(table(spark, sf, "orders").select(F.col("o_custkey").alias("commit"), (F.col("o_totalprice") > 20000).alias("ok")))
+
+
+@query(f"""WITH {HOST_SQL}, {SUFFIX_SQL}, p AS (SELECT 'c' || (page_id % 40) AS child, page_id AS ord, regexp_extract(url, '://([^/:?#]+)', 1) AS q FROM pages),
+i AS (SELECT child, ord, CASE ord % 3 WHEN 0 THEN q WHEN 1 THEN regexp_replace(q, '^[^.]*[.]', '') ELSE 'zz.' || q END AS base FROM p),
+r AS (SELECT s AS base, arg_min(q, (len(string_split(q, '.')), q)) AS q FROM suf WHERE s NOT IN (SELECT q FROM hosts) GROUP BY s)
+SELECT child, ord, coalesce(r.q, i.base) AS base FROM i LEFT JOIN r ON r.base = i.base""")
+def base_resolution(spark, sf):
+    host, k = F.regexp_extract("url", "://([^/:?#]+)", 1), F.col("page_id") % 3
+    base = F.when(k == 0, host).when(k == 1, F.regexp_replace(host, r"^[^.]*[.]", "")).otherwise(F.concat(F.lit("zz."), host))
+    inherits = table(spark, sf, "pages").select(F.concat(F.lit("c"), F.col("page_id") % 40).alias("child"), F.col("page_id").alias("ord"), base.alias("base"))
+    return graph.resolve_bases(inherits, hosts(spark, sf))
+
+
+@query("""WITH c AS (SELECT 's' || l_suppkey AS caller, CASE l_partkey % 4 WHEN 0 THEN 'os.path' WHEN 1 THEN 'print' ELSE 'p' || l_partkey END AS callee FROM lineitem),
+e AS (SELECT DISTINCT caller, callee FROM c WHERE callee NOT IN ('os.path', 'print')), n AS (SELECT 'p' || p_partkey AS q FROM part UNION SELECT caller FROM e UNION SELECT callee FROM e)
+SELECT caller, callee, 'CALLS' AS edge_type FROM e UNION ALL SELECT q, NULL, 'node' FROM n""")
+def graph_build(spark, sf):
+    k = F.col("l_partkey") % 4
+    calls = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.when(k == 0, "os.path").when(k == 1, "print").otherwise(F.concat(F.lit("p"), "l_partkey")).alias("callee"))
+    nodes, found = graph.build(table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("qualname")), calls)
+    return found.unionByName(nodes.select(F.col("qualname").alias("caller"), F.lit(None).cast("string").alias("callee"), F.lit("node").alias("edge_type")))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS commit, count(DISTINCT l_partkey) AS n, count(DISTINCT l_partkey) FILTER (l_partkey % 2 = 0) AS py, count(DISTINCT l_suppkey) AS s, list_sort(list(DISTINCT 'q' || l_suppkey))[1] AS least FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS commit, coalesce(n, 0)::BIGINT AS num_files_in_diff, coalesce(py, 0)::BIGINT AS num_py_files_in_diff, coalesce(s, 0)::BIGINT AS num_seeds, least FROM orders LEFT JOIN f ON commit = o_orderkey""")
+def seeds_documents(spark, sf):
+    from tremor.operators.seeds import seeds_document
+
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    path = F.concat(F.lit("d/p"), "l_partkey", F.when(F.col("l_partkey") % 2 == 0, ".py").otherwise(".txt"))
+    part = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n--- x\n+y"))
+    diffs = l.groupBy(F.col("l_orderkey").alias("commit")).agg(F.array_join(F.array_sort(F.collect_list(part)), "\n").alias("diff"))
+    none = F.lit(None).cast("string")
+    found = l.select(
+        F.col("l_orderkey").alias("commit"), F.lit("d/p.py").alias("path"), F.lit("new").alias("version"), F.lit(1).alias("line"), F.lit("function").alias("kind"), F.concat(F.lit("q"), "l_suppkey").alias("qualname"),
+        F.array(F.lit(1), F.lit(2)).alias("span"), none.alias("reason"), F.lit(False).alias("is_test"), F.lit("code_change").alias("seed_type"), none.alias("new_code"), none.alias("old_code"),
+    ).distinct()
+    commits = table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), none.alias("parent"))
+    out = seeds_document(found, diffs, commits, "r")
+    return out.select("commit", "num_files_in_diff", "num_py_files_in_diff", "num_seeds", F.try_element_at("seeds", F.lit(1))["qualname"].alias("least"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(['the', '*de', '**zzz'], lambda p: NOT contains(text, p)), ',') AS missing FROM documents")
+def param_coverage_starred(spark, sf):
+    params = F.array(F.lit("the"), F.lit("*de"), F.lit("**zzz"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(patch.missing_params(F.col("text"), params, keep_stars=True), ",").alias("missing"))
+
+
+@query("SELECT role, array_to_string(list_sort(list_distinct(list('e' || turn || left(text, 3))))[1:10], '|') AS errors FROM conversations WHERE text IS NOT NULL GROUP BY role")
+def first_errors(spark, sf):
+    c = table(spark, sf, "conversations").where("text is not null")
+    zero = F.lit(0).cast("long")
+    log = c.select("role", F.lit(False).alias("ok"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"), zero.alias("latency_ms"), F.concat(F.lit("e"), "turn", F.left("text", F.lit(3))).alias("error"))
+    return generate.call_stats(log, ["role"]).select("role", F.array_join("errors", "|").alias("errors"))

@@ -52,6 +52,17 @@ def read_all(spark: SparkSession, repo: str, commits: DataFrame, snapshot: str =
     return diffs, new, old
 
 
+def prompt_diffs(spark: SparkSession, repo: str, commits: DataFrame, context: int = 3) -> DataFrame:
+    """Diffs with some lines of context, as generators get them; ``read_all`` has those without, for the line numbers."""
+    wanted = ",".join(r.commit for r in commits.select("commit").collect())  # a list the caller asked for
+    return cut(git.read(spark, repo, "diffs", commits=wanted, context=str(context)).select("commit", "diff"))
+
+
+def changed_code(seeds: DataFrame) -> DataFrame:
+    """(commit, qualname, old_code, new_code) of the changed definitions."""
+    return seeds.where("kind <> 'module'").groupBy("commit", "qualname").agg(F.max("old_code").alias("old_code"), F.max("new_code").alias("new_code"))
+
+
 def extract_seeds(spark: SparkSession, repo: str, commits: list[str]) -> DataFrame:
     """The seeds documents of commits."""
     listed = commits_of(spark, repo, commits)
@@ -61,7 +72,7 @@ def extract_seeds(spark: SparkSession, repo: str, commits: list[str]) -> DataFra
 
 def impacted_of(seeds: DataFrame, defs: DataFrame, calls: DataFrame, bases: DataFrame, files: DataFrame, options: Options) -> DataFrame:
     """Impacted names of one commit, with their classes. Names keep the seed they were matched from."""
-    own = [r[0] for r in files.select(F.element_at(F.split("path", "/"), 1).alias("top")).distinct().limit(10_000).collect()]
+    own = [r[0] for r in files.select(F.element_at(F.split("path", "/"), 1).alias("top")).distinct().collect()]  # the top level of one tree
     own = [p.removesuffix(".py") for p in own]
     nodes, edges = graph.build(defs, calls, bases if options.level > 1 else None, own)
     nodes, edges = cut(nodes), cut(edges)
@@ -123,6 +134,7 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
     seeds = cut(seed_ops.extract_seeds(diffs, new, old))
     defs, calls, bases = cut(parse.parse_defs(new)), cut(parse.parse_calls(new, options.level)), cut(parse.parse_bases(new))
     nodes = spans.last_by(defs.select("commit", "qualname", "ordinal", "kind", "path", "params", "lineno", "end_lineno", "docstring"), ["commit", "qualname"], "ordinal")
+    shown = prompt_diffs(spark, repo, listed) if generator is not None else diffs
     impacted, chosen = None, None
     for row in listed.select("commit").collect():
         mine = F.col("commit") == row.commit
@@ -134,7 +146,7 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
         picked = cut(picked).withColumn("commit", F.lit(row.commit))
         chosen = picked if chosen is None else chosen.unionByName(picked)
     if generator is not None and options.mode == "llm":
-        named = module_changes(diffs, seeds, chosen, nodes, generator, new).withColumnsRenamed({"path": "given_path"}).drop("given_path")
+        named = module_changes(shown, seeds, chosen, nodes, generator, new).withColumnsRenamed({"path": "given_path"}).drop("given_path")
         more = named.select("commit", "qualname", F.lit(0).alias("hop"), F.col("reason"), F.lit(True).alias("is_internal"))
         near = targets.candidates(more, nodes.drop("ordinal").withColumnRenamed("commit", "node_commit"), 0).where("commit = node_commit")
         chosen = cut(chosen.unionByName(near.select("commit", *[c for c in chosen.columns if c in near.columns and c != "commit"]), allowMissingColumns=True))
@@ -146,7 +158,12 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
     if generator is not None and options.mode == "llm":
         code = work.join(new.select("commit", "path", F.col("source").alias("file_text")), ["commit", "path"]).withColumn("code", N.snippet(F.col("file_text"), F.col("lineno"), F.col("end_lineno"))).drop("file_text")
         code = code.join(votes.select("commit", "style"), "commit", "left")
-        ask = lambda d: N.render(generate.prompt("docstring_impact"), qualname=d["qualname"], parent_analysis=d["parent_analysis"], code=d["code"], style=N.style_description(d["style"]))
+        code = code.join(changed_code(seeds), ["commit", "qualname"], "left")
+
+        def ask(d: DataFrame) -> Column:
+            shown = {c: d[c] for c in ("qualname", "parent_analysis", "code", "old_code", "new_code")} | {"style": N.style_description(d["style"])}
+            return F.when(F.coalesce(d["new_code"], d["old_code"]).isNotNull() & (d["hop"] == 0), N.render(generate.prompt("docstring_diff"), **shown)).otherwise(N.render(generate.prompt("docstring_impact"), **shown))
+
         work = generate.layered(code, generator, options.max_hops, ask)
         lines = generate.with_fallback(F.coalesce("answer", F.lit("")), lines)
     edits = work.select("commit", "path", "qualname", lines.alias("docstring_lines"))
@@ -165,7 +182,7 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
     rows = listed.select("commit", F.lit(options.mode).alias("mode"), F.lit(True).alias("ok"))
     for part in (counts, changed, lines_of, labels, report.select("commit", F.col("ok").alias("verifier_ok"), F.col("num_targets_checked").alias("verifier_checked")), votes.select("commit", "style")):
         rows = rows.join(part, "commit", "left")
-    pages = {"readmes": readmes(repo, diffs, chosen, generator)} if generator is not None else {}
+    pages = {"readmes": readmes(repo, shown, chosen, generator)} if generator is not None else {}
     return pages | {"commits": listed, "seeds": seeds, "impacted": impacted, "style": votes, "targets": chosen, "patched": patched, "patches": patches, "verified": checked, "report": report, "batch": cut(rows)}
 
 
@@ -173,7 +190,7 @@ def run_batch(spark: SparkSession, repo: str, commits: DataFrame, modes: list[st
     """Runs what the log does not have yet, appends it, and returns the roll-up a mode."""
     from dataclasses import replace
 
-    from tremor.sources import sinks
+    from tremor.sources import documents, sinks
 
     work = batch.work_list(commits, modes)
     todo = (batch.remaining(work, done) if done is not None else work).collect()  # a list the caller asked for
@@ -185,4 +202,6 @@ def run_batch(spark: SparkSession, repo: str, commits: DataFrame, modes: list[st
         rows = run(spark, repo, mine, options=replace(options, mode=mode), generator=generator)["batch"]
         sinks.append_log(rows, log)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], documents.BATCH_KEYS)
     return batch.rollup(out, ["mode"])
