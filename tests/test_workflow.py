@@ -112,3 +112,29 @@ def test_style_is_sampled_in_each_commit(spark):
     defs = files.selectExpr("commit", "path", "'Do it.\\n\\nArgs:\\n    a: x' AS docstring")
     got = style.docstring_corpus(files, defs).groupBy("commit").count().collect()
     assert len(got) == 60 and {r["count"] for r in got} == {50}
+
+
+def test_commits_together_are_as_each_alone(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q", "-b", "main")
+    low = "def low(a):\n    return {}\n"
+    steps = [
+        {"lib/b.py": low.format("a"), "lib/a.py": "from lib.b import low\n\n\ndef top(x):\n    return low(x)\n"},
+        {"lib/b.py": low.format("a + 1"), "queue/q.py": "from lib.b import low\n\n\ndef put(x):\n    return low(x)\n\n\ndef twice(x):\n    return put(put(x))\n"},
+        {"lib/a.py": "def top(x):\n    return x\n", "queue/q.py": "def put(x):\n    return x + 1\n\n\ndef twice(x):\n    import queue.q\n\n    return queue.q.put(x)\n"},
+        {"lib/b.py": low.format("a + 2")},
+    ]
+    ids = []
+    for files in steps:
+        for path, text in files.items():
+            (tmp_path / path).parent.mkdir(exist_ok=True)
+            (tmp_path / path).write_text(text)
+        git("add", "-A")
+        git("commit", "-qm", "step")
+        ids.append(git("rev-parse", "HEAD"))
+    rows = lambda out: {t: sorted(map(repr, out[t].collect())) for t in ("impacted", "targets", "patches", "batch")}
+    options = workflow.Options(limit_targets=2)
+    together = rows(workflow.run(spark, str(tmp_path), ids[1:], options=options))
+    alone = [rows(workflow.run(spark, str(tmp_path), [c], options=options)) for c in ids[1:]]
+    assert together == {t: sorted(r for one in alone for r in one[t]) for t in together}
+    assert len(together["batch"]) == 3 and len({len(one["impacted"]) for one in alone}) > 1

@@ -40,63 +40,66 @@ def preset(name: str) -> Config:
     raise ValueError(f"unknown preset {name}")
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str = "callers", every: int = 1) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str = "callers", every: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """(qualname, hop, source, reason): nodes that reach a seed in at most ``max_hops`` calls.
 
     ``edges(caller, callee)``, ``seeds(qualname)``. ``source`` is the least node of the hop before that
-    finds the node. ``direction`` both also walks to callees. The lineage is cut every ``every`` hops."""
-    step = edges.select(F.col("callee").alias("at"), F.col("caller").alias("next"), F.lit("calls_changed_function").alias("why"))
+    finds the node. ``direction`` both also walks to callees. The lineage is cut every ``every`` hops.
+    Both tables may have columns ``by``: all their groups are walked together and never meet."""
+    key = [*by, "qualname"]
+    step = edges.select(*by, F.col("callee").alias("qualname"), F.col("caller").alias("next"), F.lit("calls_changed_function").alias("why"))
     if direction == "both":
-        step = step.union(edges.select(F.col("caller").alias("at"), F.col("callee").alias("next"), F.lit("called_by_changed_function").alias("why")))
+        step = step.union(edges.select(*by, F.col("caller").alias("qualname"), F.col("callee").alias("next"), F.lit("called_by_changed_function").alias("why")))
     step = cut(step)  # every hop reads it
-    found = seeds.select("qualname").distinct().select("qualname", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source"), F.lit("direct_change").alias("reason"))
+    found = seeds.select(*key).distinct().select(*key, F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source"), F.lit("direct_change").alias("reason"))
     frontier = found
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(step, F.col("qualname") == F.col("at")).groupBy("next").agg(F.min(F.struct("at", "why")).alias("m"))
-        new = reached.join(found.select(F.col("qualname").alias("next")), "next", "left_anti")
-        frontier = new.select(F.col("next").alias("qualname"), F.lit(hop).alias("hop"), F.col("m.at").alias("source"), F.col("m.why").alias("reason"))
+        reached = frontier.join(step, key).groupBy(*by, "next").agg(F.min(F.struct(F.col("qualname").alias("at"), "why")).alias("m"))
+        new = reached.join(found.select(*by, F.col("qualname").alias("next")), [*by, "next"], "left_anti")
+        frontier = new.select(*by, F.col("next").alias("qualname"), F.lit(hop).alias("hop"), F.col("m.at").alias("source"), F.col("m.why").alias("reason"))
         if hop % every == 0 and hop < max_hops:
             frontier = cut(frontier)
         found = found.unionByName(frontier)
     return found
 
 
-def _typed(edges: DataFrame, seeds: DataFrame, configs: dict[str, Config], every: int = 1) -> DataFrame:
-    """All presets in one loop, keyed by (preset, qualname)."""
+def _typed(edges: DataFrame, seeds: DataFrame, configs: dict[str, Config], every: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """All presets in one loop, keyed by (preset, qualname) and ``by``."""
+    group = [*by, "preset"]
     kind = F.col("edge_type") if "edge_type" in edges.columns else F.lit("CALLED_BY")
-    step = cut(edges.select(F.col("callee").alias("at"), F.col("caller").alias("next"), kind.alias("etype")))
+    step = cut(edges.select(*by, F.col("callee").alias("qualname"), F.col("caller").alias("next"), kind.alias("etype")))
     pick = lambda value: F.coalesce(*(F.when(F.col("preset") == n, F.lit(value(c))) for n, c in configs.items()))
     factor = F.lit(None).cast("double")
     for n, c in configs.items():
         weight = F.coalesce(*(F.when(F.col("etype") == k, F.lit(float(v))) for k, v in sorted(c.weights.items())), F.lit(DEFAULT_WEIGHT))
         factor = F.when(F.col("preset") == n, weight * F.lit(c.gamma)).otherwise(factor)
     none = F.array().cast("array<string>")
-    start = seeds.select("qualname").distinct().select(F.explode(F.array(*map(F.lit, configs))).alias("preset"), "qualname")
-    best = start.select("preset", "qualname", F.lit(1.0).alias("score"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source"), F.array("qualname").alias("best_path"), none.alias("edge_types_on_path"))
+    start = seeds.select(*by, "qualname").distinct().select(*by, F.explode(F.array(*map(F.lit, configs))).alias("preset"), "qualname")
+    best = start.select(*group, "qualname", F.lit(1.0).alias("score"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source"), F.array("qualname").alias("best_path"), none.alias("edge_types_on_path"))
     frontier, most = best, max(c.max_hops for c in configs.values())
     for hop in range(1, most + 1):
-        walk = frontier.where(pick(lambda c: c.max_hops) >= hop).join(step, F.col("qualname") == F.col("at"))
-        reach = walk.select("preset", "next", (F.col("score") * factor).alias("score"), "at", "etype", "best_path", "edge_types_on_path").where(F.col("score") >= pick(lambda c: c.threshold))
-        reach = reach.groupBy("preset", "next").agg(F.min(F.struct((-F.col("score")).alias("neg"), "at", "etype", "best_path", "edge_types_on_path")).alias("m"))
-        known = best.select("preset", F.col("qualname").alias("next"), F.col("score").alias("known"))
-        new = reach.join(known, ["preset", "next"], "left").where(F.col("known").isNull() | (-F.col("m.neg") > F.col("known")))
+        walk = frontier.where(pick(lambda c: c.max_hops) >= hop).join(step, [*by, "qualname"])
+        reach = walk.select(*group, "next", (F.col("score") * factor).alias("score"), F.col("qualname").alias("at"), "etype", "best_path", "edge_types_on_path").where(F.col("score") >= pick(lambda c: c.threshold))
+        reach = reach.groupBy(*group, "next").agg(F.min(F.struct((-F.col("score")).alias("neg"), "at", "etype", "best_path", "edge_types_on_path")).alias("m"))
+        known = best.select(*group, F.col("qualname").alias("next"), F.col("score").alias("known"))
+        new = reach.join(known, [*group, "next"], "left").where(F.col("known").isNull() | (-F.col("m.neg") > F.col("known")))
         frontier = new.select(
-            "preset", F.col("next").alias("qualname"), (-F.col("m.neg")).alias("score"), F.lit(hop).alias("hop"), F.col("m.at").alias("source"),
+            *group, F.col("next").alias("qualname"), (-F.col("m.neg")).alias("score"), F.lit(hop).alias("hop"), F.col("m.at").alias("source"),
             F.concat("m.best_path", F.array("next")).alias("best_path"), F.concat("m.edge_types_on_path", F.array("m.etype")).alias("edge_types_on_path"),
         )
         if hop < most:
             frontier = cut(frontier) if hop % every == 0 else frontier
-        best = best.join(frontier.select("preset", "qualname"), ["preset", "qualname"], "left_anti").unionByName(frontier)
+        best = best.join(frontier.select(*group, "qualname"), [*group, "qualname"], "left_anti").unionByName(frontier)
     return best
 
 
-def impact_typed(edges: DataFrame, seeds: DataFrame, config: Config = Config(), every: int = 1) -> DataFrame:
+def impact_typed(edges: DataFrame, seeds: DataFrame, config: Config = Config(), every: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """(qualname, score, hop, source, best_path, edge_types_on_path): the best product of weight and decay
     over the paths to a seed. Edges may have ``edge_type``; without one they count as CALLED_BY.
 
     A hop only keeps scores at or above the threshold and better than any known before; every node
     goes on from its best score. Rows of several hops are settled by the last, which is the best."""
-    return _typed(edges, seeds, {"one": config}, every).drop("preset")
+    return _typed(edges, seeds, {"one": config}, every, by).drop("preset")
 
 
 def ablation(edges: DataFrame, seeds: DataFrame, presets=("full", "uniform", "no_decay", "high_decay", "calls_only")) -> DataFrame:

@@ -1,7 +1,7 @@
 """The whole analysis: seeds, graph, impact, style, targets, patches, report, batch rows.
 
-Sources of all commits are read and parsed together, each distinct text once; the graph walk then runs commit
-by commit, as names of different commits must not meet."""
+Everything runs on all commits together: each distinct text is parsed once, and ``commit`` is a key of every join
+and aggregate, as names of different commits must not meet. The number of jobs does not grow with the commits."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from tremor.operators import batch, classify, generate, graph, match, parse, pat
 from tremor.operators import seeds as seed_ops
 from tremor.sources import git
 
+BY = ("commit",)
+
 
 @dataclass(frozen=True)
 class Options:
@@ -71,20 +73,20 @@ def extract_seeds(spark: SparkSession, repo: str, commits: list[str]) -> DataFra
 
 
 def impacted_of(seeds: DataFrame, defs: DataFrame, calls: DataFrame, bases: DataFrame, files: DataFrame, options: Options) -> DataFrame:
-    """Impacted names of one commit, with their classes. Names keep the seed they were matched from."""
-    own = [r[0] for r in files.select(F.element_at(F.split("path", "/"), 1).alias("top")).distinct().collect()]  # the top level of one tree
-    own = [p.removesuffix(".py") for p in own]
-    nodes, edges = graph.build(defs, calls, bases if options.level > 1 else None, own)
+    """Impacted names of every commit, with their classes."""
+    own = files.select("commit", F.regexp_replace(F.element_at(F.split("path", "/"), 1), r"\.py$", "").alias("top"))
+    nodes, edges = graph.build(defs, calls, bases if options.level > 1 else None, own, BY)
     nodes, edges = cut(nodes), cut(edges)
-    start = seed_ops.in_scope(seeds, options.seed_scope).select("qualname").distinct()
+    start = seed_ops.in_scope(seeds, options.seed_scope).select("commit", "qualname").distinct()
     if options.fuzzy:
-        start = match.match_seeds(start, nodes).where("matched_qualname is not null").select(F.col("matched_qualname").alias("qualname"))
-        edges = match.resolve_callers(edges, nodes).select("caller", F.col("qualname").alias("callee"))
+        start = match.match_seeds(start, nodes, BY).where("matched_qualname is not null").select("commit", F.col("matched_qualname").alias("qualname"))
+        edges = match.resolve_callers(edges, nodes, BY).select("commit", "caller", F.col("qualname").alias("callee"))
+    edges = edges.select("commit", "caller", "callee")
     if options.typed:
-        found = propagate.impact_typed(edges.select("caller", "callee"), start, options.typed)
+        found = propagate.impact_typed(edges, start, options.typed, by=BY)
     else:
-        found = propagate.impact(edges.select("caller", "callee"), start, options.max_hops, options.direction)
-    return classify.classify(found, files)
+        found = propagate.impact(edges, start, options.max_hops, options.direction, by=BY)
+    return classify.classify(found, files, BY)
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -135,20 +137,14 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
     defs, calls, bases = cut(parse.parse_defs(new)), cut(parse.parse_calls(new, options.level)), cut(parse.parse_bases(new))
     nodes = spans.last_by(defs.select("commit", "qualname", "ordinal", "kind", "path", "params", "lineno", "end_lineno", "docstring"), ["commit", "qualname"], "ordinal")
     shown = prompt_diffs(spark, repo, listed) if generator is not None else diffs
-    impacted, chosen = None, None
-    for row in listed.select("commit").collect():
-        mine = F.col("commit") == row.commit
-        found = cut(impacted_of(seeds.where(mine), defs.where(mine), calls.where(mine), bases.where(mine), new.where(mine), options)).withColumn("commit", F.lit(row.commit))
-        impacted = found if impacted is None else impacted.unionByName(found)
-        s = seed_ops.in_scope(seeds.where(mine), options.seed_scope)
-        near = targets.candidates(found.drop("path"), nodes.where(mine).drop("commit", "ordinal"), 1 if options.mode == "template" else options.max_hops)
-        picked = targets.select_template(near, s, options.limit_targets) if options.mode == "template" else targets.select_lineage(near, s, options.max_hops, options.limit_targets)
-        picked = cut(picked).withColumn("commit", F.lit(row.commit))
-        chosen = picked if chosen is None else chosen.unionByName(picked)
+    impacted = cut(impacted_of(seeds, defs, calls, bases, new, options))
+    s = seed_ops.in_scope(seeds, options.seed_scope)
+    near = targets.candidates(impacted.drop("path"), nodes.drop("ordinal"), 1 if options.mode == "template" else options.max_hops, by=BY)
+    chosen = cut(targets.select_template(near, s, options.limit_targets, BY) if options.mode == "template" else targets.select_lineage(near, s, options.max_hops, options.limit_targets, BY))
     if generator is not None and options.mode == "llm":
         named = module_changes(shown, seeds, chosen, nodes, generator, new).withColumnsRenamed({"path": "given_path"}).drop("given_path")
         more = named.select("commit", "qualname", F.lit(0).alias("hop"), F.col("reason"), F.lit(True).alias("is_internal"))
-        near = targets.candidates(more, nodes.drop("ordinal").withColumnRenamed("commit", "node_commit"), 0).where("commit = node_commit")
+        near = targets.candidates(more, nodes.drop("ordinal"), 0, by=BY)
         chosen = cut(chosen.unionByName(near.select("commit", *[c for c in chosen.columns if c in near.columns and c != "commit"]), allowMissingColumns=True))
     votes = style.winner(style.votes(style.docstring_corpus(new, defs), ["commit"]))
     if options.style != "auto":
