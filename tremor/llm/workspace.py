@@ -1,5 +1,5 @@
 """Shared scratch tables. Lineage is cut with Parquet tables in the folder that
-``spark.checkpoint.dir`` names; a folder of our own is used only where it is unset."""
+``spark.checkpoint.dir`` names; a folder of our own is used only where it is unset and Spark runs in one process."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ def base(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="tremor-")
