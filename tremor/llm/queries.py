@@ -1,7 +1,10 @@
 """The queries of this subpackage and their DuckDB SQL, for ``__spark_entry__``."""
 
+from tremor.llm.ball_kmeans import OP12_SQL, op12_ball_kmeans
+from tremor.llm.byte_bpe import op13_byte_bpe
 from tremor.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tremor.llm.language_crf import op3_language_id
+from tremor.llm.lexical_search import OP11_SQL, op11_lexical_search
 from tremor.llm.license_scan import op8_license_scan
 from tremor.llm.lm_score import op7_lm_score
 from tremor.llm.near_dedup import OP2_SQL, op2_near_dedup
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_near_dedup": OP2_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_near_dedup": OP2_SQL, "op11_lexical_search": OP11_SQL, "op12_ball_kmeans": OP12_SQL}

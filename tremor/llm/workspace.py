@@ -31,7 +31,17 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{base(spark)}/tremor/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote, when what was made of it is stored too."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    if path := getattr(df, "_stored_at", None):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def cleanup(spark: SparkSession) -> None:
