@@ -132,9 +132,129 @@ def test_commits_together_are_as_each_alone(spark, tmp_path):
         git("add", "-A")
         git("commit", "-qm", "step")
         ids.append(git("rev-parse", "HEAD"))
-    rows = lambda out: {t: sorted(map(repr, out[t].collect())) for t in ("impacted", "targets", "patches", "batch")}
+    rows = lambda out: {t: sorted(map(repr, out[t].drop("ast_parse_calls").collect())) for t in ("impacted", "targets", "patches", "batch")}  # noqa: E731 (a content that commits share is parsed once)
     options = workflow.Options(limit_targets=2)
     together = rows(workflow.run(spark, str(tmp_path), ids[1:], options=options))
     alone = [rows(workflow.run(spark, str(tmp_path), [c], options=options)) for c in ids[1:]]
     assert together == {t: sorted(r for one in alone for r in one[t]) for t in together}
     assert len(together["batch"]) == 3 and len({len(one["impacted"]) for one in alone}) > 1
+
+
+def echo(prompt):
+    """Tells the code it was shown, and passes on what it was told of the caller's source."""
+    import re
+
+    told = re.findall(r"seen<(.*?)>", prompt, re.S)
+    number = re.findall(r"return a \+ (\d)", prompt)
+    return f"[DOCSTRING]Doc {told} {number}. a x[/DOCSTRING][ANALYSIS]seen<{number or told}>[/ANALYSIS]"
+
+
+def test_commits_together_are_as_each_alone_in_llm_mode(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q", "-b", "main")
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib/a.py").write_text("from lib.b import low\n\n\ndef top(x):\n    return low(x)\n")
+    ids = []
+    for n in range(3):
+        (tmp_path / "lib/b.py").write_text(f"def low(a):\n    return a + {n}\n")
+        git("add", "-A")
+        git("commit", "-qm", "step")
+        ids.append(git("rev-parse", "HEAD"))
+    options = workflow.Options(mode="llm")
+    rows = lambda ids: sorted((r.commit, r.patch) for r in workflow.run(spark, str(tmp_path), ids, options=options, generator=echo)["patches"].collect())
+    together = rows(ids[1:])
+    assert together == sorted(sum((rows([c]) for c in ids[1:]), []))
+    for n, c in enumerate(ids[1:]):  # the caller heard of its own commit's change
+        assert f"'{n}', '{n + 1}'" in dict(together)[c] and f"'{1 - n}', '{2 - n}'" not in dict(together)[c]
+
+
+def test_a_killed_batch_goes_on_with_its_open_chunk(spark, tmp_path, monkeypatch):
+    from tremor.sources import documents, sinks
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    (tmp_path / "r").mkdir()
+    git("init", "-q", "-b", "main")
+    ids = []
+    for n in range(5):
+        (tmp_path / "r" / "b.py").write_text(f"def low(a):\n    return a + {n}\n")
+        git("add", "-A")
+        git("commit", "-qm", "step")
+        ids.append(git("rev-parse", "HEAD"))
+    listed, log, real, seen = workflow.commits_of(spark, str(tmp_path / "r"), ids), str(tmp_path / "log"), workflow.run, []
+
+    def dies(spark, repo, commits, **more):
+        seen.append(commits)
+        if commits == ids[2:4]:
+            raise KeyboardInterrupt  # as a kill: no handler may take it
+        return real(spark, repo, commits, **more)
+
+    monkeypatch.setattr(workflow, "run", dies)
+    with pytest.raises(KeyboardInterrupt):
+        workflow.run_batch(spark, str(tmp_path / "r"), listed, ["template"], log, chunk=2)
+    assert sinks.read_log(spark, log).count() == 2
+    (tmp_path / "log" / "chunk=half").mkdir()  # written in part when it was killed
+    (tmp_path / "log" / "chunk=half" / "part-0.json").write_text(f'{{"commit":"{ids[3]}","mode":"template","ok":true}}\n')
+
+    def fails(spark, repo, commits, **more):
+        seen.append(commits)
+        if ids[3] in commits:
+            raise ValueError("a broken commit")
+        return real(spark, repo, commits, **more)
+
+    monkeypatch.setattr(workflow, "run", fails)
+    del seen[:]
+    rolled = workflow.run_batch(spark, str(tmp_path / "r"), listed, ["template"], log, chunk=2, done=documents.resume_rows(spark, log)).first()
+    assert seen == [ids[2:4], ids[2:3], ids[3:4], ids[4:]] and rolled.num_runs == 5 and rolled.ok_rate == 0.8
+    rows = {r.commit: r for r in sinks.read_log(spark, log).collect()}
+    assert len(rows) == 5 and rows[ids[3]].exit_code == 1 and "a broken commit" in rows[ids[3]].error and rows[ids[4]].ok and rows[ids[4]].error is None
+    assert rows[ids[4]].git_show_calls == 3 and rows[ids[4]].subprocess_calls == 4  # both sides of b.py, and b.py as a target
+    del seen[:]
+    workflow.run_batch(spark, str(tmp_path / "r"), listed, ["template"], log, chunk=2, done=documents.resume_rows(spark, log))
+    assert seen == []
+
+
+def test_a_chunk_that_takes_too_long_is_stopped(spark, repo):
+    import time
+
+    late = workflow._within(spark, 0.5, lambda: spark.range(1).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L)").collect())
+    assert late == (None, True)
+    assert workflow._within(spark, 60, lambda: spark.range(3).count()) == (3, False)
+    began = time.monotonic()
+    with pytest.raises(ZeroDivisionError):
+        workflow._within(spark, 60, lambda: 1 / 0)
+    assert time.monotonic() - began < 5
+
+
+def test_propagate_from_a_seeds_document(spark, repo, tmp_path):
+    main(["extract-seeds", "--repo", repo, "--out", str(tmp_path / "s"), "--n", "1"], spark)
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "new.json").write_text("".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*"))))
+    for seeds in (str(tmp_path / "s"), str(tmp_path / "docs" / "*.json")):
+        out = str(tmp_path / f"p{len(seeds)}")
+        main(["propagate", "--repo", repo, "--out", out, "--seeds", seeds], spark)
+        assert {(r.qualname, r.hop) for r in spark.read.option("multiLine", True).json(out).collect()} >= {("pkg.b.low", 0)}
+        assert "pkg.a.top" in "".join(r.value for r in spark.read.text(out).collect())
+    with pytest.raises(FileNotFoundError):
+        main(["propagate", "--repo", repo, "--out", out, "--seeds", str(tmp_path / "none")], spark)
+
+
+def test_the_newest_file(spark, tmp_path):
+    import os
+
+    from tremor.sources import documents
+
+    for name, age in (("a.json", 30), ("_hidden.json", 10), (".dot.json", 20)):
+        (tmp_path / name).write_text("{}")
+        os.utime(tmp_path / name, (1_700_000_000 - age, 1_700_000_000 - age))
+    (tmp_path / "folder").mkdir()
+    assert documents.newest_path(spark, str(tmp_path)).endswith("/_hidden.json")
+    assert documents.newest_path(spark, f"{tmp_path}/a*").endswith("/a.json") and documents.newest_path(spark, f"{tmp_path}/a.json").endswith("/a.json")
+    assert documents.newest_path(spark, f"{tmp_path}/nothing*") is None
+
+
+def test_pages_are_files(spark, tmp_path):
+    from tremor.sources import sinks
+
+    pages = spark.createDataFrame([("README_1.md", "# One\né"), ("README_2.md", ""), (None, "x")], "name string, readme string")
+    assert sinks.named_files(pages, "name", "readme", str(tmp_path / "pages")) == 2
+    assert (tmp_path / "pages" / "README_1.md").read_text() == "# One\né" and len(list((tmp_path / "pages").iterdir())) == 2

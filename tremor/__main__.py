@@ -37,6 +37,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--exact", action="store_true", help="match names exactly")
         c.add_argument("--snapshot", default="commit", choices=["commit", "worktree"])
         c.add_argument("--resume", action="store_true")
+        c.add_argument("--store", help="folder of parsed sources that later runs use again")
+        c.add_argument("--chunk", type=int, default=workflow.CHUNK, help="commits of a batch that are written together")
+        c.add_argument("--timeout", type=float, default=workflow.TIMEOUT_S, help="seconds a commit of a batch")
+        c.add_argument("--seeds", help="for propagate: a seeds document, a glob or a folder, of which the newest counts")
         c.add_argument("--generator", help="module:function from a prompt to an answer, for --mode llm")
     return p
 
@@ -47,7 +51,7 @@ def options_of(a: argparse.Namespace) -> workflow.Options:
         base = propagate.preset(a.ablation)
         typed = propagate.Config(base.weights, base.gamma if a.gamma is None else a.gamma, base.threshold if a.threshold is None else a.threshold, base.max_hops if a.max_hops is None else a.max_hops)
     mode = "llm" if a.mode == "llm" else "template"
-    return workflow.Options(mode, 2 if a.max_hops is None else a.max_hops, a.parser_level, a.seed_scope, a.limit_targets, a.style, direction=a.direction, fuzzy=not a.exact, typed=typed, snapshot=a.snapshot)
+    return workflow.Options(mode, 2 if a.max_hops is None else a.max_hops, a.parser_level, a.seed_scope, a.limit_targets, a.style, direction=a.direction, fuzzy=not a.exact, typed=typed, snapshot=a.snapshot, store=a.store)
 
 
 def generator_of(a: argparse.Namespace):
@@ -70,7 +74,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         listed = commits or [r.commit for r in workflow.commits_of(spark, a.repo, None, n).orderBy("ord").collect()]
         sinks.json_documents(workflow.extract_seeds(spark, a.repo, listed), a.out)
     elif a.command == "propagate":
-        found = workflow.run(spark, a.repo, commits, n, options_of(a))["impacted"]
+        found = workflow.impacted_by(spark, a.repo, documents.seeds_document(spark, a.seeds), options_of(a)) if a.seeds else workflow.run(spark, a.repo, commits, n, options_of(a))["impacted"]
         sinks.json_documents(found, a.out)
     elif a.command == "run":
         tables = workflow.run(spark, a.repo, commits, n, options_of(a), generator)
@@ -78,17 +82,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             sinks.table(df, f"{a.out}/{name}")
         sinks.text(tables["patches"], "patch", f"{a.out}/patch")
         sinks.json_documents(tables["report"], f"{a.out}/verifier_report")
+        if "readmes" in tables:
+            sinks.named_files(tables["readmes"], "name", "readme", f"{a.out}/pages")
+        sinks.json_documents(tables["batch"].withColumn("options", F.lit(str(options_of(a)))), f"{a.out}/history")
     elif a.command == "batch":
         listed = workflow.commits_of(spark, a.repo, commits, n)
         log = f"{a.out}/summary.jsonl"
         done = documents.resume_rows(spark, log) if a.resume and sinks.exists(spark, log) else None
         if done is None:
             sinks.remove(spark, log)
+        sinks.json_documents(spark.createDataFrame([{k: str(v) for k, v in vars(a).items()}]).withColumn("started", F.current_timestamp()), f"{a.out}/config")
         modes = ["template", "llm"] if a.mode == "both" else [a.mode]
-        rolled = workflow.run_batch(spark, a.repo, listed, modes, log, options_of(a), generator, done)
+        rolled = workflow.run_batch(spark, a.repo, listed, modes, log, options_of(a), generator, done, a.chunk, a.timeout)
         sinks.json_documents(batch_ops.prefixed(rolled, modes), f"{a.out}/aggregate")
         if sinks.exists(spark, log):
-            sinks.csv_summary([spark.read.json(log)], f"{a.out}/summary.csv")
+            sinks.csv_summary([sinks.read_log(spark, log)], f"{a.out}/summary.csv")
     else:
         tables = workflow.run(spark, a.repo, commits, n, options_of(a))
         docs = tables["targets"].where("not has_docstring").select("commit", "qualname", F.concat(F.lit("TODO: docstring\n\nArgs:\n"), F.array_join(F.transform("params", lambda p: F.concat(F.lit("    "), p, F.lit(":"))), "\n")).alias("docstring"), "params")

@@ -120,9 +120,10 @@ def prompt_names() -> list[str]:
     return sorted(p.stem for p in PROMPTS.glob("*.txt"))
 
 
-def layered(targets: DataFrame, generate: Generator, max_hops: int, render) -> DataFrame:
+def layered(targets: DataFrame, generate: Generator, max_hops: int, render, by: tuple[str, ...] = ()) -> DataFrame:
     """Hop by hop: ``render(target columns, parent_analysis)`` gives the prompt; each layer sees the
-    analyses of the layer before. The answers are stored after each hop, so no call runs twice."""
+    analyses of the layer before, of its own group of ``by``; of several answers for a name, the least analysis.
+    The answers are stored after each hop, so no call runs twice."""
     from tremor.functions.checkpoints import cut
 
     out, parent = None, None
@@ -131,8 +132,8 @@ def layered(targets: DataFrame, generate: Generator, max_hops: int, render) -> D
         if parent is None:
             layer = layer.withColumn("parent_analysis", F.lit(None).cast("string"))
         else:
-            layer = layer.join(parent, "source", "left")
+            layer = layer.join(parent, [*by, "source"], "left")
         done = cut(call_generator(layer.withColumn("prompt", render(layer)), generate).withColumn("parsed", tagged_answer(F.coalesce("answer", F.lit("")))))
-        parent = done.select(F.col("qualname").alias("source"), F.col("parsed.analysis").alias("parent_analysis")).dropDuplicates(["source"])
+        parent = done.groupBy(*by, F.col("qualname").alias("source")).agg(F.min("parsed.analysis").alias("parent_analysis"))
         out = done if out is None else out.unionByName(done)
     return out

@@ -60,9 +60,17 @@ def methods(nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return nodes.select(*by, N.parent_qual(q).alias("cls"), N.last_part(q).alias("method")).where("cls is not null")
 
 
+def last_file(inherits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of a class that several files define, the bases that the last file by path gives it."""
+    last = inherits.groupBy(*by, "child").agg(F.max("path").alias("path"))
+    return inherits.join(last, [*by, "child", "path"], "left_semi")
+
+
 def inheritance_edges(nodes: DataFrame, edges: DataFrame, inherits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(caller, callee, edge_type) from child methods to parent methods: OVERRIDES where both define
     the method, INHERITS where only the parent does and somebody refers to the child's."""
+    if "path" in inherits.columns:
+        inherits = last_file(inherits, by)
     known = nodes.select(*by, F.col("qualname").alias("base"))
     pairs = resolve_bases(inherits, nodes, by).join(known, [*by, "base"], "left_semi").select(*by, "child", "base").distinct()
     m = methods(nodes, by)

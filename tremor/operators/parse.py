@@ -196,13 +196,13 @@ def _rows(parser, schema: str):
         for batch in batches:
             keys = batch.column(0).to_pylist()
             found = [(k, *r) for k, source, module in zip(keys, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for r in parser(source, module or "")]
-            yield pa.RecordBatch.from_pylist([dict(zip(["blob", *names], r, strict=True)) for r in found], schema=_ARROW[schema])
+            yield pa.RecordBatch.from_pylist([dict(zip(["blob", *names], r, strict=True)) for r in found], schema=ARROW[schema])
 
     return run
 
 
 _S, _I = pa.string(), pa.int32()
-_ARROW = {
+ARROW = {
     DEFS_SCHEMA: pa.schema([("blob", _S), ("ordinal", _I), ("kind", _S), ("qualname", _S), ("lineno", _I), ("end_lineno", _I), ("body_line", _I), ("params", pa.list_(_S)), ("docstring", _S)]),
     CALLS_SCHEMA: pa.schema([("blob", _S), ("caller", _S), ("callee", _S), ("line", _I)]),
     BASES_SCHEMA: pa.schema([("blob", _S), ("child", _S), ("ord", _I), ("base", _S)]),
@@ -210,7 +210,8 @@ _ARROW = {
 
 
 def _parsed(files: DataFrame, parser, schema: str) -> DataFrame:
-    """Parse each distinct (blob, module) once, then join its rows back to (commit, path)."""
+    """Parse each distinct (blob, module) once, then join its rows back to (commit, path). For files that are at
+    hand as texts; files of a repository go through ``sources.parsed``, which moves names only."""
     from tremor.functions.names import module_qual
 
     keyed = files.where("source is not null").withColumn("module", module_qual(F.col("path"))).withColumn("key", F.sha2(F.concat_ws("\0", "module", "source"), 256))

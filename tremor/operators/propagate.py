@@ -40,21 +40,26 @@ def preset(name: str) -> Config:
     raise ValueError(f"unknown preset {name}")
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str = "callers", every: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str = "callers", every: int = 1, by: tuple[str, ...] = (), at: str | None = None) -> DataFrame:
     """(qualname, hop, source, reason): nodes that reach a seed in at most ``max_hops`` calls.
 
     ``edges(caller, callee)``, ``seeds(qualname)``. ``source`` is the least node of the hop before that
     finds the node. ``direction`` both also walks to callees. The lineage is cut every ``every`` hops.
-    Both tables may have columns ``by``: all their groups are walked together and never meet."""
+    Both tables may have columns ``by``: all their groups are walked together and never meet. With ``at``, the name of
+    a column of ordinals in ``seeds``, edges have (since, until) and are walked where they hold at the seed's ordinal."""
+    of_edges, times = by, ["since", "until"] if at else []
+    by = (*by, at) if at else by
     key = [*by, "qualname"]
-    step = edges.select(*by, F.col("callee").alias("qualname"), F.col("caller").alias("next"), F.lit("calls_changed_function").alias("why"))
+    step = edges.select(*of_edges, *times, F.col("callee").alias("qualname"), F.col("caller").alias("next"), F.lit("calls_changed_function").alias("why"))
     if direction == "both":
-        step = step.union(edges.select(*by, F.col("caller").alias("qualname"), F.col("callee").alias("next"), F.lit("called_by_changed_function").alias("why")))
+        step = step.union(edges.select(*of_edges, *times, F.col("caller").alias("qualname"), F.col("callee").alias("next"), F.lit("called_by_changed_function").alias("why")))
     step = cut(step)  # every hop reads it
     found = seeds.select(*key).distinct().select(*key, F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source"), F.lit("direct_change").alias("reason"))
     frontier = found
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(step, key).groupBy(*by, "next").agg(F.min(F.struct(F.col("qualname").alias("at"), "why")).alias("m"))
+        walk = frontier.join(step, [*of_edges, "qualname"])
+        walk = walk.where(F.col(at).between(F.col("since"), F.col("until"))) if at else walk
+        reached = walk.groupBy(*by, "next").agg(F.min(F.struct(F.col("qualname").alias("at"), "why")).alias("m"))
         new = reached.join(found.select(*by, F.col("qualname").alias("next")), [*by, "next"], "left_anti")
         frontier = new.select(*by, F.col("next").alias("qualname"), F.lit(hop).alias("hop"), F.col("m.at").alias("source"), F.col("m.why").alias("reason"))
         if hop % every == 0 and hop < max_hops:

@@ -12,13 +12,14 @@ from tremor.operators.parse import parse_defs
 from tremor.operators.spans import first_by, innermost, last_by
 
 
-def extract_seeds(diffs: DataFrame, new_files: DataFrame, old_files: DataFrame, legacy_old_side: bool = False, naive_headers: bool = False) -> DataFrame:
+def extract_seeds(diffs: DataFrame, new_files: DataFrame, old_files: DataFrame, legacy_old_side: bool = False, naive_headers: bool = False, parsed: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row a changed definition of ``diffs(commit, diff)``; files have (commit, path, source), where the
     old ones are those of the parent under the commit's name.
 
     A changed line outside every definition gives a ``module`` seed. Deleted lines give seeds too; with
-    ``legacy_old_side`` only where the file has no new lines or no new version."""
-    parsed = {"new": cut(parse_defs(new_files)), "old": cut(parse_defs(old_files))}  # each text is parsed once
+    ``legacy_old_side`` only where the file has no new lines or no new version. ``parsed``: the definitions of both
+    sides, if they are at hand."""
+    parsed = parsed or {"new": cut(parse_defs(new_files)), "old": cut(parse_defs(old_files))}  # each text is parsed once
     lines = cut(changed_lines(parse_hunks(diffs, ["commit"], naive_headers), ["commit"]).where(N.is_python(F.col("path"))))
     sides = []
     for side, files in (("new", new_files), ("old", old_files)):

@@ -8,6 +8,8 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.sources import sinks
+
 BATCH_KEYS = "commit string, mode string, ok boolean, exit_code int, runner_ms bigint"
 SEEDS = (
     "commit string, parent string, repo string, num_files_in_diff bigint, num_py_files_in_diff bigint, num_seeds bigint, "
@@ -28,15 +30,37 @@ def json_document(spark: SparkSession, path: str, schema: str = SEEDS) -> DataFr
 
 
 def resume_rows(spark: SparkSession, path: str, schema: str = BATCH_KEYS) -> DataFrame:
-    """Rows of a JSON-lines log; malformed lines and rows without commit or mode are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("commit is not null and mode is not null")
+    """Rows of a JSON-lines log, of its finished chunks if it is keyed; malformed lines and rows without commit or
+    mode are dropped."""
+    keyed = any("/chunk=" in p for p in sinks.children(spark, path)) if sinks.exists(spark, path) else False
+    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
+    have = sinks.finished(spark, path) if keyed else [path]
+    rows = reader.json(have) if have else spark.createDataFrame([], schema)
+    return rows.where("commit is not null and mode is not null")
 
 
 def newest_path(spark: SparkSession, pattern: str) -> str | None:
-    """The latest file of a glob or folder, by modification time, then by name."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
-    row = files.agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()
-    return row["m"]["path"] if row and row["m"] else None
+    """A file as it is; of a glob or a folder, the file changed last, then the greatest by name. From the file
+    system's listing, so names that begin with ``_`` or ``.`` count (but for Hadoop's own marks), and no content is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(conf)
+    found = list(fs.globStatus(at) or [])
+    if len(found) == 1 and found[0].isDirectory():
+        found = list(fs.listStatus(found[0].getPath()))
+    own = lambda name: name == "_SUCCESS" or name.endswith(".crc")
+    files = [(f.getModificationTime(), f.getPath().toString()) for f in found if f.isFile() and not own(f.getPath().getName())]
+    return max(files)[1] if files else None
+
+
+def seeds_document(spark: SparkSession, pattern: str) -> DataFrame:
+    """(commit, path, kind, qualname, seed_type, ...) of the newest seeds document that ``pattern`` names: a file of
+    one or more documents, a glob of such files, a folder of them, or a folder that one job wrote, which is read whole."""
+    path = f"{pattern}/part-*" if sinks.exists(spark, f"{pattern}/_SUCCESS") else newest_path(spark, pattern)
+    if path is None:
+        raise FileNotFoundError(f"no seeds document at {pattern}")
+    documents_ = spark.read.text(path, lineSep="\n}\n").select(F.from_json(F.concat("value", F.lit("\n}")), SEEDS).alias("d"))
+    return documents_.where("d.commit is not null").select("d.commit", F.explode("d.seeds").alias("s")).select("commit", "s.*")
 
 
 def newest_run(names: DataFrame) -> DataFrame:

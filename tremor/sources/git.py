@@ -1,8 +1,10 @@
 """A Spark data source over git repositories: ``spark.read.format("git")``.
 
-Options: ``repo``; ``kind`` commits, diffs, files or blobs; ``commits`` a comma-separated list, or ``n`` for the
+Options: ``repo``; ``kind`` commits, diffs, trees, changes, files or blobs; ``commits`` a comma-separated list, or ``n`` for the
 latest n; ``context`` lines of a diff; ``ext`` (default .py); ``snapshot`` commit or worktree for files;
-``paths`` for blobs. Commits are split over partitions; each task runs its own git processes, blobs through
+``paths`` for blobs. Trees are the entries of a commit without contents; changes are those between each commit of
+the list and the one before it (all entries for the first), a null blob for a path that goes; ``contents`` reads
+blobs that a table names. Commits are split over partitions; each task runs its own git processes, blobs through
 one ``cat-file --batch``. What git cannot give comes as null, not as an exception, unless ``strict``."""
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ import os
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMAS = {
     "commits": "ord int, commit string, parent string",
     "diffs": "commit string, context int, diff string",
+    "trees": "ord int, commit string, path string, blob string",
+    "changes": "ord int, commit string, path string, blob string",
     "files": "commit string, path string, blob string, source string",
     "blobs": "commit string, path string, source string",
 }
@@ -58,9 +63,9 @@ def blobs(repo: str, names: list[str]) -> Iterator[bytes | None]:
 
 
 class _Part(InputPartition):
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], before: str | None = None):
         super().__init__(rows)
-        self.rows = rows
+        self.rows, self.before = rows, before
 
 
 class GitReader(DataSourceReader):
@@ -80,11 +85,13 @@ class GitReader(DataSourceReader):
     def partitions(self) -> list[_Part]:
         rows = list(enumerate(self.commits()))
         size = max(1, min(50, -(-len(rows) // 64)))
-        return [_Part(rows[k : k + size]) for k in range(0, len(rows), size)] or [_Part([])]
+        return [_Part(rows[k : k + size], rows[k - 1][1] if k else None) for k in range(0, len(rows), size)] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[tuple]:
+        before = part.before
         for ord_, commit in part.rows:
-            yield from getattr(self, f"read_{self.kind}")(ord_, commit)
+            yield from self.read_changes(ord_, commit, before) if self.kind == "changes" else getattr(self, f"read_{self.kind}")(ord_, commit)
+            before = commit
 
     def read_commits(self, ord_: int, commit: str):
         code, out = git(self.repo, "rev-parse", f"{commit}^")
@@ -109,12 +116,40 @@ class GitReader(DataSourceReader):
                         if text is not None:
                             yield commit, os.path.relpath(full, self.repo).replace(os.sep, "/"), None, text
             return
-        code, out = git(self.repo, "ls-tree", "-r", "-z", commit)
-        entries = [e.split("\t", 1) for e in out.decode("utf-8", "replace").split("\0") if e] if not code else []
-        keep = [(meta.split()[2], path) for meta, path in entries if path.endswith(self.ext) and meta.split()[1] == "blob" and not any(d.startswith(".") or d in SKIPPED_DIRS for d in path.split("/")[:-1])]
-        for (blob, path), raw in zip(keep, blobs(self.repo, [b for b, _ in keep]), strict=True):
+        keep = list(self.entries(commit))
+        for (path, blob), raw in zip(keep, blobs(self.repo, [b for _, b in keep]), strict=True):
             yield commit, path, blob, decoded(raw)
 
+    def wanted(self, path: str) -> bool:
+        return path.endswith(self.ext) and not any(d.startswith(".") or d in SKIPPED_DIRS for d in path.split("/")[:-1])
+
+    def entries(self, commit: str) -> Iterator[tuple[str, str]]:
+        """(path, blob) of a commit's files."""
+        code, out = git(self.repo, "ls-tree", "-r", "-z", commit)
+        if code and self.strict:
+            raise RuntimeError(f"no tree of {commit}: {out.decode(errors='replace')[:500]}")
+        for entry in out.decode("utf-8", "replace").split("\0") if not code else []:
+            meta, _, path = entry.partition("\t")
+            if path and meta.split()[1] == "blob" and self.wanted(path):
+                yield path, meta.split()[2]
+
+    def read_trees(self, ord_: int, commit: str):
+        for path, blob in self.entries(commit):
+            yield ord_, commit, path, blob
+
+    def read_changes(self, ord_: int, commit: str, before: str | None):
+        if before is None:
+            yield from self.read_trees(ord_, commit)
+            return
+        code, out = git(self.repo, "diff-tree", "-r", "-z", "--no-renames", "--raw", before, commit)
+        if code:
+            raise RuntimeError(f"no changes up to {commit}: {out.decode(errors='replace')[:500]}")
+        parts = out.decode("utf-8", "replace").split("\0")
+        for meta, path in zip(parts[::2], parts[1::2]):
+            mode, blob, status = meta.split()[1], meta.split()[3], meta.split()[4]
+            if self.wanted(path):
+                yield ord_, commit, path, None if status[0] == "D" or mode == "160000" else blob
+
     def read_blobs(self, ord_: int, commit: str):
         paths = [p for p in self.o.get("paths", "").split(",") if p]
         for path, raw in zip(paths, blobs(self.repo, [f"{commit}:{p}" for p in paths]), strict=True):
@@ -159,6 +194,19 @@ class GitSource(DataSource):
         return GitStreamReader(dict(self.options))
 
 
+def contents(entries, repo: str):
+    """``entries`` with the ``source`` of their ``blob``. Each distinct blob is read once; only names are shuffled
+    for that, and each task reads its blobs through one git process."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decoded(x) for x in blobs(repo, names)], pa.string())], names=["blob", "source"])
+
+    read_ = entries.where("blob is not null").select("blob").distinct().mapInArrow(run, "blob string, source string")
+    return entries.join(read_, "blob", "left").select(*entries.columns, "source")
+
+
 def register(spark) -> None:
     spark.dataSource.register(GitSource)
 
