@@ -365,7 +365,11 @@ def _generated(r: random.Random) -> str:
             ], [8, 2, 1, 0.5, 0.2, 1, 1, 1, 1, 1, 2])[0]
             if r.random() < 0.08:
                 body += boiler[r.choice(["ad", "side", "form", "notice"])]()
-        return wrap("article article main main div section", "content post entry article story main-content post-body entry-content text", body)
+        if r.random() < 0.2:
+            body += f"<h2>{words(True, 1, 3)}</h2>" + links(True, 2, 6)  # a list of linked sources
+        named = wrap("article article main main div section", "content post entry article story main-content post-body entry-content text", body)
+        grid = f'<div class="{r.choice(["row", "grid", "columns", "flex"])}"><div class="{r.choice(["col-8", "col", "column", "cell", "w-2/3"])}">{body}</div></div>'
+        return r.choices([named, body, f"<div>{body}</div>", f"<section>{body}</section>", f"<div><div>{body}</div></div>", grid], [10, 4, 3, 1, 1, 2])[0]
 
     top = [boiler[k]() for k in ("nav", "head", "notice", "ad", "side", "form") if r.random() < 0.5]
     end = [boiler[k]() for k in ("foot", "comment", "side", "ad", "form", "notice", "nav") if r.random() < 0.5]
