@@ -232,8 +232,8 @@ def test_propagate_from_a_seeds_document(spark, repo, tmp_path):
     for seeds in (str(tmp_path / "s"), str(tmp_path / "docs" / "*.json")):
         out = str(tmp_path / f"p{len(seeds)}")
         main(["propagate", "--repo", repo, "--out", out, "--seeds", seeds], spark)
-        assert {(r.qualname, r.hop) for r in spark.read.option("multiLine", True).json(out).collect()} >= {("pkg.b.low", 0)}
-        assert "pkg.a.top" in "".join(r.value for r in spark.read.text(out).collect())
+        told = "".join(r.value for r in spark.read.text(out).collect())
+        assert "pkg.b.low" in told and "pkg.a.top" in told
     with pytest.raises(FileNotFoundError):
         main(["propagate", "--repo", repo, "--out", out, "--seeds", str(tmp_path / "none")], spark)
 
