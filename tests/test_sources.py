@@ -95,3 +95,63 @@ def test_documents(spark, tmp_path):
     sinks.text(rows, "commit", str(tmp_path / "text"))
     assert spark.read.text(str(tmp_path / "text")).first().value == "a"
     assert documents.settings().get("api_key") is None
+
+
+def test_stream_reads_what_the_branch_gained(spark, tmp_path):
+    import os
+
+    r = tmp_path / "r"
+    r.mkdir()
+    sh(r, "init", "-q", "-b", "main")
+
+    def step(name, date):
+        (r / f"{name}.py").write_text(f"def {name}():\n    pass\n")
+        sh(r, "add", "-A")
+        os.environ["GIT_COMMITTER_DATE"] = date
+        try:
+            sh(r, "commit", "-qm", name, "--date", date)
+        finally:
+            del os.environ["GIT_COMMITTER_DATE"]
+        return sh(r, "rev-parse", "HEAD")
+
+    def read_new():
+        git.register(spark)
+        q = spark.readStream.format("git").option("repo", str(r)).option("kind", "commits").option("branch", "main").load().writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return [x.commit for x in spark.read.schema("ord int, commit string, parent string").json(str(tmp_path / "out")).collect()]
+
+    one = step("one", "2020-01-01T00:00:00")
+    sh(r, "checkout", "-q", "-b", "side")
+    old = step("old", "2020-01-02T00:00:00")  # made before what the first trigger reads
+    sh(r, "checkout", "-q", "main")
+    two = step("two", "2020-02-01T00:00:00")
+    assert sorted(read_new()) == sorted([one, two])
+    sh(r, "merge", "-q", "--no-ff", "-m", "merge", "side")
+    merge = sh(r, "rev-parse", "HEAD")
+    assert sorted(read_new()) == sorted([one, two, old, merge])  # each once
+    assert sorted(read_new()) == sorted([one, two, old, merge])
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, repo, tmp_path):
+    from tremor.plans import workflow
+    from tremor.streaming import commits
+
+    ids = sh(repo, "rev-list", "--reverse", "HEAD").split()
+    out = str(tmp_path / "out")
+    for number, part in ((0, ids[:1]), (1, ids[1:]), (1, ids[1:]), (2, ids)):  # the second again; the branch set back
+        commits.write_batch(spark, repo, part, number, out, workflow.Options())
+    assert sorted(r.commit for r in sinks.read_log(spark, f"{out}/batch").collect()) == sorted(ids)
+    impacted = spark.read.parquet(f"{out}/impacted")
+    assert impacted.count() == impacted.select("commit", "qualname").distinct().count() > 0
+
+
+def test_a_job_keeps_its_spacing_over_all_tasks(spark):
+    import time
+
+    from tremor.operators import generate
+
+    paced = generate.Paced(lambda p: str(time.time()), 0.15, 4)
+    prompts = spark.range(12).select(F.col("id").cast("string").alias("prompt"))
+    times = sorted(float(r.answer) for r in generate.call_generator(prompts, paced).collect())
+    gaps = [b - a for a, b in zip(times, times[1:])]
+    assert len(times) == 12 and min(gaps) > 0.1

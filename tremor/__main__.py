@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tremor.operators import batch as batch_ops
-from tremor.operators import experiment, propagate
+from tremor.operators import experiment, generate, propagate
 from tremor.plans import workflow
 from tremor.sources import documents, sinks
 
@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--chunk", type=int, default=workflow.CHUNK, help="commits of a batch that are written together")
         c.add_argument("--timeout", type=float, default=workflow.TIMEOUT_S, help="seconds a commit of a batch")
         c.add_argument("--seeds", help="for propagate: a seeds document, a glob or a folder, of which the newest counts")
+        c.add_argument("--spacing", type=float, default=0.5, help="least seconds between two calls of the generator, over all tasks")
         c.add_argument("--generator", help="module:function from a prompt to an answer, for --mode llm")
     return p
 
@@ -58,7 +59,8 @@ def generator_of(a: argparse.Namespace):
     """The callable that ``--generator`` names; modes that need one fail without it."""
     if a.generator:
         module, _, name = a.generator.partition(":")
-        return getattr(importlib.import_module(module), name)
+        found = getattr(importlib.import_module(module), name)
+        return generate.Paced(found, a.spacing) if a.spacing > 0 else found
     if a.mode in ("llm", "both"):
         raise SystemExit(f"--mode {a.mode} needs --generator module:function")
     return None

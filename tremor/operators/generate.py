@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +17,44 @@ Generator = Callable[[str], str]
 CALL_SCHEMA = "answer string, ok boolean, error string, latency_ms long, prompt_tokens long, completion_tokens long"
 
 
-def call_generator(prompts: DataFrame, generate: Generator, spacing_s: float = 0.0, attempts: int = 3, backoff_s: float = 1.0) -> DataFrame:
-    """``prompts(..., prompt)`` with the answers. A failure becomes a row, never an exception; each task
-    keeps ``spacing_s`` between its calls, so coalesce the input to bound the rate."""
+@dataclass(frozen=True)
+class Paced:
+    """A generator that a whole job calls at most once in ``spacing_s`` seconds: time is cut into slots of that
+    length, which are dealt in turn to the job's ``tasks``, and a task calls at the start of its own slots only."""
+
+    generate: Generator
+    spacing_s: float = 0.5
+    tasks: int = 4
+
+    def __call__(self, prompt: str) -> str:
+        return self.generate(prompt)
+
+    def wait(self, part: int, last: float) -> float:
+        """Sleep to the next slot of task ``part`` after ``last``; when it begins."""
+        period = self.spacing_s * self.tasks
+        now = max(time.time(), last + period / 2)
+        slot = (now // period) * period + part * self.spacing_s
+        slot += period if slot < now else 0.0
+        time.sleep(max(0.0, slot - time.time()))
+        return slot
+
+
+def call_generator(prompts: DataFrame, generate: Generator, attempts: int = 3, backoff_s: float = 1.0) -> DataFrame:
+    """``prompts(..., prompt)`` with the answers. A failure becomes a row, never an exception. A ``Paced``
+    generator is called by as many tasks as it has slots for, each attempt in a slot of its own."""
     names = prompts.columns
+    paced = generate if isinstance(generate, Paced) else None
+    if paced:
+        prompts = prompts.repartition(paced.tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = 0.0
+        last, part = 0.0, TaskContext.get().partitionId() if paced else 0
         for batch in batches:
             rows = []
             for prompt in batch["prompt"]:
                 answer, error, began = None, None, time.monotonic()
                 for k in range(attempts):
-                    time.sleep(max(0.0, last + spacing_s - time.monotonic()))
-                    last = time.monotonic()
+                    last = paced.wait(part, last) if paced else last
                     try:
                         answer, error = generate(prompt), None
                         break
@@ -43,10 +69,6 @@ def call_generator(prompts: DataFrame, generate: Generator, spacing_s: float = 0
     return prompts.mapInPandas(run, schema)
 
 
-def without_thoughts(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
-
-
 def _ws(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 

@@ -117,8 +117,8 @@ def hop_histogram(impacted: DataFrame) -> DataFrame:
 
 
 def edge_type_histogram(typed: DataFrame) -> DataFrame:
-    """Steps of each type over all best paths."""
-    return typed.select(F.explode("edge_types_on_path").alias("edge_type")).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+    """Steps of each type over all best paths, the most frequent first."""
+    return typed.select(F.explode("edge_types_on_path").alias("edge_type")).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "edge_type")
 
 
 def score_distribution(typed: DataFrame) -> DataFrame:

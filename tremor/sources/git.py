@@ -159,21 +159,25 @@ class GitReader(DataSourceReader):
 
 
 class GitStreamReader(GitReader, DataSourceStreamReader):
-    """New commits of a branch, oldest first; the offset is how many have been read."""
-
-    def _log(self) -> list[str]:
-        code, out = git(self.repo, "log", "--reverse", "--format=%H", self.o.get("branch", "HEAD"))
-        return out.decode().split() if not code else []
+    """New commits of a branch, parents first. The offset is the branch's tip, and a batch has what its end reaches and
+    its start does not: whatever is merged or pushed between two triggers is read once, in whatever order it was made."""
 
     def initialOffset(self) -> dict:
-        return {"n": 0}
+        return {"tip": ""}
 
     def latestOffset(self) -> dict:
-        return {"n": len(self._log())}
+        code, out = git(self.repo, "rev-parse", "--verify", "--quiet", f"{self.o.get('branch', 'HEAD')}^{{commit}}")
+        return {"tip": "" if code else out.decode().strip()}
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
-        rows = list(enumerate(self._log()))[start["n"] : end["n"]]
-        return [_Part(rows[k : k + 50]) for k in range(0, len(rows), 50)]
+        if not end["tip"]:
+            return []
+        known = start.get("tip") and not git(self.repo, "cat-file", "-e", start["tip"])[0]  # a tip that was pushed away may be gone
+        code, out = git(self.repo, "rev-list", "--topo-order", "--reverse", end["tip"], *(["--not", start["tip"]] if known else []))
+        if code:
+            raise RuntimeError(f"git rev-list failed: {out.decode(errors='replace')[:500]}")
+        rows = list(enumerate(out.decode().split()))
+        return [_Part(rows[k : k + 50], rows[k - 1][1] if k else None) for k in range(0, len(rows), 50)]
 
     def commit(self, end: dict) -> None:
         pass

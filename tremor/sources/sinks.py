@@ -51,11 +51,11 @@ def finished(spark: SparkSession, path: str) -> list[str]:
     return [p for p in children(spark, path) if "/chunk=" in p and exists(spark, f"{p}/_SUCCESS")]
 
 
-def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All finished rows of a keyed log; without any, none of ``BATCH_KEYS``."""
+def read_log(spark: SparkSession, path: str, schema: str | None = None, but: str | None = None) -> DataFrame:
+    """All finished rows of a keyed log, but for those of one key; without any, none of ``BATCH_KEYS``."""
     from tremor.sources.documents import BATCH_KEYS
 
-    have = finished(spark, path)
+    have = [p for p in finished(spark, path) if not but or not p.endswith(f"/chunk={but}")]
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(have) if have else spark.createDataFrame([], schema or BATCH_KEYS)
 
