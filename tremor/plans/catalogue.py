@@ -3,11 +3,11 @@ of the same result. All run over whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions import names as N
-from tremor.operators import batch, classify, diff, experiment, generate, graph, match, patch, propagate, spans, style, targets
+from tremor.operators import batch, classify, diff, experiment, generate, graph, match, parse, patch, propagate, spans, style, targets, temporal
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,10 +27,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def lit_table(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(sql)
-
-
 def edges(spark, sf, both: bool = True) -> DataFrame:
     one = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"))
     return (one.union(one.select("callee", "caller")) if both else one).distinct()
@@ -671,3 +667,128 @@ def first_errors(spark, sf):
     zero = F.lit(0).cast("long")
     log = c.select("role", F.lit(False).alias("ok"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"), zero.alias("latency_ms"), F.concat(F.lit("e"), "turn", F.left("text", F.lit(3))).alias("error"))
     return generate.call_stats(log, ["role"]).select("role", F.array_join("errors", "|").alias("errors"))
+
+
+HELD_SQL = "h AS (SELECT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee, (l_orderkey % 10)::INT AS since, least((l_orderkey % 10) + l_linenumber, 11)::INT AS until FROM lineitem)"
+
+
+def held_edges(spark, sf):
+    """Edges that hold for some of twelve commits."""
+    since = (F.col("l_orderkey") % 10).cast("int")
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"), since.alias("since"), F.least(since + F.col("l_linenumber").cast("int"), F.lit(11)).cast("int").alias("until"))
+
+
+@query(f"""WITH {HELD_SQL}, o AS (SELECT DISTINCT caller, callee, unnest(range(since, until + 1)) AS n FROM h),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY caller, callee ORDER BY n) AS run FROM o)
+SELECT caller, callee, min(n)::INT AS since, max(n)::INT AS until FROM g GROUP BY caller, callee, run""")
+def temporal_edges(spark, sf):
+    return temporal.coalesce(held_edges(spark, sf), ["caller", "callee"])
+
+
+@query(f"""WITH RECURSIVE {HELD_SQL}, o AS (SELECT DISTINCT caller, callee, unnest(range(since, until + 1)) AS n FROM h),
+e AS (SELECT caller, callee, n FROM o UNION SELECT callee, caller, n FROM o),
+r(ord, q, h) AS (SELECT n, 'p' || (n + 1), 0 FROM (SELECT unnest(range(12)) AS n) UNION SELECT r.ord, e.caller, h + 1 FROM r JOIN e ON e.callee = r.q AND e.n = r.ord WHERE h < 3),
+b AS (SELECT ord, q, min(h) AS hop FROM r GROUP BY 1, 2),
+src AS (SELECT c.ord, c.q, min(e.callee) AS source FROM b c JOIN e ON e.caller = c.q AND e.n = c.ord JOIN b p ON p.q = e.callee AND p.ord = c.ord AND p.hop + 1 = c.hop GROUP BY 1, 2)
+SELECT ord::INT AS ord, b.q AS qualname, hop::BIGINT AS hop, source FROM b LEFT JOIN src USING (ord, q)""")
+def temporal_impact(spark, sf):
+    one = held_edges(spark, sf)
+    both = temporal.coalesce(one.union(one.select("callee", "caller", "since", "until")), ["caller", "callee"])
+    start = spark.range(12).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("p"), F.col("id") + 1).alias("qualname"))
+    return propagate.impact(both, start, 3, at="ord").select("ord", "qualname", F.col("hop").cast("long").alias("hop"), "source")
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, c_mktsegment AS v, unnest(range(c_custkey % 30, c_custkey % 30 + 9)) AS n FROM customer), b AS (SELECT s_nationkey AS k, unnest(range(s_suppkey % 20, s_suppkey % 20 + 6)) AS n FROM supplier),
+o AS (SELECT DISTINCT k, v, n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND b.n = a.n)) SELECT k, n AS ord, min(v) AS first, max(v) AS last FROM o GROUP BY 1, 2""")
+def temporal_subtract_best(spark, sf):
+    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("v"), (F.col("c_custkey") % 30).alias("since"), (F.col("c_custkey") % 30 + 8).alias("until"))
+    b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 20).alias("since"), (F.col("s_suppkey") % 20 + 5).alias("until"))
+    left = temporal.subtract(temporal.coalesce(a, ["k", "v"]), b, ["k"])
+    lo, hi = temporal.best(left, ["k"], ["v"]), temporal.best(left, ["k"], ["v"], greatest=True)
+    both = temporal.join(lo.withColumnRenamed("v", "first"), hi.withColumnRenamed("v", "last"), ["k"])
+    return both.select("k", F.explode(F.sequence("since", "until")).alias("ord"), "first", "last")
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id, event_id AS line FROM events WHERE event_type = 'error'), s AS (SELECT user_id, event_id AS lo, event_id + CAST(floor(value * 20) AS BIGINT) AS hi FROM events WHERE event_type = 'view')
+SELECT p.user_id, p.line, count(*)::BIGINT AS n, min(lo) AS first FROM p JOIN s ON s.user_id = p.user_id AND p.line BETWEEN s.lo AND s.hi GROUP BY 1, 2""")
+def spans_containing(spark, sf):
+    e = table(spark, sf, "events")
+    views = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + F.floor(F.col("value") * 20).cast("long")).alias("hi"))
+    found = spans.containing(e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("line")), views, ["user_id"])
+    return found.groupBy("user_id", "line").agg(F.count(F.lit(1)).alias("n"), F.min("span.lo").alias("first"))
+
+
+@query("""WITH t AS (SELECT l_returnflag AS grp, 'f' || l_partkey AS qualname, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT grp, qualname, 0::BIGINT AS hop, grp || '|' || qualname || '|' AS prompt FROM t UNION ALL SELECT grp, 'g' || qualname, 1, grp || '|g' || qualname || '|from ' || grp || '|' || qualname || '|' FROM t""")
+def layered_prompts(spark, sf):
+    """Prompts of two hops, with the same names in several groups: each sees the analysis of its own group."""
+    low = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), F.concat(F.lit("f"), "l_partkey").alias("qualname")).distinct()
+    up = low.select("grp", F.concat(F.lit("g"), "qualname").alias("qualname"), F.lit(1).alias("hop"), F.col("qualname").alias("source"))
+    all_ = low.select("grp", "qualname", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source")).unionByName(up)
+    speak = lambda p: f"[DOCSTRING]d[/DOCSTRING][ANALYSIS]from {p}[/ANALYSIS]"
+    out = generate.layered(all_, speak, 1, lambda d: F.concat_ws("|", "grp", "qualname", F.coalesce("parent_analysis", F.lit(""))), ("grp",))
+    return out.select("grp", "qualname", F.col("hop").cast("long").alias("hop"), "prompt")
+
+
+def _file() -> Column:
+    return F.concat_ws("_", F.substring("p_brand", 7, 2), F.floor(F.col("p_partkey") / 1000).cast("string"))
+
+
+def _sources(spark, sf, snippet) -> DataFrame:
+    """A file a type, brand and thousand of keys, with a piece of code a part."""
+    key = F.col("p_partkey")
+    pieces = table(spark, sf, "part").groupBy("p_type", _file().alias("file")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), snippet.alias("t")))).alias("s"))
+    path = F.concat(F.lit("pkg/b"), "file", F.lit(".py"))
+    return pieces.select(F.col("p_type").alias("commit"), path.alias("path"), F.array_join(F.transform("s", lambda x: x["t"]), "").alias("source"))
+
+
+def _piece(*parts) -> Column:
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+
+PIECES_SQL = """y AS (SELECT *, substr(p_brand, 7, 2) || '_' || (p_partkey // 1000) AS file FROM part),
+x AS (SELECT p_type AS commit, 'pkg/b' || file || '.py' AS path, 'pkg.b' || file AS module, p_partkey AS k, p_size AS n, row_number() OVER (PARTITION BY p_type, file ORDER BY p_partkey) - 1 AS i FROM y)"""
+
+
+def _functions(spark, sf):
+    return _sources(spark, sf, _piece("def f", F.col("p_partkey"), "(a, *b):\n    return g", F.col("p_size"), "(a)\n\n\n"))
+
+
+@query(f"WITH {PIECES_SQL} SELECT commit, path, i::INT AS ordinal, 'function' AS kind, module || '.f' || k AS qualname, (4 * i + 1)::INT AS lineno, (4 * i + 2)::INT AS end_lineno, 'a,*b' AS params FROM x")
+def defs_of_files(spark, sf):
+    return parse.parse_defs(_functions(spark, sf)).select("commit", "path", "ordinal", "kind", "qualname", "lineno", "end_lineno", F.array_join("params", ",").alias("params"))
+
+
+@query(f"WITH {PIECES_SQL} SELECT commit, path, module || '.f' || k AS caller, 'g' || n AS callee, (4 * i + 2)::INT AS line FROM x")
+def calls_of_files(spark, sf):
+    return parse.parse_calls(_functions(spark, sf)).select("commit", "path", "caller", "callee", "line")
+
+
+def _classes(spark, sf):
+    n = F.col("p_size")
+    return _sources(spark, sf, _piece("class C", F.col("p_partkey"), "(Base", n, "):\n    def m(self, x: T", n, "):\n        super().m()\n        y = U", n, "()\n        y.go()\n        x.run()\n        return self.n()\n\n\n"))
+
+
+@query(f"""WITH {PIECES_SQL}, c AS (SELECT *, module || '.C' || k AS cls FROM x)
+SELECT commit, cls || '.m' AS caller, unnest(['Base' || n || '.m', 'super', 'U' || n, 'U' || n || '.go', 'T' || n || '.run', cls || '.n']) AS callee, unnest([9 * i + 3, 9 * i + 3, 9 * i + 4, 9 * i + 5, 9 * i + 6, 9 * i + 7])::INT AS line FROM c""")
+def calls_level2(spark, sf):
+    """Bases, ``super()``, annotated and assigned types."""
+    return parse.parse_calls(_classes(spark, sf), 2).select("commit", "caller", "callee", "line")
+
+
+@query(f"WITH {PIECES_SQL} SELECT commit, module || '.C' || k AS child, 0 AS ord, 'Base' || n AS base FROM x")
+def bases_of_files(spark, sf):
+    return parse.parse_bases(_classes(spark, sf)).select("commit", "child", "ord", "base")
+
+
+@query(f"""WITH {PIECES_SQL}, t AS (SELECT commit, path, string_agg('def f' || k || '(a, *b):' || chr(10) || '    \"\"\"Of ' || n || (CASE WHEN k % 2 = 0 THEN ': a and b' ELSE ': x' END) || '.\"\"\"' || chr(10) || '    return g' || n || '(a)' || repeat(chr(10), 3), '' ORDER BY k) AS s FROM x GROUP BY 1, 2)
+SELECT x.commit, module || '.f' || k AS qualname, 'inserted' AS status, md5(s) AS source, k % 2 = 0 AS ok, CASE WHEN k % 2 = 0 THEN '' ELSE 'missing_params' END AS errors, CASE WHEN k % 2 = 0 THEN '' ELSE 'a,*b' END AS missing FROM x JOIN t USING (commit, path)""")
+def patched_files(spark, sf):
+    """Docstrings into every function of every file, and what the verifier says of them."""
+    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    doc = _piece('\"\"\"Of ', F.col("p_size"), F.when(k % 2 == 0, ": a and b").otherwise(": x"), '.\"\"\"')
+    edits = part.select(F.col("p_type").alias("commit"), _piece("pkg/b", _file(), ".py").alias("path"), _piece("pkg.b", _file(), ".f", k).alias("qualname"), F.array(doc).alias("docstring_lines"))
+    done = patch.apply_patches(_functions(spark, sf), edits)
+    checked = patch.verify(done).select("commit", "path", "qualname", "ok", F.array_join("errors", ",").alias("errors"), F.array_join("missing", ",").alias("missing"))
+    return done.join(checked, ["commit", "path", "qualname"]).select("commit", "qualname", "status", F.md5("new_source").alias("source"), "ok", "errors", "missing")
