@@ -258,3 +258,33 @@ def test_pages_are_files(spark, tmp_path):
     pages = spark.createDataFrame([("README_1.md", "# One\né"), ("README_2.md", ""), (None, "x")], "name string, readme string")
     assert sinks.named_files(pages, "name", "readme", str(tmp_path / "pages")) == 2
     assert (tmp_path / "pages" / "README_1.md").read_text() == "# One\né" and len(list((tmp_path / "pages").iterdir())) == 2
+
+
+def test_styles_are_kept_until_the_head_changes(spark, tmp_path, monkeypatch):
+    from tremor.operators import style
+    from tremor.sources import git as source
+    from tremor.sources.parsed import ParseStore
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    (tmp_path / "r").mkdir()
+    git("init", "-q", "-b", "main")
+    for k in range(6):  # the styles stand in docstrings of modules only
+        (tmp_path / "r" / f"m{k}.py").write_text(f'"""Module {k}.\n\nParameters\n----------\nx : int\n"""\n\n\ndef f():\n    pass\n')
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    options, real, asked = workflow.Options(cache=str(tmp_path / "cache")), style.winner, []
+    monkeypatch.setattr(style, "winner", lambda *a: asked.append(1) or real(*a))
+
+    def styles():
+        listed = workflow.commits_of(spark, str(tmp_path / "r"), None, 1)
+        trees = source.read(spark, str(tmp_path / "r"), "trees", n="1").select("commit", "path", "blob")
+        store = ParseStore(spark, str(tmp_path / "r"))
+        store.refresh(trees)
+        new = workflow.Files(trees, str(tmp_path / "r"), store)
+        return workflow.styles_of(spark, str(tmp_path / "r"), listed, new, new.parsed("defs", 2), options).first()
+
+    first = styles()
+    assert (first.style, first.numpy, first.confidence) == ("numpy", 6, 1.0) and styles() == first and len(asked) == 1
+    (tmp_path / "r" / "m0.py").write_text("x = 1\n")
+    git("commit", "-qam", "two")
+    assert styles().numpy == 5 and len(asked) == 2 and styles().numpy == 5 and len(asked) == 2

@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--snapshot", default="commit", choices=["commit", "worktree"])
         c.add_argument("--resume", action="store_true")
         c.add_argument("--store", help="folder of parsed sources that later runs use again")
+        c.add_argument("--cache", help="folder that keeps the style found for a repository")
         c.add_argument("--chunk", type=int, default=workflow.CHUNK, help="commits of a batch that are written together")
         c.add_argument("--timeout", type=float, default=workflow.TIMEOUT_S, help="seconds a commit of a batch")
         c.add_argument("--seeds", help="for propagate: a seeds document, a glob or a folder, of which the newest counts")
@@ -52,7 +53,7 @@ def options_of(a: argparse.Namespace) -> workflow.Options:
         base = propagate.preset(a.ablation)
         typed = propagate.Config(base.weights, base.gamma if a.gamma is None else a.gamma, base.threshold if a.threshold is None else a.threshold, base.max_hops if a.max_hops is None else a.max_hops)
     mode = "llm" if a.mode == "llm" else "template"
-    return workflow.Options(mode, 2 if a.max_hops is None else a.max_hops, a.parser_level, a.seed_scope, a.limit_targets, a.style, direction=a.direction, fuzzy=not a.exact, typed=typed, snapshot=a.snapshot, store=a.store)
+    return workflow.Options(mode, 2 if a.max_hops is None else a.max_hops, a.parser_level, a.seed_scope, a.limit_targets, a.style, direction=a.direction, fuzzy=not a.exact, typed=typed, snapshot=a.snapshot, store=a.store, cache=a.cache)
 
 
 def generator_of(a: argparse.Namespace):

@@ -18,6 +18,7 @@ from tremor.functions.names import BUILTINS, EXTERNAL_MODULES
 DEFS_SCHEMA = "ordinal int, kind string, qualname string, lineno int, end_lineno int, body_line int, params array<string>, docstring string"
 CALLS_SCHEMA = "caller string, callee string, line int"
 BASES_SCHEMA = "child string, ord int, base string"
+DOCS_SCHEMA = "docstring string"
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _OUTSIDE = frozenset(BUILTINS) | frozenset(EXTERNAL_MODULES)
 
@@ -189,6 +190,13 @@ def bases(source: str | None, module: str) -> list[tuple[str, int, str]]:
     return sorted(_bases(tree, module, _Resolver(tree, module, 1))) if tree is not None else []
 
 
+def docs(source: str | None, module: str) -> list[tuple[str]]:
+    """The module's own docstring, if it has one."""
+    tree = tree_of(source)
+    doc = ast.get_docstring(tree) if tree is not None else None
+    return [(doc,)] if doc else []
+
+
 def _rows(parser, schema: str):
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -206,6 +214,7 @@ ARROW = {
     DEFS_SCHEMA: pa.schema([("blob", _S), ("ordinal", _I), ("kind", _S), ("qualname", _S), ("lineno", _I), ("end_lineno", _I), ("body_line", _I), ("params", pa.list_(_S)), ("docstring", _S)]),
     CALLS_SCHEMA: pa.schema([("blob", _S), ("caller", _S), ("callee", _S), ("line", _I)]),
     BASES_SCHEMA: pa.schema([("blob", _S), ("child", _S), ("ord", _I), ("base", _S)]),
+    DOCS_SCHEMA: pa.schema([("blob", _S), ("docstring", _S)]),
 }
 
 
@@ -234,6 +243,11 @@ def parse_bases(files: DataFrame) -> DataFrame:
     return _parsed(files, bases, BASES_SCHEMA)
 
 
+def parse_docs(files: DataFrame) -> DataFrame:
+    """(commit, path, docstring) of modules that have one."""
+    return _parsed(files, docs, DOCS_SCHEMA)
+
+
 def register_udtfs(spark) -> None:
     """``py_defs(source, module)`` and ``py_calls(source, module)`` for SQL."""
     from pyspark.sql.functions import udtf

@@ -53,9 +53,12 @@ def winner(counted: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
     return counted.withColumn("style", F.when(known < min_votes, "google").otherwise(name)).withColumn("confidence", F.when(known < min_votes, 0.0).otherwise(F.coalesce(F.try_divide(best, known), F.lit(0.0))))
 
 
-def docstring_corpus(files: DataFrame, defs: DataFrame, max_files: int = 50, seed: int = 42) -> DataFrame:
-    """Docstrings over 20 characters of a fixed sample of non-test files: in each commit, those of least hash."""
+def docstring_corpus(files: DataFrame, defs: DataFrame, max_files: int = 50, seed: int = 42, modules: DataFrame | None = None) -> DataFrame:
+    """Docstrings over 20 characters of a fixed sample of non-test files: in each commit, those of least hash.
+    ``modules(commit, path, docstring)`` has those of the modules themselves."""
     skipped = F.regexp_like("path", F.lit(r"(^|/)(venv|env|build|dist)/"))
     listed = files.where(~N.is_test_path(F.col("path")) & ~skipped).select("commit", "path").distinct()
     chosen = top_per_key(listed, ["commit"], [F.xxhash64("path", F.lit(seed)), "path"], max_files)
+    defs = defs.select("commit", "path", "docstring")
+    defs = defs if modules is None else defs.unionByName(modules.select("commit", "path", "docstring"))
     return defs.join(chosen, ["commit", "path"], "left_semi").where(F.length("docstring") > 20).select("commit", "path", "docstring")

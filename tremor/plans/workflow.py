@@ -7,6 +7,8 @@ key of every join and aggregate, as names of different commits must not meet. Th
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import threading
 import time
 import uuid
@@ -21,6 +23,7 @@ from tremor.operators import batch, classify, generate, graph, match, parse, pat
 from tremor.operators import seeds as seed_ops
 from tremor.operators.diff import parse_hunks, patch_stats
 from tremor.sources import git, sinks
+from tremor.sources.cache import KeyValue
 from tremor.sources.parsed import ParseStore, modules
 
 BY = ("commit",)
@@ -40,6 +43,7 @@ class Options:
     typed: propagate.Config | None = None
     snapshot: str = "commit"
     store: str | None = None  # folder of parsed sources that outlasts the run
+    cache: str | None = None  # folder of detected styles
 
 
 @dataclass(frozen=True)
@@ -57,10 +61,10 @@ class Files:
         return (git.contents(mine, self.repo) if self.store else mine).select("commit", "path", "source")
 
     def parsed(self, kind: str, level: int) -> DataFrame:
-        """The defs, calls or bases."""
+        """The defs, calls, bases or docs (of modules)."""
         if self.store:
             return self.store.table(self.entries, kind)
-        return {"defs": parse.parse_defs, "calls": lambda f: parse.parse_calls(f, level), "bases": parse.parse_bases}[kind](self.entries)
+        return {"defs": parse.parse_defs, "calls": lambda f: parse.parse_calls(f, level), "bases": parse.parse_bases, "docs": parse.parse_docs}[kind](self.entries)
 
 
 def commits_of(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int | None = None) -> DataFrame:
@@ -189,6 +193,24 @@ def readmes(repo: str, diffs: DataFrame, targets_: DataFrame, generator: generat
     return done.select("commit", F.concat(F.lit("README_"), F.substring("commit", 1, 8), F.lit("_"), F.substring(F.sha2(text, 256), 1, 6), F.lit(".md")).alias("name"), text.alias("readme"))
 
 
+STYLES = "commit string, google bigint, numpy bigint, sphinx bigint, unknown bigint, style string, confidence double"
+
+
+def styles_of(spark: SparkSession, repo: str, commits: DataFrame, new: Files, defs: DataFrame, options: Options) -> DataFrame:
+    """(commit, votes, style, confidence). With a ``cache`` the styles of a repository are kept for the commits they
+    were found at: the same commits read them, any other head replaces them."""
+    cache = KeyValue(spark, options.cache) if options.cache and options.snapshot == "commit" else None
+    key, version = os.path.abspath(repo), ""
+    if cache:
+        version = hashlib.sha256("\n".join(r.commit for r in commits.select("ord", "commit").orderBy("ord").collect()).encode()).hexdigest()  # a list the caller asked for
+        if (found := cache.get(key, version)) is not None:
+            return spark.createDataFrame([(r,) for r in json.loads(found)], "row string").select(F.from_json("row", STYLES).alias("r")).select("r.*")
+    votes = cut(style.winner(style.votes(style.docstring_corpus(new.entries, defs, modules=new.parsed("docs", options.level)), ["commit"])))
+    if cache:
+        cache.put(key, version, json.dumps([r[0] for r in votes.select(F.to_json(F.struct("*"))).collect()]))  # a row a commit
+    return votes
+
+
 def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int | None = None, options: Options = Options(), generator: generate.Generator | None = None) -> dict[str, DataFrame]:
     """All tables of the analysis, keyed by commit."""
     listed = commits_of(spark, repo, commits, n)
@@ -207,8 +229,9 @@ def run(spark: SparkSession, repo: str, commits: list[str] | None = None, n: int
         more = named.select("commit", "qualname", F.lit(0).alias("hop"), F.col("reason"), F.lit(True).alias("is_internal"))
         near = targets.candidates(more, nodes.drop("ordinal"), 0, by=BY)
         chosen = cut(chosen.unionByName(near.select("commit", *[c for c in chosen.columns if c in near.columns and c != "commit"]), allowMissingColumns=True))
-    votes = style.winner(style.votes(style.docstring_corpus(new.entries, defs), ["commit"]))
-    if options.style != "auto":
+    if options.style == "auto":
+        votes = styles_of(spark, repo, listed, new, defs, options)
+    else:
         votes = listed.select("commit").withColumns({"style": F.lit(options.style), "confidence": F.lit(1.0)})
     lines = N.placeholder_docstring(F.col("params"))
     work = chosen.withColumnRenamed("rel_path", "path")

@@ -1,7 +1,7 @@
 """Parsed sources by content: every (blob, module) of a repository is read and parsed once, ever.
 
 A store is a folder of generations, each a Parquet table with one row a (blob, module): whether it parsed, and its
-definitions, calls and bases as arrays. A generation counts when its ``_SUCCESS`` file is there, so a run that dies
+definitions, calls, bases and module docstring as arrays. A generation counts when its ``_SUCCESS`` file is there, so a run that dies
 leaves nothing half done; where two runs parsed the same content, the least generation has it. Blobs are read and
 parsed in one step by the tasks that hold their names, so no source text is ever shuffled or stored.
 
@@ -21,7 +21,7 @@ from tremor.functions.names import module_qual
 from tremor.operators import parse
 from tremor.sources import git, sinks
 
-_FIELDS = {"defs": parse.DEFS_SCHEMA, "calls": parse.CALLS_SCHEMA, "bases": parse.BASES_SCHEMA}
+_FIELDS = {"defs": parse.DEFS_SCHEMA, "calls": parse.CALLS_SCHEMA, "bases": parse.BASES_SCHEMA, "docs": parse.DOCS_SCHEMA}
 
 
 def _struct(schema: str) -> str:
@@ -47,7 +47,7 @@ def _parser(repo: str, level: int, gen: str):
             for (blob, module), raw in zip(keys, git.blobs(repo, [b for b, _ in keys]), strict=True):
                 source = git.decoded(raw)
                 ok = source is not None and parse.tree_of(source) is not None
-                found = {"defs": parse.definitions(source, module), "calls": parse.calls(source, module, level), "bases": parse.bases(source, module)} if ok else {}
+                found = {"defs": parse.definitions(source, module), "calls": parse.calls(source, module, level), "bases": parse.bases(source, module), "docs": parse.docs(source, module)} if ok else {}
                 out.append({"blob": blob, "module": module, "gen": gen, "ok": ok} | {k: [dict(zip(names[k], r, strict=True)) for r in rows] for k, rows in found.items()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -90,7 +90,7 @@ class ParseStore:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self.last}").select("blob", "module")
 
     def table(self, entries: DataFrame, kind: str) -> DataFrame:
-        """The defs, calls or bases of ``entries(..., path, blob)``, with the columns of these."""
+        """The defs, calls, bases or docs of ``entries(..., path, blob)``, with the columns of these."""
         places = modules(entries).join(self.owners(), ["blob", "module"])
         rows = self.rows().select("blob", "module", "gen", F.explode(kind).alias("_r"))
         return places.join(rows, ["blob", "module", "gen"]).select(*entries.columns, "_r.*").drop("blob")
