@@ -79,7 +79,7 @@ class ParseStore:
     def refresh(self, entries: DataFrame) -> int:
         """Parse what ``entries(path, blob)`` have and the store has not; how many that were."""
         wanted = modules(entries.where("blob is not null")).select("blob", "module").distinct()
-        new = wanted.join(self.owners().select("blob", "module"), ["blob", "module"], "left_anti")
+        new = wanted.join(self.rows().select("blob", "module"), ["blob", "module"], "left_anti") if self.generations() else wanted
         gen = uuid.uuid4().hex
         new.mapInArrow(_parser(self.repo, self.level, gen), SCHEMA).write.parquet(f"{self.path}/{gen}")
         self.last = gen
@@ -91,9 +91,12 @@ class ParseStore:
 
     def table(self, entries: DataFrame, kind: str) -> DataFrame:
         """The defs, calls, bases or docs of ``entries(..., path, blob)``, with the columns of these."""
-        places = modules(entries).join(self.owners(), ["blob", "module"])
         rows = self.rows().select("blob", "module", "gen", F.explode(kind).alias("_r"))
-        return places.join(rows, ["blob", "module", "gen"]).select(*entries.columns, "_r.*").drop("blob")
+        key = ["blob", "module"]
+        places = modules(entries)
+        if len(self.generations()) > 1:  # within one, a content has one row
+            places, key = places.join(self.owners(), key), [*key, "gen"]
+        return places.join(rows, key).select(*entries.columns, "_r.*").drop("blob")
 
     def compact(self) -> None:
         """All generations as one, which is written before they go."""
