@@ -34,13 +34,22 @@ def test_repeated_ids_prefer_a_text(spark):
     assert sorted(map(tuple, pipeline.near_dedup_stage(spark, df, DATA).collect())) == [(7, "a real article"), (8, "another article altogether"), (9, None)]
 
 
+def test_different_texts_of_one_id_stay(spark):
+    one, two = ("".join(f"{w}{k} " for k in range(60)) for w in ("stone", "river"))
+    near = one.replace("stone30 ", "stone30 changed ")
+    rows = [(7, one), (7, two), (3, near), (9, two), (9, two), (9, "a text of its own, quite short"), (5, one), (5, near), (6, ""), (6, None), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline.near_dedup_stage(spark, df, DATA).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(3, near), (7, two), (9, "a text of its own, quite short"), (6, ""), (0, one)])
+
+
 def test_odd_rows_pass_every_stage(spark, odd, none):
     for docs in (odd, none):
         for _, stage in pipeline.STAGES[:-1]:
             out = stage(spark, docs, DATA)
             assert out.columns == docs.columns and out.count() <= docs.count()
     kept = pipeline.near_dedup_stage(spark, odd, DATA).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15] and sum(r.doc_id is None for r in kept) == 2
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 4, 5, 6, 7, 7, 8, 10, 11, 12, 13, 14, 15] and sum(r.doc_id is None for r in kept) == 2
     assert pipeline.decontaminate_stage(spark, odd, DATA).count() == odd.count()
     assert pipeline.packing_stage(spark, none, DATA).count() == 0
 

@@ -36,6 +36,7 @@ SYMBOLS, CHUNKS, MAX_DISTANCE, BUCKET, SALT, SPREAD, ORDER_BITS = 56, 14, 27, 64
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * T.U64(2) + T.U64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+SET = ["h1", "h2", "n_shingles"]
 ONE_WILD = [~(0xFFFF << 16 * j) for j in range(4)]
 
 
@@ -90,8 +91,12 @@ def _keys(sig: Column) -> Column:
 
 
 def _close(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Of ``pairs(a, bs, salts)``, the single pairs (a, b, salts) whose signatures are near enough."""
-    both = pairs.join(sig.toDF("a", "sa"), "a").select("a", "sa", "salts", F.explode("bs").alias("b")).join(sig.toDF("b", "sb"), "b")
+    """Of ``pairs(a, bs, salts)``, the single pairs (a, b, salts) whose signatures are near enough. Members of a
+    hub b are dealt over their salts, each of which gets a copy of the hub's signature."""
+    pairs = stored(pairs, "tried")
+    salt = F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")
+    owners = pairs.select(F.explode("bs").alias("b"), salt).distinct().join(sig.toDF("b", "sb"), "b")
+    both = pairs.join(sig.toDF("a", "sa"), "a").select("a", "sa", "salts", salt, F.explode("bs").alias("b")).join(owners, ["b", "salt"])
     return stored(both.where(distance(F.col("sa"), F.col("sb")) <= MAX_DISTANCE).select("a", "b", "salts"), "close")
 
 
@@ -239,10 +244,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
     sigs = stored(docs.select("doc_id", "text").mapInArrow(_signatures, SIG_SCHEMA), "sigs")
     real = sigs.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    reps = stored(real.groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    # copies of one set, and texts without words, are dealt over salts: each salt that has some gets the set's rep
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("part")
+    parts = stored(real.select(*SET, part).distinct().join(reps.select(*SET, "rep"), [*SET]), "parts")
     rows = stored(
-        sigs.drop("sig").join(reps.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "rows"
+        sigs.select("doc_id", *SET, part).join(parts, [*SET, "part"], "left")
+        .select("doc_id", "n_shingles", "part", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "rows"
     )
     same_id = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     same_id = same_id.where("lo <> hi or lo <> doc_id").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -267,8 +275,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         pairs = pairs.union(prefix_pairs(docs, large))
     pairs = pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
-    single = pairs.distinct().select("a", F.array("b").alias("bs"), F.lit(SPREAD).cast("long").alias("salts"))
-    more = verified(docs, _close(single, sig))
+    single = stored(pairs.distinct(), "single")
+    busy = single.groupBy("b").count().where(F.col("count") > SPREAD * SALT)  # few: each has over a thousand pairs
+    salts = F.greatest(F.lit(SPREAD).cast("long"), _salts(F.coalesce("count", F.lit(0))))
+    more = verified(docs, _close(single.join(busy, "b", "left").select("a", F.array("b").alias("bs"), salts.alias("salts")), sig))
     named = reps.select("rep").distinct().join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     if not more.isEmpty():  # links between components
         named = stored(named, "named")
@@ -276,7 +286,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         joint = components(stored(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "joint"))
         named = named.join(joint.select(F.col("id").alias("comp"), F.col("comp").alias("least")), "comp", "left").select("rep", F.coalesce("least", "comp").alias("comp"))
 
-    out = rows.join(named, "rep", "left").select(
+    homes = parts.select("rep", "part").distinct().join(named, "rep")  # a repeated id has several sets
+    out = rows.join(homes, ["rep", "part"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id")).alias("component_id")
     )
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
