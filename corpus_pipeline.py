@@ -5,8 +5,10 @@ written as Parquet and read again for the next one. All but the last return the
 
 1. quality: rows whose score under the factorisation machine is below one half go (trained on the
    labelled rows of ``sf_dir``, whatever ``docs`` is).
-2. near_dedup: one document of each near-duplicate group stays, that with the smallest doc_id; of
-   rows that repeat a doc_id, the least, one without a text only if none has one; rows with a null doc_id stay.
+2. near_dedup: one document of each near-duplicate group stays, that with the smallest doc_id; different
+   texts of one doc_id are documents of their own, and of those that are near-duplicates the one with the
+   least hash stays; of rows with the same doc_id and text the least stays; a row without words goes if its
+   doc_id has another row; rows with a null doc_id stay.
 3. decontaminate: rows that hold a window of a benchmark item go; a null doc_id is told apart by its text.
 4. pii: spans of personal data are replaced by their kind in angle brackets, and n_chars follows.
 5. packing: the pieces of sequences of at most 2048 tokens.
@@ -36,14 +38,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs).where("doc_id is not null")
-    ids = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "ids")
-    alone = docs.join(ids.where("not kept or n > 1").select("doc_id"), "doc_id", "left_anti")  # rows with a null id among them
-    again = docs.join(ids.where("kept and n > 1").select("doc_id"), "doc_id", "left_semi")
-    row = F.struct(*_columns(docs))
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    folded = again.groupBy("doc_id").agg(F.min_by(row, F.struct(blank, "text", F.to_json(row))).alias("row")).select("row.*")
-    return alone.select(_columns(docs)).unionByName(folded)
+    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(_columns(docs))
+
+    # different texts of one id are documents of their own, under a key of id and text
+    key = F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("key")
+    marked = docs.select("doc_id", "text", F.struct(*_columns(docs)).alias("row")).join(repeated.select("doc_id", F.lit(True).alias("again")), "doc_id", "left")
+    keyed = stored(marked.select(key, "doc_id", F.col("again").isNotNull().alias("again"), F.to_json("row").alias("least"), "row"), "keyed")
+    found = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text")).where("doc_id is not null").withColumnRenamed("doc_id", "key")
+    nodes = found.distinct().join(keyed.select("key", "doc_id").distinct(), "key")
+    nodes = stored(nodes.select("key", F.struct("doc_id", "key").alias("first"), F.coalesce("component_id", "key").alias("group"), (F.col("n_shingles") == 0).alias("blank")), "nodes")
+    leaders = nodes.groupBy("group").agg(F.min("first").alias("first"), F.first("blank").alias("blank"))
+    # of the rows of an id without words one stays, and only if no row of that id has words
+    blank = leaders.where("blank").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.min("first.key").alias("key"))
+    blank = blank.join(nodes.where("not blank").select("first.doc_id").distinct(), "doc_id", "left_anti").select("key")
+    kept = stored(leaders.where("not blank").select("first.key").union(blank), "kept")
+    staying = keyed.join(kept, "key", "left_semi")
+    folded = staying.where("again").groupBy("key").agg(F.min_by("row", "least").alias("row")).select("row.*")
+    return keyed.where("key is null").select("row.*").unionByName(staying.where("not again").select("row.*")).unionByName(folded)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
