@@ -569,6 +569,18 @@ def test_labels_equal_plain_search_and_survive_an_inserted_word(spark, docs):
             assert wanted[x.doc_id] in got, texts[x.doc_id]
 
 
+def test_short_and_partial_notices_are_found(spark):
+    warranty = "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
+    liable = " In no event shall the authors or copyright holders be liable for any claim, damages or other liability"
+    texts = {
+        "# SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache-2", "distributed under GPL v3 by us": "gpl-3", "it has a BSD style license": "bsd", warranty + liable: "mit",
+        warranty: "", "license identifier of a car": "", "gpl and v3 of it": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: ",".join(sorted({f.label for f in r.found})) for r in license_scan.scan(df).collect()}
+    assert got == texts
+
+
 def test_licences_keep_other_columns(spark):
     df = spark.sql("SELECT 1L AS doc_id, 'released under the MIT license' AS text, map('k', 1) AS w, 2 AS hits, 3 AS own, 4 AS raw, 5 AS `a.b`")
     out = license_scan.scan(df)

@@ -27,7 +27,6 @@ from tremor.llm.workspace import documents
 
 RARE, SLACK, COVER = 5, 4, 0.5
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]++"
 #: Fixed base phrases: label, words, the word to look up.
 BASE = [("mit", "under the mit license", "license"), ("apache-2", "apache license version 2", "apache"), ("cc-by-nc", "cc by nc", "nc")]
 #: Label, notice, mandatory key phrases. The wording is that of the public licence texts.
@@ -89,7 +88,19 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike"]),
     ("cc-by", "licensed under cc by 4 0", ["cc by 4"]),
+    ("gpl-3", "under gpl v3", ["gpl v3"]),
+    ("gpl-2", "under gpl v2", ["gpl v2"]),
+    ("bsd", "a bsd style license", ["bsd style license"]),
+    (
+        "mit",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+        ["warranty of any kind express or implied", "authors or copyright holders be liable"],
+    ),
 ]
+#: Short names that a file may declare in a line of its own.
+DECLARED = {"mit": "mit", "apache-2": "apache 2", "gpl-2": "gpl 2", "gpl-3": "gpl 3", "lgpl-2": "lgpl 2", "lgpl-3": "lgpl 3", "agpl-3": "agpl 3", "mpl-2": "mpl 2", "epl-2": "epl 2", "bsd": "bsd", "isc": "isc", "zlib": "zlib", "boost": "bsl 1", "unlicense": "unlicense", "cc0": "cc0 1"}
+TEMPLATES += [(label, f"spdx license identifier {name}", [f"license identifier {name}"]) for label, name in DECLARED.items()]
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for _, p, _ in BASE for w in p.split()})
 
 
@@ -102,13 +113,6 @@ def lowered(w: Column) -> Column:
     return F.transform(w, lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def _guard(text: Column) -> Column:
-    """Whether a text may hold a base phrase or all key phrases of some template: it has the words of the
-    first of them one after the other. Few texts do, and no other can get a label."""
-    phrases = sorted({p for _, p, _ in BASE} | {keys[0] for _, _, keys in TEMPLATES})
-    return F.regexp_like(text, F.lit("(?i)(?:" + "|".join(p.replace(" ", GAP) for p in phrases) + ")"))
-
-
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """How many documents there are, and how many have each word; few rows come back."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -155,8 +159,8 @@ def scan(docs: DataFrame) -> DataFrame:
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in VOCABULARY}
     by_rank = sorted(idf, key=lambda w: (-idf[w], w))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("_lic"), words(F.col("text")).alias("raw"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("_lic", F.size("raw").cast("long").alias("n_words"), F.when(_guard(F.col("text")), lowered(F.col("raw"))).otherwise(F.array().cast("array<string>")).alias("w"))
+    rows = docs.select(F.struct(*columns).alias("_lic"), lowered(words(F.col("text"))).alias("w"))
+    rows = rows.select("_lic", F.size("w").cast("long").alias("n_words"), "w")
     w = F.col("w")
     hit = F.filter(F.transform(w, lambda x, i: F.when(x.isin(by_rank), F.struct((F.array_position(F.array(*map(F.lit, by_rank)), x) - 1).cast("int").alias("r"), i.alias("i")))), lambda x: x.isNotNull())
     rows = rows.withColumn("hits", hit).withColumn("own", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["r"]))))
