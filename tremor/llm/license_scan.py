@@ -1,7 +1,8 @@
 """License scans over a positional rare-token index (operator 8), in SQL functions only.
 
 Notices are templates of some words; the index holds, for every template, its words with their positions, rarest
-first by their document frequency over all documents. A file's licence words are looked up there: of the
+first by their document frequency over all documents. A file's licence words are looked up there: of a template
+all of whose key words the file has, and of the
 words that it shares with a template, the ``RARE`` of highest inverse document frequency are taken, their
 postings in file and template give implied starts, and a place comes up only where two different
 words imply nearly the same start (at most ``SLACK`` apart, so words may be inserted or lost between
@@ -140,7 +141,8 @@ def index_of(idf: dict[str, float]) -> str:
         whole = sum(idf[w] for w in ws)
         postings = ", ".join(f"named_struct('r', {rank[w]}, 'p', {p}, 'idf', {idf[w] / whole!r}D, 'w', {_quoted(w)})" for p, w in enumerate(ws))
         own = ", ".join(str(r) for r in sorted({rank[w] for w in ws}))
-        rows.append(f"named_struct('label', {_quoted(label)}, 'size', {len(ws)}, 'ranks', array({own}), 'postings', array({postings}), 'keys', array({', '.join(_quoted(f' {k} ') for k in keys)}))")
+        need = ", ".join(str(r) for r in sorted({rank[w] for k in keys for w in k.split()}))
+        rows.append(f"named_struct('label', {_quoted(label)}, 'size', {len(ws)}, 'ranks', array({own}), 'need', array({need}), 'postings', array({postings}), 'keys', array({', '.join(_quoted(f' {k} ') for k in keys)}))")
     return f"array({', '.join(rows)})"
 
 
@@ -181,7 +183,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", F.concat(*(base_places(*b) for b in BASE)))
     places = f"transform(array({_IMPLIED.format(rare=RARE)}), a -> {_PLACES.format(slack=SLACK)})[0]"
     judged = f"transform({places}, s -> named_struct('label', t.label, 'cover', {_COVER.format(slack=SLACK)}))"
-    each = f"transform(filter({index_of(idf)}, t -> size(array_intersect(t.ranks, own)) > 1), t -> {judged})"
+    each = f"transform(filter({index_of(idf)}, t -> size(array_except(t.need, own)) = 0 AND size(array_intersect(t.ranks, own)) > 1), t -> {judged})"
     found = F.expr(f"IF(size(own) > 1, filter(flatten({each}), x -> x.cover >= {COVER}), CAST(array() AS array<struct<label:string,cover:double>>))")
     return rows.select("_lic.*", "n_words", "base", found.alias("found"))
 
