@@ -154,6 +154,58 @@ def test_labels_equal_plain_em_and_naive_bayes(spark, docs, which):
         assert {k[0] for k in got} == {k for k, (_, real) in enumerate(cases) if real}
 
 
+def plain_by_kind(loose, rounds=40):
+    """EM and naive Bayes inside one kind, candidate by candidate: whether each (votes, features) is accepted."""
+    n, known = len(loose), list(pii.KNOWN.values())
+    prior, miss, wrong = pii.PRIOR, [x[0] for x in known], [x[1] for x in known]
+    odds = lambda v: np.log(prior / (1 - prior)) + sum(np.log((1 - miss[j]) / wrong[j]) if x == 1 else np.log(miss[j] / (1 - wrong[j])) for j, x in enumerate(v) if x >= 0)
+    for step in range(rounds + 1):
+        post = [1 / (1 + np.exp(-odds(v))) for v, _ in loose]
+        if step < rounds:
+            tally = lambda j, vote, w: sum(x for x, (v, _) in zip(w, loose, strict=True) if v[j] in vote)
+            other = [1 - p for p in post]
+            miss = [(n * k[0] + tally(j, (0,), post)) / (n + tally(j, (0, 1), post)) for j, k in enumerate(known)]
+            wrong = [(n * k[1] + tally(j, (1,), other)) / (n + tally(j, (0, 1), other)) for j, k in enumerate(known)]
+            prior = (n * pii.PRIOR + sum(post)) / (2 * n)
+    yes, no, sums = sum(post), n - sum(post), {}
+    seen = [[*f[1:3], *map(str, v)] for v, f in loose]
+    for p, f in zip(post, seen, strict=True):
+        for key in enumerate(f):
+            a, b = sums.get(key, (0, 0))
+            sums[key] = a + p, b + 1 - p
+    ratio = {key: np.log((a + (a + b) / n) / (yes + 1)) - np.log((b + (a + b) / n) / (no + 1)) for key, (a, b) in sums.items()}
+    return [np.log((n * pii.PRIOR + yes) / (n * (1 - pii.PRIOR) + no)) + sum(ratio[key] for key in enumerate(f)) >= 0 for f in seen]
+
+
+@pytest.mark.parametrize("which", ["planted", "given"])
+def test_votes_decide_inside_a_kind(spark, which):
+    r = np.random.default_rng(22)
+    run = lambda first, n: first + "".join(r.choice(list("0123456789"), n - len(first)))
+    good = [next(x for x in iter(lambda: run("4", 16), None) if luhn(x)) for _ in range(3)]
+    # a group of digits before it keeps a card from being a base match
+    cases = [*decoys(r), *((f"box 12 {x} there", True) for x in good), *((f"box 12 {next(y for y in iter(lambda: run('4', 16), None) if not luhn(y))} there", False) for _ in range(30))]
+    cases += [("see the long-name-with-words-2024 page", False), ("a digest 0123456789abcdef0123456789abcdef01234567 alone", False)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string") if which == "planted" else spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    loose = [(row._row.doc_id, c) for row in pii.candidates(df.select("doc_id", "text")).collect() for c in row._pii if not c.base]
+    want = set()
+    for kind in {c.kind for _, c in loose}:
+        own = [(i, c) for i, c in loose if c.kind == kind]
+        want |= {(i, kind, c.start, c.stop) for (i, c), ok in zip(own, plain_by_kind([([*c.votes, *c.more], c.features) for _, c in own]), strict=True) if ok}
+    got = {(row.doc_id, s.kind, s.start, s.stop) for row in pii.find(df, by_kind=True).collect() for s in row._pii_spans if not s.base}
+    assert got == want and 0 < len(got) < len(loose)
+    if which == "planted":
+        assert {k[0] for k in got} == {k for k, (_, real) in enumerate(cases) if real}
+    else:
+        cards = [(c.votes[0], c.votes[4], (i, c.kind, c.start, c.stop) in got) for i, c in loose if c.kind == "card"]
+        assert all(ok for form, check, ok in cards if form == check == 1) and not any(ok for _, check, ok in cards if check == 0)
+
+
+def test_by_kind_of_odd_rows(spark, odd, odd_rows, none):
+    found = pii.find(odd, by_kind=True)
+    assert found.columns == [*odd.columns, "_pii_spans"] and found.count() == len(odd_rows) and pii.find(none, by_kind=True).count() == 0
+    assert pii.find(odd.where("doc_id = 5"), by_kind=True).first()._pii_spans == []
+
+
 def test_account_checksum(spark):
     df = spark.createDataFrame([("DE89370400440532013000",), ("GB82WEST12345698765432",), ("DE89370400440532013001",)], "v string")
     assert [r[0] for r in df.select(pii._iban_ok(df.v)).collect()] == [True, True, False]
