@@ -68,7 +68,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = pii.find(docs).withColumn("text", pii.redacted(F.col("text"), F.col("_pii_spans"))).drop("_pii_spans")
+    clean = pii.find(docs, by_kind=True).withColumn("text", pii.redacted(F.col("text"), F.col("_pii_spans"))).drop("_pii_spans")
     if "n_chars" in docs.columns and isinstance(kind := docs.schema["n_chars"].dataType, NumericType):
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return clean.select(_columns(docs))
