@@ -1,8 +1,11 @@
 import random
 
+import duckdb
 import pytest
+from helpers import same
 
 from tremor.operators import propagate
+from tremor.plans import catalogue
 
 
 def brute(edges, seeds, hops):
@@ -42,3 +45,11 @@ def test_presets(spark):
     assert ("no_decay", 4) not in got and ("high_decay", 4) not in got and got[("high_decay", 3)] == 0.027
     empty = propagate.score_distribution(out.where("score > 2")).first()
     assert empty.min_score is None and empty.above_05 == 0
+
+
+def test_products_that_end_in_a_half_round_as_their_sql(spark, tmp_path):
+    rows = [(1, 3), (2, 3), (2, 4), (1, 0), (5, 0), (5, 7), (9, 3), (9, 11)]  # 0.425 * 0.7225 * 0.51 = 0.156601875 among them
+    spark.createDataFrame([(p, s) for p, s in rows], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    same(catalogue.impact_mixed_types(spark, str(tmp_path)), c.sql(catalogue.SQL["impact_mixed_types"]))

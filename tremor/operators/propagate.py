@@ -15,6 +15,9 @@ WEIGHTS = {
     "OVERRIDES": 0.70, "IMPLEMENTS": 0.70, "DEFINES": 0.50,
 }
 DEFAULT_WEIGHT = 0.5
+#: Scores are kept to 15 decimal places, so that products of decimal factors are what they are on paper: 1e15 is exact
+#: in doubles, and so is the nearest double to a whole number divided by it.
+PLACES = 1e15
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,7 @@ def _typed(edges: DataFrame, seeds: DataFrame, configs: dict[str, Config], every
     frontier, most = best, max(c.max_hops for c in configs.values())
     for hop in range(1, most + 1):
         walk = frontier.where(pick(lambda c: c.max_hops) >= hop).join(step, [*by, "qualname"])
-        reach = walk.select(*group, "next", (F.col("score") * factor).alias("score"), F.col("qualname").alias("at"), "etype", "best_path", "edge_types_on_path").where(F.col("score") >= pick(lambda c: c.threshold))
+        reach = walk.select(*group, "next", (F.rint(F.col("score") * factor * PLACES) / PLACES).alias("score"), F.col("qualname").alias("at"), "etype", "best_path", "edge_types_on_path").where(F.col("score") >= pick(lambda c: c.threshold))
         reach = reach.groupBy(*group, "next").agg(F.min(F.struct((-F.col("score")).alias("neg"), "at", "etype", "best_path", "edge_types_on_path")).alias("m"))
         known = best.select(*group, F.col("qualname").alias("next"), F.col("score").alias("known"))
         new = reach.join(known, [*group, "next"], "left").where(F.col("known").isNull() | (-F.col("m.neg") > F.col("known")))
