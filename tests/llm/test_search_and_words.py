@@ -71,6 +71,17 @@ def test_a_bound_is_never_below_its_documents_and_ties_come_by_number():
         assert shard.top([(terms, weights)] * 2, k, [(0, 0), everything[4]]) == [everything[:k], everything[:4][:k]]
 
 
+def test_a_shard_in_memory_is_a_third_of_all_ranks_and_impacts():
+    r = np.random.default_rng(4)
+    docs = [r.integers(0, 400, 60).astype(np.uint64) for _ in range(3000)]
+    shard = lexical_search.Shard(lexical_search.shard_of(list(range(len(docs))), docs, len(docs), sum(map(len, docs))).to_pylist()[0])
+    held = sum(a.nbytes for a in vars(shard).values() if isinstance(a, np.ndarray))
+    assert held < 0.45 * 4 * shard.n * (2 * shard.height + 1)
+    one = np.concatenate([[0], np.cumsum(np.unpackbits(shard.bits[3], count=shard.n))])
+    at = np.arange(shard.n + 1)
+    assert (shard.ones(np.full(len(at), 3), at) == one).all()
+
+
 def test_search_equals_its_sql(spark, duck):
     same(lexical_search.op11_lexical_search(spark, DATA), duck.sql(lexical_search.OP11_SQL))
 

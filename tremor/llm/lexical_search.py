@@ -4,7 +4,7 @@ A shard of documents, numbered by doc_id, has one sequence of document numbers:
 after another, each term's by falling impact. A wavelet tree over this sequence halves the document numbers level
 by level and keeps the order inside a half. So a term is a range of the sequence at every node, its documents can be
 navigated by number, and the first posting of the range has the term's greatest impact in the node: the weighted
-sum of these bounds a document below. The search takes the best node of all first, splits it, drops the terms that
+sum of these, each rounded up to a step, bounds a document below. The search takes the best node of all first, splits it, drops the terms that
 have nothing in a half, and has found the next best document when it stands at a leaf, where the bound is the score.
 Equal bounds are taken by document number, so ties come out in order, and the search of a shard ends after k documents,
 or when the best bound falls below the k-th score that the task has from its earlier shards.
@@ -36,6 +36,7 @@ from tremor.llm import textops as T
 from tremor.llm.workspace import documents, stored
 
 TOP, SHARD, BLOCK_TERMS, WIDE = 10, 4_000_000, 500_000, 4
+STEP = 16  # impacts are 1,000,000 at most, so their steps have 16 bits
 _INDEX = "doc_ids array<long>, terms binary, offsets binary, impacts binary, bits binary"
 _INDEX_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("terms", pa.binary()), ("offsets", pa.binary()), ("impacts", pa.binary()), ("bits", pa.binary())])
 _LAST = np.iinfo(np.int64).max  # where a null doc_id stands
@@ -112,24 +113,35 @@ def build(docs: DataFrame, size: int = SHARD) -> tuple[DataFrame, int]:
 
 
 class Shard:
-    """A shard in memory: the bits of all levels with their ranks, and the impacts in the order of each level."""
+    """A shard in memory: the bits of all levels with the ones before each byte, and the impacts in the order of each
+    level: in steps of ``STEP`` rounded up, which keeps every bound a bound, and exact at the leaves."""
 
     def __init__(self, row: dict):
         self.ids = [_LAST if i is None else i for i in row["doc_ids"]]
         self.terms, self.offsets = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["offsets"], "<i4").astype(np.int64)
         n = self.n = int(self.offsets[-1])
         self.height = _bits_of(len(self.ids))
-        raw = np.frombuffer(row["bits"], np.uint8).reshape(self.height, -1)
+        self.bits = np.frombuffer(row["bits"], np.uint8).reshape(self.height, -1)
+        self.before = np.zeros((self.height, self.bits.shape[1] + 1), np.int32)
+        self.zeros, self.steps = np.empty(self.height, np.int64), np.empty((self.height, n), np.uint16)
         impact = np.frombuffer(row["impacts"], "<i4")
-        self.ones, self.zeros = np.zeros((self.height, n + 1), np.int32), np.empty(self.height, np.int64)
-        self.impacts = np.empty((self.height + 1, n), np.int32)
         for level in range(self.height):
-            one = np.unpackbits(raw[level], count=n).astype(bool)
-            np.cumsum(one, out=self.ones[level, 1:])
-            self.zeros[level] = n - self.ones[level, -1]
-            self.impacts[level] = impact
+            np.cumsum(np.bitwise_count(self.bits[level]), out=self.before[level, 1:])
+            self.zeros[level] = n - self.before[level, -1]
+            self.steps[level] = -(-impact // STEP)
+            one = np.unpackbits(self.bits[level], count=n).astype(bool)
             impact = np.concatenate([impact[~one], impact[one]])
-        self.impacts[self.height] = impact
+        self.exact = impact
+
+    def ones(self, level: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of the first ``at`` bits of a level are set."""
+        byte = at >> 3
+        part = self.bits[level, np.minimum(byte, self.bits.shape[1] - 1)].astype(np.uint16) >> (8 - (at & 7)).astype(np.uint16)
+        return self.before[level, byte].astype(np.int64) + np.bitwise_count(part)
+
+    def impacts(self, level: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """At least the impact at a place of a level's order; at the leaves the impact."""
+        return np.where(level == self.height, self.exact[at], self.steps[np.minimum(level, self.height - 1), at].astype(np.int64) * STEP)
 
     def ranges(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each term's postings; both 0 if it has none."""
@@ -146,7 +158,7 @@ class Shard:
             lo, hi = self.ranges(terms)
             keep = (hi > lo) & (weights > 0)
             lo, hi, w = lo[keep], hi[keep], weights[keep]
-            bound = int((w * self.impacts[0, lo]).sum()) if len(lo) else 0
+            bound = int((w * self.impacts(np.zeros(len(lo), np.int64), lo)).sum()) if len(lo) else 0
             heaps.append([(-bound, 0, 0, lo, hi, w)] if bound else [])
         live = [q for q in range(len(queries)) if heaps[q]]
         while live:
@@ -181,7 +193,7 @@ class Shard:
         sizes_ = np.array([len(n[3]) for _, n in nodes])
         level = np.repeat([n[2] for _, n in nodes], sizes_)
         lo, hi, w = (np.concatenate([n[c] for _, n in nodes]) for c in (3, 4, 5))
-        a, b = self.ones[level, lo].astype(np.int64), self.ones[level, hi].astype(np.int64)
+        a, b = self.ones(level, lo), self.ones(level, hi)
         ends = np.cumsum(sizes_)
         starts_ = ends - sizes_
         zeros = self.zeros[level]
@@ -192,7 +204,7 @@ class Shard:
             left = np.add.reduceat(some, starts_, dtype=np.int64)  # terms that a node's half still has
             met = np.flatnonzero(left)
             till = np.cumsum(left[met])
-            bound = np.add.reduceat(w2 * self.impacts[level[some] + 1, l2], till - left[met]) if len(met) else []
+            bound = np.add.reduceat(w2 * self.impacts(level[some] + 1, l2), till - left[met]) if len(met) else []
             for j, s, e, best in zip(met.tolist(), (till - left[met]).tolist(), till.tolist(), np.asarray(bound).tolist(), strict=True):
                 q, n = nodes[j]
                 if best >= floors[q][0]:
@@ -228,8 +240,8 @@ def _searched(block, k: int):
         queries, numbers = block.value
         best: list[list[tuple[int, int]]] = [[] for _ in queries]
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
+            for at in range(batch.num_rows):
+                shard = Shard(batch.slice(at, 1).to_pylist()[0])
                 floors = [(-b[-1][0], b[-1][1]) if len(b) == k else (0, 0) for b in best]
                 for q, found in enumerate(shard.top(queries, k, floors)):
                     best[q] = heapq.nsmallest(k, [*best[q], *((-s, i) for s, i in found)])
