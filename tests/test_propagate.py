@@ -53,3 +53,20 @@ def test_products_that_end_in_a_half_round_as_their_sql(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     same(catalogue.impact_mixed_types(spark, str(tmp_path)), c.sql(catalogue.SQL["impact_mixed_types"]))
+
+
+def test_presets_share_a_walk_and_equal_those_walked_alone(spark, monkeypatch):
+    r = random.Random(6)
+    kinds = ["CALLED_BY", "DOCS", "DEFINES", "UNHEARD"]
+    rows = sorted({(f"n{r.randrange(30)}", f"n{r.randrange(30)}", r.choice(kinds)) for _ in range(80)})
+    edges, seeds = spark.createDataFrame(rows, "caller string, callee string, edge_type string"), spark.createDataFrame([("n1",), ("n2",)], "qualname string")
+    tables, cut = [], propagate.cut
+    monkeypatch.setattr(propagate, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    got = {}
+    for x in propagate.ablation(edges, seeds).collect():
+        got.setdefault(x.preset, []).append(tuple(x.asDict()[c] for c in ("qualname", "score", "hop", "source", "best_path", "edge_types_on_path")))
+    for t in tables[1:]:
+        assert t.count() == t.select("qualname").distinct().count()  # a row a node and hop, not one a preset
+    for name in ("full", "uniform", "no_decay", "high_decay", "calls_only"):
+        alone = [tuple(x) for x in propagate.impact_typed(edges, seeds, propagate.preset(name)).collect()]
+        assert sorted(got[name]) == sorted(alone) and all(p[-1] == q and len(p) == h + 1 == len(t) + 1 for q, _, h, _, p, t in alone)

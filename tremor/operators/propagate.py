@@ -72,33 +72,46 @@ def impact(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, direction: str
 
 
 def _typed(edges: DataFrame, seeds: DataFrame, configs: dict[str, Config], every: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """All presets in one loop, keyed by (preset, qualname) and ``by``."""
-    group = [*by, "preset"]
+    """All presets in one loop, keyed by (preset, qualname) and ``by``.
+
+    An edge is walked once a hop with a score for each different preset beside it, and only if it betters what its end
+    is known to have; paths are put together from the rows of the hops at the end, a join of nodes and not of edges."""
     kind = F.col("edge_type") if "edge_type" in edges.columns else F.lit("CALLED_BY")
     step = cut(edges.select(*by, F.col("callee").alias("qualname"), F.col("caller").alias("next"), kind.alias("etype")))
-    pick = lambda value: F.coalesce(*(F.when(F.col("preset") == n, F.lit(value(c))) for n, c in configs.items()))
-    factor = F.lit(None).cast("double")
-    for n, c in configs.items():
-        weight = F.coalesce(*(F.when(F.col("etype") == k, F.lit(float(v))) for k, v in sorted(c.weights.items())), F.lit(DEFAULT_WEIGHT))
-        factor = F.when(F.col("preset") == n, weight * F.lit(c.gamma)).otherwise(factor)
+    unlike: list[Config] = []
+    for c in configs.values():
+        unlike += [] if c in unlike else [c]
+    score, best, every_one = [f"_s{i}" for i in range(len(unlike))], [f"_m{i}" for i in range(len(unlike))], range(len(unlike))
+    factor = [F.coalesce(*(F.when(F.col("etype") == k, F.lit(float(v))) for k, v in sorted(c.weights.items())), F.lit(DEFAULT_WEIGHT)) * F.lit(c.gamma) for c in unlike]
     none = F.array().cast("array<string>")
-    start = seeds.select(*by, "qualname").distinct().select(*by, F.explode(F.array(*map(F.lit, configs))).alias("preset"), "qualname")
-    best = start.select(*group, "qualname", F.lit(1.0).alias("score"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source"), F.array("qualname").alias("best_path"), none.alias("edge_types_on_path"))
-    frontier, most = best, max(c.max_hops for c in configs.values())
+    start = seeds.select(*by, "qualname").distinct()
+    hops, most = [start.select(*by, "qualname", *(F.lit(1.0).alias(x) for x in score))], max(c.max_hops for c in unlike)
     for hop in range(1, most + 1):
-        walk = frontier.where(pick(lambda c: c.max_hops) >= hop).join(step, [*by, "qualname"])
-        reach = walk.select(*group, "next", (F.rint(F.col("score") * factor * PLACES) / PLACES).alias("score"), F.col("qualname").alias("at"), "etype", "best_path", "edge_types_on_path").where(F.col("score") >= pick(lambda c: c.threshold))
-        reach = reach.groupBy(*group, "next").agg(F.min(F.struct((-F.col("score")).alias("neg"), "at", "etype", "best_path", "edge_types_on_path")).alias("m"))
-        known = best.select(*group, F.col("qualname").alias("next"), F.col("score").alias("known"))
-        new = reach.join(known, [*group, "next"], "left").where(F.col("known").isNull() | (-F.col("m.neg") > F.col("known")))
-        frontier = new.select(
-            *group, F.col("next").alias("qualname"), (-F.col("m.neg")).alias("score"), F.lit(hop).alias("hop"), F.col("m.at").alias("source"),
-            F.concat("m.best_path", F.array("next")).alias("best_path"), F.concat("m.edge_types_on_path", F.array("m.etype")).alias("edge_types_on_path"),
+        known = hops[0].select(*by, F.col("qualname").alias("next"), *score)
+        for h in hops[1:]:
+            known = known.unionByName(h.select(*by, F.col("qualname").alias("next"), *score))
+        known = known.groupBy(*by, "next").agg(*(F.max(x).alias(f"_k{x}") for x in score))
+        walk = hops[-1].select(*by, "qualname", *score).join(step, [*by, "qualname"])
+        reach = walk.select(*by, "next", F.col("qualname").alias("at"), "etype", *((F.rint(F.col(x) * f * PLACES) / PLACES if c.max_hops >= hop else F.lit(None).cast("double")).alias(x) for x, f, c in zip(score, factor, unlike, strict=True)))
+        better = [(F.col(x) >= c.threshold) & (F.col(f"_k{x}").isNull() | (F.col(x) > F.col(f"_k{x}"))) for x, c in zip(score, unlike, strict=True)]
+        reach = reach.join(known, [*by, "next"], "left").select(*by, "next", "at", "etype", *(F.when(ok, F.col(x)).alias(x) for x, ok in zip(score, better, strict=True))).where(F.coalesce(*score).isNotNull())
+        new = reach.groupBy(*by, F.col("next").alias("qualname")).agg(*(F.min(F.when(F.col(x).isNotNull(), F.struct((-F.col(x)).alias("neg"), "at", "etype"))).alias(m) for x, m in zip(score, best, strict=True)))
+        new = new.select(*by, "qualname", *((-F.col(f"{m}.neg")).alias(x) for x, m in zip(score, best, strict=True)), *best)
+        hops.append(cut(new) if hop % every == 0 or hop == most else new)
+    names = lambda i: F.array(*(F.lit(n) for n, c in configs.items() if c == unlike[i]))
+    paths = start.select(*by, F.explode(F.array(*(F.lit(i) for i in every_one))).alias("_i"), "qualname", F.lit(1.0).alias("score"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("source"), F.array("qualname").alias("best_path"), none.alias("edge_types_on_path"))
+    found = paths
+    for hop, new in enumerate(hops[1:], 1):
+        rows = new.select(*by, "qualname", F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), F.col(score[i]).alias("score"), F.col(f"{best[i]}.at").alias("source"), F.col(f"{best[i]}.etype").alias("etype")) for i in every_one))).alias("r"))
+        rows = rows.where("r.score is not null").select(*by, "qualname", "r.*")
+        before = paths.select(*by, "_i", F.col("qualname").alias("source"), "best_path", "edge_types_on_path")
+        paths = rows.join(before, [*by, "_i", "source"]).select(
+            *by, "_i", "qualname", "score", F.lit(hop).alias("hop"), "source", F.concat("best_path", F.array("qualname")).alias("best_path"), F.concat("edge_types_on_path", F.array("etype")).alias("edge_types_on_path"),
         )
-        if hop < most:
-            frontier = cut(frontier) if hop % every == 0 else frontier
-        best = best.join(frontier.select(*group, "qualname"), [*group, "qualname"], "left_anti").unionByName(frontier)
-    return best
+        found = found.unionByName(paths)
+    last = found.groupBy(*by, "_i", "qualname").agg(F.max(F.struct("hop", "score", "source", "best_path", "edge_types_on_path")).alias("m"))
+    preset_ = F.explode(F.get(F.array(*map(names, every_one)), F.col("_i"))).alias("preset")
+    return last.select(*by, preset_, "qualname", "m.score", "m.hop", "m.source", "m.best_path", "m.edge_types_on_path")
 
 
 def impact_typed(edges: DataFrame, seeds: DataFrame, config: Config = Config(), every: int = 1, by: tuple[str, ...] = ()) -> DataFrame:

@@ -28,8 +28,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def edges(spark, sf, both: bool = True) -> DataFrame:
-    one = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"))
-    return (one.union(one.select("callee", "caller")) if both else one).distinct()
+    """Distinct keys are distinct edges, in one direction and so in both, but for the row without any."""
+    pairs = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    one = pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"))
+    return one.union(one.where("caller is not null or callee is not null").select("callee", "caller")) if both else one
 
 
 def seeds(spark, *names: str) -> DataFrame:
@@ -551,7 +553,7 @@ def mixed(spark, sf):
     up = F.when(k == 0, "CALLED_BY").when(k == 1, "DATA_DEP").when(k == 2, "EXPOSES_CLI").otherwise("unheard_of")
     down = F.when(p == 0, "OVERRIDES").when(p == 1, "DEFINES").otherwise("DOCS")
     s, q = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
-    rows = table(spark, sf, "lineitem").select(F.explode(F.array(F.struct(s.alias("caller"), q.alias("callee"), up.alias("edge_type")), F.struct(q.alias("caller"), s.alias("callee"), down.alias("edge_type")))).alias("e"))
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().select(F.explode(F.array(F.struct(s.alias("caller"), q.alias("callee"), up.alias("edge_type")), F.struct(q.alias("caller"), s.alias("callee"), down.alias("edge_type")))).alias("e"))
     return rows.select("e.*").distinct()
 
 
