@@ -155,3 +155,16 @@ def test_a_job_keeps_its_spacing_over_all_tasks(spark):
     times = sorted(float(r.answer) for r in generate.call_generator(prompts, paced).collect())
     gaps = [b - a for a, b in zip(times, times[1:])]
     assert len(times) == 12 and min(gaps) > 0.1
+
+
+def test_patches_are_made_by_batch_and_in_more_than_one_task(spark):
+    n = 300
+    files = spark.createDataFrame([("c", f"m{k}.py", "def f(a):\n    return a\n\n\ndef g():\n    pass\n") for k in range(n)], "commit string, path string, source string")
+    edits = spark.createDataFrame([("c", f"m{k}.py", f"m{k}.{f}", ['"""Of a."""']) for k in range(n) for f in "fg"], "commit string, path string, qualname string, docstring_lines array<string>")
+    done = patch.apply_patches(files, edits)
+    checked = patch.verify(done)
+    for df, rows in ((done, 2 * n), (checked, 2 * n)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+        assert df.count() == rows and df.select(F.spark_partition_id()).distinct().count() > 1
+    assert {r[0] for r in done.select("status").distinct().collect()} == {"inserted"} and checked.where("ok").count() == 2 * n

@@ -24,3 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by ``keys`` over all shuffle partitions, for steps that cost more than their bytes tell: Spark joins small
+    partitions into few tasks by bytes, unless a number is asked for."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

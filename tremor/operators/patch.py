@@ -6,13 +6,15 @@ import ast
 import difflib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremor.functions.checkpoints import spread
 from tremor.operators.parse import params_of, tree_of
 
 _LINE = re.compile(r"\r\n|\r|\n")
+FILES = 64  # files that are turned into rows at once
 
 
 def named_functions(tree: ast.Module, module: str) -> dict[str, ast.AST]:
@@ -89,20 +91,38 @@ def apply_patches(files: DataFrame, edits: DataFrame, overwrite: bool = False) -
     """``edits(commit, path, qualname, docstring_lines)`` applied to ``files(commit, path, source)``: a row an
     edit, with the file's final source and unified diff. Edits of a file go from the bottom up."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        source, path = rows["source"].iloc[0], rows["path"].iloc[0]
-        module = re.sub(r"\.py$", "", path.replace("\\", "/")).replace("/", ".")
+    def one(commit: str, path: str, source: str, edits_: list[dict]) -> list[tuple]:
+        module = _module(path)
         tree = tree_of(source)
         nodes = named_functions(tree, module) if tree is not None else {}
         at = lambda q: -getattr(nodes.get(q), "lineno", 0)
         text, done = source, {}
-        for q, doc in sorted(zip(rows["qualname"], rows["docstring_lines"], strict=True), key=lambda x: (at(x[0]), x[0])):
-            text, done[q] = put_docstring(text, q, module, list(doc), overwrite)
+        for e in sorted(edits_, key=lambda e: (at(e["qualname"]), e["qualname"])):
+            text, done[e["qualname"]] = put_docstring(text, e["qualname"], module, list(e["docstring_lines"]), overwrite)
         diff = file_diff(source, text, path)
-        return pd.DataFrame({"commit": rows["commit"], "path": path, "qualname": rows["qualname"], "status": [done[q] for q in rows["qualname"]], "new_source": text, "diff": diff})
+        return [(commit, path, e["qualname"], done[e["qualname"]], text, diff) for e in edits_]
 
-    joined = edits.join(files.where("source is not null"), ["commit", "path"])
-    return joined.select("commit", "path", "qualname", "docstring_lines", "source").groupBy("commit", "path").applyInPandas(one, PATCH_SCHEMA)
+    once = spread(edits, "commit", "path").groupBy("commit", "path").agg(F.collect_list(F.struct("qualname", "docstring_lines")).alias("edits"))  # bounded by one file
+    joined = once.join(files.where("source is not null"), ["commit", "path"])
+    return joined.select("commit", "path", "source", "edits").mapInArrow(_by_file(one, PATCH_SCHEMA), PATCH_SCHEMA)
+
+
+def _module(path: str) -> str:
+    return re.sub(r"\.py$", "", path.replace("\\", "/")).replace("/", ".")
+
+
+def _by_file(one, schema: str):
+    """Rows of ``one`` for a few files at a time: no group has a call or a frame of its own."""
+    arrow = pa.schema([(n, pa.list_(pa.string()) if t.startswith("array") else pa.bool_() if t == "boolean" else pa.string()) for n, t in (f.split() for f in schema.split(", "))])
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, FILES):
+                part = batch.slice(start, FILES)
+                rows = [r for args in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in one(*args)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    return run
 
 
 def patch_text(patched: DataFrame) -> DataFrame:
@@ -123,13 +143,12 @@ VERIFY_SCHEMA = "commit string, path string, qualname string, ok boolean, errors
 def verify(patched: DataFrame, keep_stars: bool = False) -> DataFrame:
     """A row a patched function: the file parses, the function is there, has a docstring and names its parameters."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        path, source = rows["path"].iloc[0], rows["new_source"].iloc[0]
-        module = re.sub(r"\.py$", "", path.replace("\\", "/")).replace("/", ".")
+    def one(commit: str, path: str, source: str, qualnames: list[str]) -> list[tuple]:
+        module = _module(path)
         tree = tree_of(source)
         nodes = named_functions(tree, module) if tree is not None else {}
         out = []
-        for q in rows["qualname"]:
+        for q in qualnames:
             node, errors, missing = nodes.get(q), [], []
             if tree is None:
                 errors = ["syntax_error"]
@@ -140,10 +159,11 @@ def verify(patched: DataFrame, keep_stars: bool = False) -> DataFrame:
             else:
                 missing = [p for p in params_of(node) if (p if keep_stars else p.lstrip("*")) not in doc]
                 errors = ["missing_params"] if missing else []
-            out.append((rows["commit"].iloc[0], path, q, not errors, errors, missing, None))
-        return pd.DataFrame(out, columns=["commit", "path", "qualname", "ok", "errors", "missing", "detail"])
+            out.append((commit, path, q, not errors, errors, missing, None))
+        return out
 
-    return patched.select("commit", "path", "qualname", "new_source").groupBy("commit", "path").applyInPandas(one, VERIFY_SCHEMA)
+    once = spread(patched.select("commit", "path", "qualname", "new_source"), "commit", "path").groupBy("commit", "path").agg(F.first("new_source").alias("new_source"), F.collect_list("qualname").alias("qualnames"))  # bounded by one file
+    return once.mapInArrow(_by_file(one, VERIFY_SCHEMA), VERIFY_SCHEMA)
 
 
 def report(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions import names as N
+from tremor.functions.checkpoints import cut
 from tremor.operators import batch, classify, diff, experiment, generate, graph, match, parse, patch, propagate, spans, style, targets, temporal
 
 QUERIES: dict = {}
@@ -791,6 +792,6 @@ def patched_files(spark, sf):
     part, k = table(spark, sf, "part"), F.col("p_partkey")
     doc = _piece('\"\"\"Of ', F.col("p_size"), F.when(k % 2 == 0, ": a and b").otherwise(": x"), '.\"\"\"')
     edits = part.select(F.col("p_type").alias("commit"), _piece("pkg/b", _file(), ".py").alias("path"), _piece("pkg.b", _file(), ".f", k).alias("qualname"), F.array(doc).alias("docstring_lines"))
-    done = patch.apply_patches(_functions(spark, sf), edits)
+    done = cut(patch.apply_patches(_functions(spark, sf), edits))  # read by the verifier and the join
     checked = patch.verify(done).select("commit", "path", "qualname", "ok", F.array_join("errors", ",").alias("errors"), F.array_join("missing", ",").alias("missing"))
     return done.join(checked, ["commit", "path", "qualname"]).select("commit", "qualname", "status", F.md5("new_source").alias("source"), "ok", "errors", "missing")
