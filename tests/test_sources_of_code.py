@@ -131,3 +131,15 @@ def test_layers_see_the_layer_before(spark):
     t = spark.createDataFrame([("a", 0, None), ("b", 1, "a")], "qualname string, hop int, source string")
     out = generate.layered(t, lambda p: f"[DOCSTRING]{p}[/DOCSTRING][ANALYSIS]of {p}[/ANALYSIS]", 1, lambda d: F.concat_ws("|", d["qualname"], d["parent_analysis"]))
     assert {r.qualname: r.parsed.docstring for r in out.collect()} == {"a": "a", "b": "b|of a"}
+
+
+def test_a_worker_holds_the_rows_of_a_few_files_only():
+    import pyarrow as pa
+
+    from tremor.operators import parse
+
+    n = 1000
+    batch = pa.RecordBatch.from_pydict({"key": [str(k) for k in range(n)], "source": ["def f():\n    g()\n    h()\n" if k % 7 else None for k in range(n)], "module": ["m"] * n})
+    out = list(parse._rows(lambda s, m: parse.calls(s, m, 2), parse.CALLS_SCHEMA)([batch]))
+    assert max(b.num_rows for b in out) <= 2 * parse.FILES and sum(b.num_rows for b in out) == 2 * sum(k % 7 > 0 for k in range(n))
+    assert pa.Table.from_batches(out).slice(2, 2).to_pylist() == [{"blob": "2", "caller": "m.f", "callee": c, "line": i} for i, c in ((2, "g"), (3, "h"))]
