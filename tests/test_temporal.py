@@ -138,3 +138,13 @@ def test_contents_are_read_once_a_blob(spark, tmp_path):
     got = {(r.commit, r.path): r.source for r in git.contents(trees, str(tmp_path)).collect()}
     assert got == {(r.commit, r.path): r.source for r in git.read(spark, str(tmp_path), "files", commits=",".join(ids)).collect()}
     assert git.contents(trees.select("commit", "path", F.lit("0" * 40).alias("blob")), str(tmp_path)).where("source is not null").count() == 0
+
+
+def test_windows_of_intervals_are_dealt_over_all_partitions_and_by_narrow_keys(spark):
+    from helpers import DATA
+
+    from tremor.plans import catalogue
+
+    plan = catalogue.temporal_edges(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert "concat" not in plan[plan.index("Window") :]  # names are made after the window, not carried through it

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import names as N
-from tremor.functions.checkpoints import cut
+from tremor.functions.checkpoints import cut, spread
 
 TIME = ["since", "until"]
 
@@ -26,7 +26,7 @@ def intervals(changes: DataFrame, last: int) -> DataFrame:
 
 def coalesce(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys with the fewest intervals that cover the same ordinals."""
-    first = rows.groupBy(*keys, "since").agg(F.max("until").alias("until"))
+    first = spread(rows.groupBy(*keys, "since").agg(F.max("until").alias("until")), *keys)  # a task's sort is a share of all rows
     by = Window.partitionBy(*keys).orderBy("since")
     before = F.max("until").over(by.rowsBetween(Window.unboundedPreceding, -1))
     fresh = first.withColumn("_new", (before.isNull() | (F.col("since") > before + 1)).cast("int"))

@@ -675,18 +675,20 @@ def first_errors(spark, sf):
 HELD_SQL = "h AS (SELECT 's' || l_suppkey AS caller, 'p' || l_partkey AS callee, (l_orderkey % 10)::INT AS since, least((l_orderkey % 10) + l_linenumber, 11)::INT AS until FROM lineitem)"
 
 
-def held_edges(spark, sf):
+def held_edges(spark, sf, named: bool = True):
     """Edges that hold for some of twelve commits."""
+    name = lambda kind, key: F.concat(F.lit(kind), key) if named else F.col(key)
     since = (F.col("l_orderkey") % 10).cast("int")
     return table(spark, sf, "lineitem").select(
-        F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"), since.alias("since"), F.least(since + F.col("l_linenumber").cast("int"), F.lit(11)).cast("int").alias("until"))
+        name("s", "l_suppkey").alias("caller"), name("p", "l_partkey").alias("callee"), since.alias("since"), F.least(since + F.col("l_linenumber").cast("int"), F.lit(11)).cast("int").alias("until"))
 
 
 @query(f"""WITH {HELD_SQL}, o AS (SELECT DISTINCT caller, callee, unnest(range(since, until + 1)) AS n FROM h),
 g AS (SELECT *, n - row_number() OVER (PARTITION BY caller, callee ORDER BY n) AS run FROM o)
 SELECT caller, callee, min(n)::INT AS since, max(n)::INT AS until FROM g GROUP BY caller, callee, run""")
 def temporal_edges(spark, sf):
-    return temporal.coalesce(held_edges(spark, sf), ["caller", "callee"])
+    found = temporal.coalesce(held_edges(spark, sf, named=False), ["caller", "callee"])  # keys are narrower than names
+    return found.select(F.concat(F.lit("s"), "caller").alias("caller"), F.concat(F.lit("p"), "callee").alias("callee"), "since", "until")
 
 
 @query(f"""WITH RECURSIVE {HELD_SQL}, o AS (SELECT DISTINCT caller, callee, unnest(range(since, until + 1)) AS n FROM h),
