@@ -17,3 +17,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_seeds_document_is_dealt_over_all_partitions(spark):
+    assert "REPARTITION_BY_NUM" in catalogue.seeds_documents(spark, DATA)._jdf.queryExecution().executedPlan().toString()

@@ -21,17 +21,20 @@ def parse_hunks(diffs: DataFrame, keys: list[str], naive_headers: bool = False)
     by = Window.partitionBy(*keys).orderBy("pos")
     rows = diff_lines(diffs, keys)
     rows = rows.withColumn("mark", F.when(F.startswith("line", F.lit("diff --git ")), "file").when(F.startswith("line", F.lit("@@ ")), "hunk"))
-    rows = rows.withColumn("last_mark", F.coalesce(F.last("mark", True).over(by), F.lit("file")))
-    header = F.lit(True) if naive_headers else F.col("last_mark") == "file"
+    # only these lines tell anything, and of them only names and numbers go through the windows
+    rows = rows.where(F.col("mark").isNotNull() | F.startswith("line", F.lit("--- ")) | F.startswith("line", F.lit("+++ ")))
 
     def path_of(prefix: str, side: str):
         raw = F.regexp_replace(F.expr("substring(line, 5)"), r"\t.*$", "")
         name = F.when(raw == "/dev/null", F.lit("")).otherwise(F.regexp_replace(raw, f"^{side}/", ""))
-        return F.when(header & F.startswith("line", F.lit(prefix)), name)
+        return F.when(F.startswith("line", F.lit(prefix)), name)
 
-    rows = rows.withColumn("old_here", path_of("--- ", "a")).withColumn("new_here", path_of("+++ ", "b"))
-    rows = rows.withColumn("old_path", F.nullif(F.last("old_here", True).over(by), F.lit(""))).withColumn("new_path", F.nullif(F.last("new_here", True).over(by), F.lit("")))
-    hunks = rows.where(F.regexp_like("line", F.lit(HUNK)))
+    rows = rows.select(*keys, "pos", "mark", path_of("--- ", "a").alias("old_here"), path_of("+++ ", "b").alias("new_here"), F.when(F.regexp_like("line", F.lit(HUNK)), F.col("line")).alias("line"))
+    rows = rows.withColumn("last_mark", F.coalesce(F.last("mark", True).over(by), F.lit("file")))
+    header = F.lit(True) if naive_headers else F.col("last_mark") == "file"
+    last = lambda c: F.nullif(F.last(F.when(header, F.col(c)), True).over(by), F.lit(""))
+    rows = rows.withColumn("old_path", last("old_here")).withColumn("new_path", last("new_here"))
+    hunks = rows.where("line is not null")
     number = lambda k: F.coalesce(F.nullif(F.regexp_extract("line", HUNK, k), F.lit("")).cast("int"), F.lit(1))
     sides = F.array(
         F.struct(F.lit("old").alias("side"), number(1).alias("start"), number(2).alias("count")), F.struct(F.lit("new").alias("side"), number(3).alias("start"), number(4).alias("count"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import names as N
-from tremor.functions.checkpoints import cut
+from tremor.functions.checkpoints import cut, spread
 from tremor.operators.diff import changed_lines, parse_hunks
 from tremor.operators.parse import parse_defs
 from tremor.operators.spans import first_by, innermost, last_by
@@ -56,10 +56,10 @@ def with_code(seeds: DataFrame, new_files: DataFrame, old_files: DataFrame, pars
 
 def seeds_document(seeds: DataFrame, diffs: DataFrame, commits: DataFrame, repo: str) -> DataFrame:
     """One row a commit: counts and the array of its seeds, in a fixed order."""
-    files = parse_hunks(diffs, ["commit"]).select("commit", "path").distinct()
+    files = parse_hunks(spread(diffs, "commit"), ["commit"]).select("commit", "path").distinct()
     counts = files.groupBy("commit").agg(F.count(F.lit(1)).alias("num_files_in_diff"), F.count_if(N.is_python(F.col("path"))).alias("num_py_files_in_diff"))
     fields = ["path", "version", "line", "kind", "qualname", "span", "reason", "is_test", "seed_type", "new_code", "old_code"]
-    arrays = seeds.groupBy("commit").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("seeds"))  # bounded by one commit
+    arrays = spread(seeds.select("commit", *fields), "commit").groupBy("commit").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("seeds"))  # bounded by one commit
     none = F.array().cast(arrays.schema["seeds"].dataType)
     out = commits.select("commit", "parent").join(counts, "commit", "left").join(arrays, "commit", "left")
     return out.select(

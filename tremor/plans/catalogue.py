@@ -645,14 +645,17 @@ def seeds_documents(spark, sf):
     from tremor.operators.seeds import seeds_document
 
     l = table(spark, sf, "lineitem")  # noqa: E741
-    path = F.concat(F.lit("d/p"), "l_partkey", F.when(F.col("l_partkey") % 2 == 0, ".py").otherwise(".txt"))
-    part = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n--- x\n+y"))
-    diffs = l.groupBy(F.col("l_orderkey").alias("commit")).agg(F.array_join(F.array_sort(F.collect_list(part)), "\n").alias("diff"))
+    def part(key):
+        path = F.concat(F.lit("d/p"), key, F.when(key % 2 == 0, ".py").otherwise(".txt"))
+        return F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n--- x\n+y"))
+
+    keys = l.where("l_partkey is not null").groupBy(F.col("l_orderkey").alias("commit")).agg(F.collect_list("l_partkey").alias("keys"))
+    diffs = keys.select("commit", F.array_join(F.array_sort(F.transform("keys", part)), "\n").alias("diff"))
     none = F.lit(None).cast("string")
-    found = l.select(
+    found = l.select("l_orderkey", "l_suppkey").distinct().select(
         F.col("l_orderkey").alias("commit"), F.lit("d/p.py").alias("path"), F.lit("new").alias("version"), F.lit(1).alias("line"), F.lit("function").alias("kind"), F.concat(F.lit("q"), "l_suppkey").alias("qualname"),
         F.array(F.lit(1), F.lit(2)).alias("span"), none.alias("reason"), F.lit(False).alias("is_test"), F.lit("code_change").alias("seed_type"), none.alias("new_code"), none.alias("old_code"),
-    ).distinct()
+    )
     commits = table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), none.alias("parent"))
     out = seeds_document(found, diffs, commits, "r")
     return out.select("commit", "num_files_in_diff", "num_py_files_in_diff", "num_seeds", F.try_element_at("seeds", F.lit(1))["qualname"].alias("least"))
