@@ -166,6 +166,13 @@ def test_bpe_of_the_tables_is_the_library_s(spark, library):
     assert len(got) == len(texts) and all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == digests(library, texts[r.doc_id]) for r in got)
 
 
+def test_bpe_folds_words_by_batch(spark, library):
+    words = [f"wo{i}rnenß{'ea' * (i % 4)}"[:14].replace(str(i), "x" * (i % 3)) + chr(97 + i) for i in range(2 * byte_bpe.BATCH + 3)] + ["\ue000\ue001", "q"]
+    ranks = byte_bpe.rank_map(public_tokenizers.path(byte_bpe.VOCABULARY))
+    got = spark.createDataFrame([(words,)], "w array<string>").select(F.transform(byte_bpe.fold(F.col("w"), ranks), byte_bpe.ids).alias("ids")).first().ids
+    assert got == [library._encode_single_piece(w) for w in words]
+
+
 def test_bpe_of_nothing_and_of_files_that_are_no_merges(none):
     assert byte_bpe.encoded(none, public_tokenizers.path(byte_bpe.VOCABULARY)).count() == 0
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abcd": 257}

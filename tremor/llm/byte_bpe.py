@@ -3,7 +3,7 @@
 A word (a match of the splitting pattern) becomes a string with one character a byte, then one character a
 token: the character whose code is the token's id. All substrings of its bytes are looked up in a literal rank
 map; what is found, in order of rank, is the list of merges that can happen in this word, and ``aggregate``
-folds them over the word, each a ``replace`` of a pair of tokens by the merged one. As every merged token is made of
+folds them over a few words at a time, each a ``replace`` of a pair of tokens by the merged one. As every merged token is made of
 one pair of lower ranks (``RankMap`` refuses files where that is not so), applying merges in order of rank gives
 what the library gets by always merging the pair of least rank. A word costs (bytes x longest token) lookups and
 one pass over it a merge, so very long words are not quadratic in lookups.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from tremor.llm.workspace import documents, stored
 
-VOCABULARY, DICTIONARY, SLOTS = "byte_bpe_multi_50k.tiktoken", 1 << 18, 1 << 16
-#: Characters that are no byte and no token: before and after a key, between slots, and the token of id 0.
-KEY, ROW, ZERO = "\ue000", "\ue001", "\ue002"
+VOCABULARY, DICTIONARY, SLOTS, MARKS, BATCH = "byte_bpe_multi_50k.tiktoken", 1 << 18, 1 << 16, 1 << 20, 8
+#: Characters that are no byte and no token: before and after a key, between slots or words, the token of id 0, and a word not known.
+KEY, ROW, ZERO, GAP = "\ue000", "\ue001", "\ue002", "\ue003"
 _LATIN = "".join(map(chr, range(256)))
 
 
@@ -42,19 +42,17 @@ def _char(i: int) -> str:
 
 
 def _slots(entries: dict[str, str], n: int) -> str:
-    """A hash table as text: each slot has KEY key KEY value for its keys."""
-    out = [""] * n
+    """A hash table as text: each slot has GAP, then KEY key KEY value for its keys."""
+    out = [GAP] * n
     for k, v in entries.items():
-        key = f"{KEY}{k}{KEY}"
-        out[zlib.crc32(key.encode()) % n] += key + v
+        out[zlib.crc32(k.encode()) % n] += f"{KEY}{k}{KEY}{v}"
     return ROW.join(out)
 
 
 def _lookup(table: str, n: int, key: Column) -> Column:
-    """What follows the key (with KEY at both ends) in its slot of the literal table. Without the key in it, the
-    whole slot: empty, or KEY first."""
+    """The value of a key in the literal table, GAP if it has none. The key has no KEY in it."""
     slot = F.get(F.split(F.lit(table), ROW), (F.crc32(key.cast("binary")) % n).cast("int"))
-    return F.call_function("substring_index", slot, key, F.lit(-1))
+    return F.call_function("substring_index", F.call_function("substring_index", slot, F.concat(F.lit(KEY), key, F.lit(KEY)), F.lit(-1)), F.lit(KEY), F.lit(1))
 
 
 def _let(value: Column, body) -> Column:
@@ -68,17 +66,18 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         if len({k for k in ranks if len(k) == 1}) != 256 or len(set(ranks.values())) != len(ranks) or max(ranks.values()) >= 0xD800:
             raise ValueError("a rank file has all 256 bytes and distinct ranks below 55296")
-        merges = {}
+        merges, marks = {}, bytearray(MARKS)
         for token, rank in ranks.items():
             if len(token) > 1:
                 a, b = self._pair(ranks, token, rank)
                 merges[token.decode("latin-1")] = _char(rank) + _char(ranks[a]) + _char(ranks[b])
+                marks[zlib.crc32(token) % MARKS] = 1
         self.size, self.longest = max(ranks.values()) + 1, max(map(len, ranks))
-        self.table = _slots(merges, SLOTS)
+        self.table, self.marks = _slots(merges, SLOTS), bytes(marks)
         self.start = "".join(_char(ranks[bytes([b])]) for b in range(256))
-        pieces = [""] * self.size
+        pieces = [""] * (ord(ZERO) + 1)  # by the character's code
         for token, rank in ranks.items():
-            pieces[rank] = token.decode("latin-1")
+            pieces[ord(_char(rank))] = token.decode("latin-1")
         self.pieces = ROW.join(pieces)
 
     @staticmethod
@@ -105,18 +104,29 @@ def words_of(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
-def fold(word: Column, ranks: RankMap) -> Column:
-    """The tokens of one word, a character each, by its merges in order of rank."""
+def fold(words: Column, ranks: RankMap) -> Column:
+    """The tokens of each word of an array, a character each, by the merges of ``BATCH`` words at a time in order of rank.
+    A substring whose mark is not set is no token; only the others are looked up."""
 
-    def folded(latin: Column) -> Column:
-        many = F.length(latin)
-        ends = lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(ranks.longest), many - i + 1)), lambda n: F.concat(F.lit(KEY), F.substring(latin, i, n), F.lit(KEY)))
-        keys = F.flatten(F.transform(F.sequence(F.lit(1), many - 1), ends))
-        found = F.filter(F.transform(keys, lambda k: F.left(_lookup(ranks.table, SLOTS, k), F.lit(3))), lambda m: (m < KEY) & (m > ""))
-        merges = F.when(many > 1, F.sort_array(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
-        return F.aggregate(merges, F.translate(latin, _LATIN, ranks.start), lambda s, m: F.replace(s, F.substring(m, F.lit(2), F.lit(2)), F.left(m, F.lit(1))))
+    def found(raw: Column) -> Column:
+        many = F.length(raw)
+        ends = lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(ranks.longest), many - i + 1)), lambda n: F.substring(raw, i, n))
+        mark = lambda k: F.substring(F.lit(ranks.marks), (F.crc32(k) % MARKS + 1).cast("int"), F.lit(1))
+        keys = F.flatten(F.transform(F.sequence(F.lit(1), many - 1), lambda i: F.filter(ends(i), lambda k: mark(k) == F.lit(b"\1"))))
+        return F.when(many > 1, keys).otherwise(F.array().cast("array<binary>"))
 
-    return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), folded)
+    def folded(raws: Column) -> Column:
+        keys = F.array_distinct(F.flatten(F.transform(raws, found)))
+        merges = F.filter(F.transform(keys, lambda k: _lookup(ranks.table, SLOTS, F.decode(k, "ISO-8859-1"))), lambda m: m != GAP)
+        start = F.translate(F.array_join(F.transform(raws, lambda r: F.decode(r, "ISO-8859-1")), ROW), _LATIN, ranks.start)
+        return F.split(F.aggregate(F.sort_array(merges), start, lambda s, m: F.replace(s, F.substring(m, F.lit(2), F.lit(2)), F.left(m, F.lit(1)))), ROW)
+
+    def batches(words: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(words), F.lit(BATCH))
+        done = F.transform(first, lambda i: _let(F.transform(F.slice(words, i, F.lit(BATCH)), lambda w: F.encode(w, "UTF-8")), folded))
+        return F.when(F.size(words) > 0, F.flatten(done)).otherwise(F.array().cast("array<string>"))
+
+    return _let(words, batches)  # not filtered anew for each batch
 
 
 def dictionary(docs: DataFrame, ranks: RankMap, size: int = DICTIONARY) -> dict[str, str]:
@@ -130,18 +140,25 @@ def dictionary(docs: DataFrame, ranks: RankMap, size: int = DICTIONARY) -> dict[
         if room < 0:
             break
         least = r["step"]
-    return {r.word: r.tokens for r in words.where(F.col("step") >= least).select("word", fold(F.col("word"), ranks).alias("tokens")).collect()}
+    return {r.word: r.tokens for r in words.where(F.col("step") >= least).select("word", fold(F.array("word"), ranks)[0].alias("tokens")).toLocalIterator()}
 
 
 def tokens(text: Column, ranks: RankMap, known: dict[str, str] | None = None) -> Column:
-    """All tokens of a text, one a character. ``known`` words are looked up, the others folded."""
+    """All tokens of a text, one a character. ``known`` words are looked up, the others folded and put into the gaps."""
+    everything = lambda words: F.array_join(fold(words, ranks), "")
     if not known:
-        return F.array_join(F.transform(words_of(text), lambda w: fold(w, ranks)), "")
+        return _let(words_of(text), everything)
     slots = len(known)
     table = _slots({k: v for k, v in known.items() if not {KEY, ROW} & set(k)}, slots)
-    hit = lambda w: F.call_function("substring_index", _lookup(table, slots, F.concat(F.lit(KEY), w, F.lit(KEY))), F.lit(KEY), F.lit(1))
-    pairs = F.transform(words_of(text), lambda w: F.struct(w.alias("word"), F.when(F.contains(w, F.lit(KEY)), "").otherwise(hit(w)).alias("tokens")))
-    return F.array_join(F.transform(pairs, lambda p: F.when(p["tokens"] != "", p["tokens"]).otherwise(fold(p["word"], ranks))), "")
+
+    def filled(words: Column, hits: Column) -> Column:
+        rest = fold(F.filter(words, lambda w, i: F.get(hits, i) == GAP), ranks)
+        return F.array_join(F.zip_with(F.split(F.array_join(hits, ""), GAP), rest, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def looked_up(words: Column) -> Column:
+        return F.when(F.contains(text, F.lit(KEY)), F.transform(words, lambda w: F.lit(GAP))).otherwise(F.transform(words, lambda w: _lookup(table, slots, w)))
+
+    return _let(words_of(text), lambda words: _let(looked_up(words), lambda hits: filled(words, hits)))
 
 
 def characters(tokens_: Column) -> Column:
@@ -155,14 +172,24 @@ def ids(tokens_: Column) -> Column:
 
 def id_bytes(tokens_: Column) -> Column:
     """The ids as little-endian unsigned 32-bit integers: each is below 65536, so its UTF-16 unit and a zero unit."""
-    spread = F.array_join(F.transform(characters(tokens_), lambda c: F.concat(c, F.lit("\0"))), "")
+    spread = F.concat(F.array_join(characters(tokens_), "\0"), F.when(tokens_ == "", "").otherwise("\0"))
     return F.encode(F.replace(spread, F.lit(ZERO), F.lit("\0")), "UTF-16LE")
 
 
+def _joined(codes: Column, ranks: RankMap) -> Column:
+    """The bytes of the tokens with these character codes, concatenated; a code that is not in the file has none."""
+    pieces = F.split(F.lit(ranks.pieces), ROW)
+    return F.encode(F.array_join(F.transform(codes, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+
+
 def decoded(ids_: Column, ranks: RankMap) -> Column:
     """The bytes of all ids, concatenated; an id that is not in the file has none."""
-    pieces = F.split(F.lit(ranks.pieces), ROW)
-    return F.encode(F.array_join(F.transform(ids_, lambda i: F.coalesce(F.get(pieces, i), F.lit(""))), ""), "ISO-8859-1")
+    return _joined(F.transform(ids_, lambda i: F.when(i == 0, ord(ZERO)).otherwise(i)), ranks)
+
+
+def decoded_tokens(tokens_: Column, ranks: RankMap) -> Column:
+    """The same from the tokens of a text, one a character."""
+    return _joined(F.transform(characters(tokens_), F.ascii), ranks)
 
 
 def encoded(docs: DataFrame, path: str, size: int = DICTIONARY) -> DataFrame:
@@ -176,5 +203,5 @@ def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
     done = encoded(documents(spark, sf_dir), path)
     return done.select(
         "doc_id", F.length("tokens").cast("long").alias("n_tokens"), F.sha2(id_bytes(F.col("tokens")), 256).alias("ids_sha256"),
-        F.sha2(decoded(ids(F.col("tokens")), rank_map(path)), 256).alias("decoded_sha256"),
+        F.sha2(decoded_tokens(F.col("tokens"), rank_map(path)), 256).alias("decoded_sha256"),
     )
