@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -173,6 +174,20 @@ def test_bpe_folds_words_by_batch(spark, library):
     assert got == [library._encode_single_piece(w) for w in words]
 
 
+def test_bpe_plans_hold_no_tables(spark):
+    done = byte_bpe.encoded(spark.createDataFrame([(1, "to be or not to be")], "doc_id long, text string"), public_tokenizers.path(byte_bpe.VOCABULARY))
+    plans = done._jdf.queryExecution()  # Spark keeps their text on the driver for each run
+    assert len(plans.toString()) < 100_000 and "AS held" not in plans.executedPlan().toString()  # nor do rows hold a copy of the tables
+
+
+def test_bpe_words_stand_in_one_of_two_places():
+    words = {f"w{i}": str(i) for i in range(3000)}
+    table = byte_bpe._places(words)
+    code = lambda w: zlib.crc32(w.encode())
+    assert sorted(filter(None, table)) == sorted(words) and byte_bpe._places({}) == [""]
+    assert all(w in (table[code(w) % len(table)], table[(code(w) >> 12) % len(table)]) for w in words)
+
+
 def test_bpe_of_nothing_and_of_files_that_are_no_merges(none):
     assert byte_bpe.encoded(none, public_tokenizers.path(byte_bpe.VOCABULARY)).count() == 0
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abcd": 257}
